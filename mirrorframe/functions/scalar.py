@@ -117,15 +117,22 @@ def spark_pattern(strftime_format: str) -> str:
     return "".join(out)
 
 
+def _epoch() -> Column:
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+
+
 def to_micros(value: Column, strftime_format: str | None = None) -> Column:
-    """Datetime to epoch micros; text that does not parse becomes null."""
+    """Datetime to micros since 1970 on the wall clock, whatever the session's time zone.
+
+    Text that does not parse becomes null.
+    """
     if strftime_format:
         value = F.try_to_timestamp(value, F.lit(spark_pattern(strftime_format)))
-    return F.unix_micros(value.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", _epoch(), value.cast("timestamp_ntz"))
 
 
 def from_micros(micros: Column, strftime_format: str | None = None) -> Column:
-    value = F.timestamp_micros(micros.cast("bigint"))
+    value = F.timestamp_add("MICROSECOND", micros.cast("bigint"), _epoch())
     return F.date_format(value, spark_pattern(strftime_format)) if strftime_format else value
 
 

@@ -94,16 +94,22 @@ def numbered(
     return counted.withColumn(output, F.coalesce("_before", F.lit(0)).cast("bigint")).drop("_one", "_before")
 
 
-def hash_numbered(df: DataFrame, part: Sequence[str], value: str, output: str = "idx") -> DataFrame:
+def _spread(df: DataFrame, value: str, digits: int) -> DataFrame:
+    hashed = df.withColumn("_hash", F.coalesce(F.md5(F.col(value).cast("string")), F.lit("")))
+    return hashed.withColumn("_lead", F.substring("_hash", 1, digits))
+
+
+def hash_numbered(
+    df: DataFrame, part: Sequence[str], value: str, output: str = "idx", digits: int = 3
+) -> DataFrame:
     """Dense numbers from 0 per `part` for distinct values, in md5 order (null first).
 
-    Unordered domains need no sampling to be split evenly: the leading hash digits are the slices.
+    Unordered domains need no sampling to be split evenly: the leading hash `digits` are the slices.
     """
     part = list(part)
-    spread = df.withColumn("_hash", F.coalesce(F.md5(F.col(value).cast("string")), F.lit("")))
-    spread = spread.withColumn("_lead", F.substring("_hash", 1, 3))
+    spread = _spread(df, value, digits)
     counts = spread.groupBy(*part, "_lead").agg(F.count(F.lit(1)).alias("_n"))
-    # At most 4097 lead values per group.
+    # At most 16 ** digits + 1 lead values per group.
     before = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, "_lead", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = Window.partitionBy(*part, "_lead").orderBy("_hash", F.col(value))
@@ -115,11 +121,10 @@ def hash_numbered(df: DataFrame, part: Sequence[str], value: str, output: str =
     )
 
 
-def hash_ranges(df: DataFrame, part: Sequence[str], value: str, weight: str) -> DataFrame:
+def hash_ranges(df: DataFrame, part: Sequence[str], value: str, weight: str, digits: int = 3) -> DataFrame:
     """Adds `start` and `stop`: consecutive ranges of length `weight` per `part`, in md5 order of `value`."""
     part = list(part)
-    spread = df.withColumn("_hash", F.coalesce(F.md5(F.col(value).cast("string")), F.lit("")))
-    spread = spread.withColumn("_lead", F.substring("_hash", 1, 3))
+    spread = _spread(df, value, digits)
     totals = spread.groupBy(*part, "_lead").agg(F.sum(weight).alias("_n"))
     before = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*part, "_lead", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

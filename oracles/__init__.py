@@ -1,5 +1,5 @@
 """The registered queries in SQL, for comparison on the same tables."""
 
-from oracles import results
+from oracles import results, synth
 
-SQL = {**results.SQL}
+SQL = {**results.SQL, **synth.SQL}
