@@ -1,5 +1,5 @@
 """The registered queries in SQL, for comparison on the same tables."""
 
-from oracles import results, synth
+from oracles import metrics, results, synth
 
-SQL = {**results.SQL, **synth.SQL}
+SQL = {**results.SQL, **synth.SQL, **metrics.SQL}
