@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mirrorframe.functions import scalar as S
 from mirrorframe.metrics.pairs import numeric_bounds
@@ -100,26 +99,29 @@ def _gaps(queries: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.
 
 
 def _pages(records: DataFrame, space: Space, fanout: int) -> list[DataFrame]:
-    """Levels from the points up; each row is (node, parent, low, high, any), `any` being a point inside."""
+    """Levels from the points up; each row is (node, parent, low, high)."""
     k = len(space.columns)
     distinct = records.select("p").distinct()
     placed = prefix.numbered(distinct, [], _curve(space, F.col("p")), "node")
     level = materialize(placed.select(
         "node", F.floor(F.col("node") / fanout).cast("bigint").alias("parent"),
-        F.col("p").alias("low"), F.col("p").alias("high"), F.col("p").alias("any"),
+        F.col("p").alias("low"), F.col("p").alias("high"),
     ))
     levels = [level]
     while levels[-1].agg(F.max("parent")).first()[0]:
         up = levels[-1].groupBy(F.col("parent").alias("node")).agg(
             F.array(*[F.min(F.col("low")[i]) for i in range(k)]).alias("low"),
             F.array(*[F.max(F.col("high")[i]) for i in range(k)]).alias("high"),
-            F.min("any").alias("any"),
         )
         levels.append(materialize(up.select(
-            "node", F.floor(F.col("node") / fanout).cast("bigint").alias("parent"), "low", "high", "any")))
+            "node", F.floor(F.col("node") / fanout).cast("bigint").alias("parent"), "low", "high")))
     return levels
 
 
+def _coordinates(k: int) -> list[str]:
+    return [f"p{i}" for i in range(k)]
+
+
 def _spread_visits(candidates: DataFrame, children: DataFrame, visits: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with a salt: queries of a busy page are split, the page's children copied per salt."""
     loads = candidates.groupBy("node").agg(F.count(F.lit(1)).alias("load"))
@@ -127,86 +129,77 @@ def _spread_visits(candidates: DataFrame, children: DataFrame, visits: int) -> t
     left = candidates.join(salts, "node").withColumn("salt", F.pmod(F.hash("q"), F.col("salts"))).drop("salts")
     copies = salts.select(F.col("node").alias("parent"), F.col("salts").alias("copies"))
     right = children.withColumnRenamed("node", "child").join(copies, "parent").select(
-        "parent", "child", "low", "high", "any",
+        "parent", "child", "low", "high",
         F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     return left, right
 
 
-def _visit(candidates: DataFrame, children: DataFrame, n: int, visits: int) -> DataFrame:
-    """Children worth visiting: (q, p, node, gap, best), `best` an upper bound on the distance of q."""
+def _visit(candidates: DataFrame, children: DataFrame, n: int, k: int, visits: int, greedy: bool) -> DataFrame:
+    """One step down, as (q, p0.., best, node): the nearest child, or every child nearer than `best`."""
     left, right = _spread_visits(candidates, children, visits)
+    at = _coordinates(k)
+    columns = ["q", *at, "best", "node"]
 
     def compare(queries: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(queries) and len(boxes):
-            low, high, point = (np.stack(boxes[c].to_numpy()) for c in ("low", "high", "any"))
+            low, high = (np.stack(boxes[c].to_numpy()) for c in ("low", "high"))
             nodes = boxes["child"].to_numpy()
-            for start in range(0, len(queries), 2000):
-                q = queries.iloc[start : start + 2000]
-                x = np.stack(q["p"].to_numpy())
-                gap = _gaps(x, low, high, n)
-                best = np.minimum(q["best"].to_numpy(), _gaps(x, point, point, n).min(axis=1))
-                rows, cols = np.nonzero(gap <= best[:, None])
-                parts.append(pd.DataFrame({
-                    "q": q["q"].to_numpy()[rows], "p": q["p"].to_numpy()[rows], "node": nodes[cols],
-                    "gap": gap[rows, cols], "best": best[rows],
-                }))
-        columns = ["q", "p", "node", "gap", "best"]
-        return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
-
-    return left.groupBy("node", "salt").cogroup(right.groupBy("parent", "salt")).applyInPandas(compare, _CANDIDATES)
-
-
-def _measure(candidates: DataFrame, records: DataFrame, n: int, visits: int) -> DataFrame:
-    """(q, best): distance of each query to the closest record of the pages it visits."""
+            for start in range(0, len(queries), 4000):
+                part = queries.iloc[start : start + 4000]
+                gap = _gaps(part[at].to_numpy(), low, high, n)
+                if greedy:
+                    rows, cols = np.arange(len(part)), gap.argmin(axis=1)
+                else:
+                    rows, cols = np.nonzero(gap < part["best"].to_numpy()[:, None])
+                parts.append(part[["q", *at, "best"]].iloc[rows].assign(node=nodes[cols]))
+        return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
+
+    schema = "q bigint, " + ", ".join(f"{c} double" for c in at) + ", best double, node bigint"
+    return left.groupBy("node", "salt").cogroup(right.groupBy("parent", "salt")).applyInPandas(compare, schema)
+
+
+def _measure(candidates: DataFrame, records: DataFrame, n: int, k: int, visits: int) -> DataFrame:
+    """(q, best): distance of each query to the closest record of the pages it visits, or `best` if nearer."""
     left, right = _spread_visits(candidates, records, visits)
+    at = _coordinates(k)
 
     def compare(queries: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
         best = queries["best"].to_numpy(dtype=float).copy()
         if len(queries) and len(page):
-            at = np.stack(page["low"].to_numpy())
-            for start in range(0, len(queries), 2000):
-                x = np.stack(queries["p"].iloc[start : start + 2000].to_numpy())
-                part = slice(start, start + len(x))
-                best[part] = np.minimum(best[part], _gaps(x, at, at, n).min(axis=1))
+            records = np.stack(page["low"].to_numpy())
+            x = queries[at].to_numpy()
+            for start in range(0, len(x), 4000):
+                part = slice(start, start + 4000)
+                best[part] = np.minimum(best[part], _gaps(x[part], records, records, n).min(axis=1))
         return pd.DataFrame({"q": queries["q"], "best": best})
 
     found = left.groupBy("node", "salt").cogroup(right.groupBy("parent", "salt")).applyInPandas(compare, "q bigint, best double")
     return found.groupBy("q").agg(F.min("best").alias("best"))
 
 
-_CANDIDATES = T.StructType([
-    T.StructField("q", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType())),
-    T.StructField("node", T.LongType()), T.StructField("gap", T.DoubleType()), T.StructField("best", T.DoubleType()),
-])
-
-
-def _tighten(found: DataFrame) -> DataFrame:
-    """Keep the pages nearer than the best bound any visit of the query has found."""
-    best = found.groupBy("q").agg(F.min("best").alias("_best"))
-    return found.join(best, "q").where("gap <= _best").withColumn("best", F.col("_best")).drop("_best")
-
-
 def closest(
     queries: DataFrame, levels: list[DataFrame], space: Space, visits: int = VISITS
 ) -> DataFrame:
     """(q, distance) for queries (q, p) against packed records."""
-    n = len(space.numbers)
-    top = queries.select("q", "p", F.lit(0).cast("bigint").alias("node"), F.lit(0.0).alias("gap"), F.lit(2.0).alias("best"))
-    candidates = top
-    # From the top page down to the pages of points.
+    n, k = len(space.numbers), len(space.columns)
+    spread = [F.col("p")[i].alias(c) for i, c in enumerate(_coordinates(k))]
+    # A distance is at most 1.
+    top = queries.select("q", *spread, F.lit(2.0).alias("best"), F.lit(0).cast("bigint").alias("node"))
+    if len(levels) == 1:
+        return _measure(top, levels[0], n, k, visits).withColumnRenamed("best", "distance")
+
+    # First straight to the nearest page: its closest record rules out most other pages.
+    near = top
+    for level in reversed(levels[1:]):
+        near = _visit(near, level, n, k, visits, greedy=True)
+    first = materialize(_measure(near, levels[0], n, k, visits).withColumnRenamed("best", "_first"))
+    # Then every page that could hold a closer one.
+    found = top.join(first, "q").withColumn("best", F.col("_first")).drop("_first").where("best > 0")
     for level in reversed(levels[1:]):
-        candidates = materialize(_tighten(_visit(candidates, level, n, visits)))
-    if len(levels) > 1:
-        # The nearest page first: its closest record rules out most of the others.
-        home = candidates.groupBy("q").agg(F.min(F.struct("gap", "node")).alias("h"))
-        near = candidates.join(home, "q").where("gap = h.gap and node = h.node").drop("h")
-        first = materialize(_measure(near, levels[0], n, visits).withColumnRenamed("best", "_first"))
-        rest = candidates.join(home, "q").where("not (gap = h.gap and node = h.node)").drop("h").join(first, "q")
-        rest = rest.where("gap < _first").withColumn("best", F.col("_first")).drop("_first")
-        more = _measure(rest, levels[0], n, visits)
-        return first.join(more, "q", "left").select("q", F.coalesce("best", "_first").alias("distance"))
-    return _measure(candidates, levels[0], n, visits).withColumnRenamed("best", "distance")
+        found = materialize(_visit(found, level, n, k, visits, greedy=False))
+    more = _measure(found, levels[0], n, k, visits)
+    return first.join(more, "q", "left").select("q", F.coalesce("best", "_first").alias("distance"))
 
 
 def pack(records: DataFrame, space: Space, fanout: int = FANOUT) -> list[DataFrame]:
