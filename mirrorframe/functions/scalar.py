@@ -143,3 +143,19 @@ def coverage_text(solved: Column, total: Column) -> Column:
 def past_deadline(now: Column, launched: Column, timeout_seconds: Column) -> Column:
     """One day of grace after launch plus timeout."""
     return now >= launched + F.make_dt_interval(F.lit(1), F.lit(0), F.lit(0), timeout_seconds.cast("decimal(18,6)"))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows holding both values; null where either does not vary.
+
+    The built-in aggregate divides by zero on constant columns.
+    """
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Slope of y over x; null where x does not vary."""
+    x = F.when(y.isNotNull(), x)
+    return F.covar_pop(y, x) / F.nullif(F.var_pop(x), F.lit(0.0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mirrorframe.functions import scalar as S
 from mirrorframe.metrics.shapes import share
+from mirrorframe.session import spread
 from mirrorframe.synth.simple import as_number
 
 BINS = 10
@@ -21,10 +22,10 @@ def correlation_similarity(
     pairs = pairs or list(combinations(columns, 2))
 
     def numbers(df, side):
-        return df.select(F.lit(side).alias("side"), *[as_number(df.schema, c).cast("double").alias(c) for c in columns])
+        return df.select(F.lit(side).alias("side"), *[S.no_nan(as_number(df.schema, c).cast("double")).alias(c) for c in columns])
 
     rows = numbers(real, "real").unionByName(numbers(synthetic, "synthetic")).groupBy("side").agg(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.corr(a, b).alias("rho")) for a, b in pairs
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), S.correlation(F.col(a), F.col(b)).alias("rho")) for a, b in pairs
     ]).alias("all"))
     flat = rows.select("side", F.explode("all").alias("p")).select("side", "p.*")
     rho = {s: F.max(F.when(F.col("side") == s, S.no_nan(F.col("rho")))) for s in ("real", "synthetic")}
@@ -61,7 +62,7 @@ def discretized(df: DataFrame, texts: list[str], bounds: dict[str, tuple[float,
 
 def pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(column_a, column_b, value_a, value_b) for pairs of columns of the same row."""
-    return df.select(F.explode(F.array(*[
+    return spread(df).select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(a).alias("value_a"), F.col(b).alias("value_b"))
         for a, b in pairs
     ])).alias("p")).select("p.*")

@@ -27,7 +27,7 @@ def interval_features(
     where = (F.col("t") - F.col("t0")).cast("double") / F.greatest(F.col("t1") - F.col("t0"), F.lit(1)).cast("double") * intervals
     placed = timed.join(spans, "key").select("key", "v", where.alias("x"), F.least(F.floor(where), F.lit(intervals - 1)).cast("int").alias("interval"))
     return placed.groupBy("key", "interval").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.regr_slope("v", "x").alias("slope"),
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), S.slope(F.col("v"), F.col("x")).alias("slope"),
         F.count(F.lit(1)).alias("n"),
     )
 

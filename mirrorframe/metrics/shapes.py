@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from mirrorframe.functions import scalar as S
 from mirrorframe.operators.prefix import WINDOW_ROWS, Running, running
+from mirrorframe.session import materialize, spread
 from mirrorframe.synth.simple import as_number
 
 
@@ -24,7 +25,8 @@ def column_values(df: DataFrame, columns: list[str], numeric: bool) -> DataFrame
         return S.no_nan(as_number(df.schema, c).cast("double")) if numeric else F.col(c).cast("string")
 
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns]))
-    return df.select(pairs.alias("p")).select("p.*").where("value is not null")
+    # Only the columns asked for are read and redistributed.
+    return spread(df.select(*columns)).select(pairs.alias("p")).select("p.*").where("value is not null")
 
 
 def paired_counts(real: DataFrame, synthetic: DataFrame, columns: list[str], numeric: bool) -> DataFrame:
@@ -45,13 +47,13 @@ def ks_complement(
 
 
 def ks_of_counts(counts: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    counts = materialize(counts)
     cumulated = running(
         counts, ["column"], [F.col("value")],
-        [Running("c_real", "sum", "n_real"), Running("c_synthetic", "sum", "n_synthetic")], window_rows,
+        [Running("c_real", "sum", "n_real"), Running("c_synthetic", "sum", "n_synthetic")], window_rows, stored=True,
     )
-    # The last running count of a column is its total; sums of integers and maxima combine in any order.
-    totals = cumulated.groupBy("column").agg(
-        F.max("c_real").alias("t_real"), F.max("c_synthetic").alias("t_synthetic")
+    totals = counts.groupBy("column").agg(
+        F.sum("n_real").alias("t_real"), F.sum("n_synthetic").alias("t_synthetic")
     )
     gap = F.abs(share(F.col("c_real"), F.col("t_real")) - share(F.col("c_synthetic"), F.col("t_synthetic")))
     return cumulated.join(totals, "column").groupBy("column").agg((1.0 - F.max(gap)).alias("score"))

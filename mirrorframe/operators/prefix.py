@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from mirrorframe.session import materialize
 
 # Rows of one group that a single window task may sort.
-WINDOW_ROWS = 2_000_000
+WINDOW_ROWS = 1_000_000
 
 _FUNCTIONS = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -37,17 +37,20 @@ def running(
     order: Sequence[Column],
     specs: Sequence[Running],
     window_rows: int = WINDOW_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
-    """`df` plus running aggregates per `part` in `order`; (`part`, `order`) must identify a row."""
+    """`df` plus running aggregates per `part` in `order`; (`part`, `order`) must identify a row.
+
+    The input is read several times, so it is written out first unless it is `stored` already.
+    """
     part = list(part)
-    base = materialize(df)
+    base = df if stored else materialize(df)
     sizes = base.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
     largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
     if (largest or 0) <= window_rows:
         return base.withColumns(_windowed(specs, part, order))
 
-    slices = max(base.sparkSession.conf.get("spark.sql.shuffle.partitions") and
-                 int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // window_rows))
+    slices = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // window_rows))
     sliced = materialize(
         base.repartitionByRange(slices, *[F.col(c) for c in part], *order).withColumn("_slice", F.spark_partition_id())
     )

@@ -25,6 +25,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def current() -> SparkSession:
+    """The session of this thread, or the application's default one (threads of a pool have none active)."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is named."""
     path = spark.conf.get(SCRATCH_CONF, None)
@@ -46,6 +51,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Below this estimated size a frame may be redistributed to use idle cores.
+SPREAD_BYTES = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores before work that is heavy per row.
+
+    A small file is one split and would keep one core busy. Inputs beyond SPREAD_BYTES come in many
+    splits already and are left as they are: they are never shuffled for this.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application materialized (call when its frames are no longer used)."""
     jvm = spark.sparkContext._jvm

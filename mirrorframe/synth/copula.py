@@ -13,14 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirrorframe.functions import gaussian
 from mirrorframe.functions import random as rnd
 from mirrorframe.functions import scalar as S
-from mirrorframe.session import materialize
+from mirrorframe.session import current, materialize, spread
 from mirrorframe.sources.metadata import TableSpec
 from mirrorframe.synth import lookup
 from mirrorframe.synth.simple import as_number, bootstrap_rows, integers, objects, times
@@ -112,7 +112,7 @@ def _fit(data: DataFrame, schema: T.StructType) -> CopulaModel:
     triangles = {s: np.eye(len(columns)) for s in counts}
     if len(columns) > 1:
         found = scored.groupBy("_segment").agg(*[
-            F.corr(a, b).alias(f"{i}|{j}") for (i, a), (j, b) in combinations(enumerate(columns), 2)
+            S.correlation(F.col(a), F.col(b)).alias(f"{i}|{j}") for (i, a), (j, b) in combinations(enumerate(columns), 2)
         ]).collect()
         for r in found:
             matrix = np.eye(len(columns))
@@ -226,10 +226,10 @@ class GaussianCopulaSynthesizer:
         self.seed = seed
 
     def fit(self, data: DataFrame, table: TableSpec | None = None) -> CopulaModel:
-        return _fit(data.withColumn("_segment", F.lit(0)), data.schema)
+        return _fit(spread(data).withColumn("_segment", F.lit(0)), data.schema)
 
     def sample(self, model: CopulaModel, n_rows: int) -> DataFrame:
-        ids = lookup.row_ids(SparkSession.getActiveSession(), n_rows)
+        ids = lookup.row_ids(current(), n_rows)
         return sample_copula(model, ids, self.seed).drop("id")
 
 

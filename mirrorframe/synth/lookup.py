@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorframe.operators import prefix
-from mirrorframe.session import materialize
+from mirrorframe.session import materialize, spread
 
 # Largest value list that is looked up as an array carried by every task; larger ones are joined.
 SMALL_DOMAIN = 10_000
@@ -30,7 +30,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
     ])).alias("p")
-    return df.select(pairs).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    return spread(df.select(*columns)).select(pairs).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def domains(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, int]]:

@@ -7,13 +7,14 @@ from typing import Any
 
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirrorframe.functions import random as rnd
 from mirrorframe.functions import scalar as S
 from mirrorframe.operators import prefix
+from mirrorframe.session import current
 from mirrorframe.sources.metadata import INTEGER_TYPES, NUMERIC_TYPES, Metadata, TableSpec
 from mirrorframe.synth import lookup
 
@@ -86,7 +87,7 @@ class UniformSynthesizer:
         return UniformModel(schema, bounds, domains, sizes)
 
     def sample(self, model: UniformModel, n_rows: int, row_id: str | None = None) -> DataFrame:
-        return self._draw(lookup.row_ids(SparkSession.getActiveSession(), n_rows), model, row_id)
+        return self._draw(lookup.row_ids(current(), n_rows), model, row_id)
 
     def _draw(self, ids: DataFrame, model: UniformModel, row_id: str | None) -> DataFrame:
         i = F.col("id")
@@ -191,7 +192,7 @@ class ColumnSynthesizer:
         return out
 
     def sample(self, model: ColumnModel, n_rows: int) -> DataFrame:
-        drawn = lookup.row_ids(SparkSession.getActiveSession(), n_rows)
+        drawn = lookup.row_ids(current(), n_rows)
         i = F.col("id")
         drawn = drawn.withColumns({c: self._number(model, c, i) for c in model.mixtures})
         for (c,), (total, distinct) in model.sizes.items():

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirrorframe.functions import random as rnd
 from mirrorframe.operators.prefix import Running, running
-from mirrorframe.session import materialize
+from mirrorframe.session import current, materialize
 from mirrorframe.sources.metadata import Metadata, Relationship
 from mirrorframe.synth import lookup
 from mirrorframe.synth.copula import CopulaModel, GaussianCopulaSynthesizer, sample_copula
@@ -86,7 +86,7 @@ class HierarchicalSynthesizer:
         return HierarchyModel(metadata, {n: df.schema for n, df in data.items()}, rows, attributes, generators)
 
     def sample(self, model: HierarchyModel, scale: float = 1.0) -> dict[str, DataFrame]:
-        spark = SparkSession.getActiveSession()
+        spark = current()
         out, sizes = {}, {}
         for name in model.metadata.topological():
             if name in model.generators:
@@ -101,7 +101,7 @@ class HierarchicalSynthesizer:
     def _children(self, model, name, sizes):
         edge, ranges, total, distinct, largest = model.generators[name]
         seed = f"{self.seed}.{name}"
-        parents = lookup.row_ids(SparkSession.getActiveSession(), sizes[edge.parent_table])
+        parents = lookup.row_ids(current(), sizes[edge.parent_table])
         draws = parents.select(
             F.col("id").alias("_parent"), rnd.index(seed, "#children", F.col("id"), F.lit(total)).alias("_d")
         )
