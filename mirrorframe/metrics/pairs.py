@@ -36,11 +36,23 @@ def correlation_similarity(
 
 def numeric_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """[min, max] per column: one row of two numbers per column."""
-    if not columns:
-        return {}
-    row = df.agg(*[f(S.no_nan(as_number(df.schema, c).cast("double"))).alias(f"{c}|{n}") for c in columns
-                   for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-    return {c: (row[f"{c}|lo"], row[f"{c}|hi"]) for c in columns}
+    return bounds_of({"": (df, columns)})[""]
+
+
+def bounds_of(tables: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, dict[str, tuple[float, float]]]:
+    """Bounds of the columns of several tables in one job."""
+    frames = None
+    for name, (df, columns) in tables.items():
+        if not columns:
+            continue
+        value = {c: S.no_nan(as_number(df.schema, c).cast("double")) for c in columns}
+        one = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+                               for c, v in value.items()]).alias("all")).select(F.lit(name).alias("name"), "all")
+        frames = one if frames is None else frames.unionByName(one)
+    found = {name: {} for name in tables}
+    for row in frames.collect() if frames is not None else []:
+        found[row["name"]] = {b["column"]: (b["lo"], b["hi"]) for b in row["all"]}
+    return found
 
 
 def binned(df: DataFrame, column: str, bounds: tuple[float, float]) -> Column:
@@ -61,13 +73,21 @@ def discretized(df: DataFrame, texts: list[str], bounds: dict[str, tuple[float,
 
 
 def pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(column_a, column_b, value_a, value_b) for pairs of columns of the same row."""
+    """(pair, value_a, value_b) for pairs of columns of the same row; `pair` is a position in `pairs`."""
     return spread(df).select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(a).alias("value_a"), F.col(b).alias("value_b"))
-        for a, b in pairs
+        F.struct(F.lit(i).alias("pair"), F.col(a).alias("value_a"), F.col(b).alias("value_b"))
+        for i, (a, b) in enumerate(pairs)
     ])).alias("p")).select("p.*")
 
 
+def named_pairs(counts: DataFrame, pairs: list[tuple[str, str]], prefix: str = "") -> DataFrame:
+    """Names in place of positions, once the rows have been counted."""
+    def name(side):
+        return F.element_at(F.array(*[F.lit((prefix if side == 0 else "") + p[side]) for p in pairs]), F.col("pair") + 1)
+
+    return counts.withColumns({"column_a": name(0), "column_b": name(1)}).drop("pair")
+
+
 def contingency_similarity(
     real: DataFrame,
     synthetic: DataFrame,
@@ -79,16 +99,24 @@ def contingency_similarity(
 
     The pair counts are small next to the rows, so they are combined in the tasks that read them.
     """
-    columns = [*texts, *numbers]
-    pairs = pairs or list(combinations(columns, 2))
+    pairs = pairs or list(combinations([*texts, *numbers], 2))
     bounds = numeric_bounds(real, list(numbers))
-    keys = ["column_a", "column_b", "value_a", "value_b"]
-    both = pair_rows(discretized(real, texts, bounds), pairs).withColumn("is_real", F.lit(1)).unionByName(
-        pair_rows(discretized(synthetic, texts, bounds), pairs).withColumn("is_real", F.lit(0))
+    cut = [discretized(df, texts, bounds) for df in (real, synthetic)]
+    return contingency_of_counts(pair_counts(*cut, pairs))
+
+
+def pair_counts(real: DataFrame, synthetic: DataFrame, pairs: list[tuple[str, str]], prefix: str = "") -> DataFrame:
+    """Joint counts of discretized columns on both sides."""
+    both = pair_rows(real, pairs).withColumn("is_real", F.lit(1)).unionByName(
+        pair_rows(synthetic, pairs).withColumn("is_real", F.lit(0))
     )
-    counts = both.groupBy(*keys).agg(
+    counts = both.groupBy("pair", "value_a", "value_b").agg(
         F.sum("is_real").cast("bigint").alias("n_real"), F.sum(1 - F.col("is_real")).cast("bigint").alias("n_synthetic")
     )
+    return named_pairs(counts, pairs, prefix)
+
+
+def contingency_of_counts(counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("column_a", "column_b").agg(
         F.sum("n_real").alias("t_real"), F.sum("n_synthetic").alias("t_synthetic")
     )
@@ -101,9 +129,9 @@ def contingency_similarity(
 def mutual_information(df: DataFrame, texts: list[str], numbers: list[str] = ()) -> DataFrame:
     """Mutual information (nats) of every pair of columns, from joint counts."""
     table = discretized(df, texts, numeric_bounds(df, list(numbers)))
-    joint = pair_rows(table, list(combinations([*texts, *numbers], 2))).groupBy(
-        "column_a", "column_b", "value_a", "value_b"
-    ).agg(F.count(F.lit(1)).alias("n"))
+    pairs = list(combinations([*texts, *numbers], 2))
+    joint = named_pairs(
+        pair_rows(table, pairs).groupBy("pair", "value_a", "value_b").agg(F.count(F.lit(1)).alias("n")), pairs)
     key = ["column_a", "column_b"]
     left = joint.groupBy(*key, F.col("value_a").alias("_a")).agg(F.sum("n").alias("n_a"))
     right = joint.groupBy(*key, F.col("value_b").alias("_b")).agg(F.sum("n").alias("n_b"))

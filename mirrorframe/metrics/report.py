@@ -19,10 +19,6 @@ def modelled(table: TableSpec) -> tuple[list[str], list[str]]:
     return table.of_type(*NUMBERS), table.of_type(*TEXTS)
 
 
-def _tagged(scores: DataFrame, **tags: str) -> DataFrame:
-    return scores.select(*[F.lit(v).alias(k) for k, v in tags.items()], "score")
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
@@ -30,100 +26,123 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def quality_scores(real: DataFrame, synthetic: DataFrame, table: TableSpec) -> list[DataFrame]:
-    """(property, score) frames of one table: column shapes and column pair trends."""
-    numbers, texts = modelled(table)
-    found = []
-    if numbers:
-        found.append(_tagged(shapes.ks_complement(real, synthetic, numbers), property="column_shapes"))
-    if texts:
-        found.append(_tagged(shapes.tv_complement(real, synthetic, texts), property="column_shapes"))
-    if len(numbers) > 1:
-        found.append(_tagged(P.correlation_similarity(real, synthetic, numbers), property="column_pair_trends"))
-    mixed = [(a, b) for a, b in combinations([*texts, *numbers], 2) if not (a in numbers and b in numbers)]
-    if mixed:
-        found.append(_tagged(P.contingency_similarity(real, synthetic, texts, numbers, mixed), property="column_pair_trends"))
-    return found
+def _tagged(scores: DataFrame, name: str) -> DataFrame:
+    return scores.select(F.lit(name).alias("property"), "score")
+
+
+def _by_prefix(scores: DataFrame, column: str = "column") -> DataFrame:
+    """The property is what precedes the first bar of the column's name."""
+    return scores.select(F.substring_index(column, "|", 1).alias("property"), "score")
 
 
 def _report(frames: list[DataFrame]) -> DataFrame:
     """Mean score per property, and over the properties."""
     properties = _union(frames).groupBy("property").agg(F.avg("score").alias("score"))
-    overall = properties.agg(F.lit("overall").alias("property"), F.avg("score").alias("score"))
-    return properties.unionByName(overall)
+    # A handful of properties: one row, so nothing is computed twice for the mean over them.
+    row = properties.agg(F.collect_list(F.struct("property", "score")).alias("all"), F.avg("score").alias("mean"))
+    overall = F.struct(F.lit("overall").alias("property"), F.col("mean").alias("score"))
+    return row.select(F.explode(F.concat("all", F.array(overall))).alias("p")).select("p.*")
 
 
-def quality_report(real: DataFrame, synthetic: DataFrame, table: TableSpec) -> DataFrame:
-    return _report(quality_scores(real, synthetic, table))
+def _quality(
+    real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: Metadata
+) -> DataFrame:
+    """Counts of all tables and relationships are united first, so each metric is one plan for the dataset."""
+    bounds = P.bounds_of({n: (real[n], t.of_type(*NUMBERS)) for n, t in metadata.tables.items()})
+    numeric, textual, joint, frames = [], [], [], []
+    cut = {}
+    for name, table in metadata.tables.items():
+        numbers, texts = modelled(table)
+        prefix = f"column_shapes|{name}|"
+        if numbers:
+            numeric.append(shapes.paired_counts(real[name], synthetic[name], numbers, True, prefix))
+        if texts:
+            textual.append(shapes.paired_counts(real[name], synthetic[name], texts, False, prefix))
+        if len(numbers) > 1:
+            frames.append(_tagged(P.correlation_similarity(real[name], synthetic[name], numbers), "column_pair_trends"))
+        mixed = [(a, b) for a, b in combinations([*texts, *numbers], 2) if not (a in numbers and b in numbers)]
+        cut[name] = tuple(
+            df.select(
+                *metadata.keys_of(name), *[F.col(c).cast("string").alias(f"d|{c}") for c in texts],
+                *[P.binned(df, c, b).alias(f"d|{c}") for c, b in bounds[name].items()])
+            for df in (real[name], synthetic[name]))
+        if mixed:
+            plain = [df.select(*[F.col(f"`d|{c}`").alias(c) for c in [*texts, *numbers]]) for df in cut[name]]
+            joint.append(P.pair_counts(*plain, mixed, f"column_pair_trends|{name}|"))
+    for e in metadata.relationships:
+        sides = [(d[e.parent_table], d[e.child_table]) for d in (real, synthetic)]
+        numeric.append(validity.cardinality_counts(*sides, e.parent_key, e.child_key, f"cardinality|{e.parent_table}|"))
+        between = _between(e, cut, metadata)
+        if between is not None:
+            joint.append(between)
+    if numeric:
+        frames.append(_by_prefix(shapes.ks_of_counts(_union(numeric))))
+    if textual:
+        frames.append(_by_prefix(shapes.tv_of_counts(_union(textual))))
+    if joint:
+        frames.append(_by_prefix(P.contingency_of_counts(_union(joint)), "column_a"))
+    return _report(frames)
 
 
-def inter_table_trends(
-    real: tuple[DataFrame, DataFrame], synthetic: tuple[DataFrame, DataFrame], edge, parent: TableSpec, child: TableSpec
-) -> DataFrame | None:
-    """Contingency similarity of parent columns with child columns over joined rows."""
-    p_numbers, p_texts = modelled(parent)
-    c_numbers, c_texts = modelled(child)
-    pairs = [(f"p_{a}", f"c_{b}") for a in [*p_texts, *p_numbers] for b in [*c_texts, *c_numbers]]
+def _between(edge, cut, metadata: Metadata) -> DataFrame | None:
+    """Joint counts of parent columns with child columns over linked rows; only bin codes are joined."""
+    parents = [*sum(modelled(metadata.tables[edge.parent_table]), [])]
+    children = [*sum(modelled(metadata.tables[edge.child_table]), [])]
+    pairs = [(f"p_{a}", f"c_{b}") for a in parents for b in children]
     if not pairs:
         return None
+    joined = []
+    for parent, child in zip(cut[edge.parent_table], cut[edge.child_table], strict=True):
+        left = parent.select(F.col(edge.parent_key).alias("_k"), *[F.col(f"`d|{c}`").alias(f"p_{c}") for c in parents])
+        right = child.select(F.col(edge.child_key).alias("_k"), *[F.col(f"`d|{c}`").alias(f"c_{c}") for c in children])
+        joined.append(right.join(left, "_k").drop("_k"))
+    return P.pair_counts(*joined, pairs, f"inter_table_trends|{edge.parent_table}|{edge.child_table}|{edge.child_key}|")
 
-    def joined(parents, children):
-        left = parents.select(F.col(edge.parent_key).alias("_k"), *[F.col(c).alias(f"p_{c}") for c in [*p_texts, *p_numbers]])
-        right = children.select(F.col(edge.child_key).alias("_k"), *[F.col(c).alias(f"c_{c}") for c in [*c_texts, *c_numbers]])
-        return right.join(left, "_k").drop("_k")
 
-    texts = [*[f"p_{c}" for c in p_texts], *[f"c_{c}" for c in c_texts]]
-    numbers = [*[f"p_{c}" for c in p_numbers], *[f"c_{c}" for c in c_numbers]]
-    return P.contingency_similarity(joined(*real), joined(*synthetic), texts, numbers, pairs)
+def quality_report(real: DataFrame, synthetic: DataFrame, table: TableSpec) -> DataFrame:
+    """Column shapes and column pair trends of one table."""
+    return _quality({"table": real}, {"table": synthetic}, Metadata({"table": table}))
 
 
 def multi_table_quality_report(
     real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: Metadata
 ) -> DataFrame:
     """Adds cardinality per relationship and trends between linked tables."""
+    return _quality(real, synthetic, metadata)
+
+
+def _diagnostic(real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: Metadata) -> DataFrame:
+    bounds = P.bounds_of({n: (real[n], t.of_type(*NUMBERS)) for n, t in metadata.tables.items()})
     frames = []
     for name, table in metadata.tables.items():
-        frames += quality_scores(real[name], synthetic[name], table)
+        numbers, texts = modelled(table)
+        if numbers:
+            inside = validity.boundary_adherence(real[name], synthetic[name], numbers, bounds[name])
+            frames.append(_tagged(inside, "data_validity"))
+        if texts:
+            frames.append(_tagged(validity.category_adherence(real[name], synthetic[name], texts), "data_validity"))
+        if table.primary_key:
+            frames.append(_tagged(validity.key_uniqueness(synthetic[name], table.primary_key), "data_validity"))
+        overlap = validity.structure(real[name].select(*table.columns), synthetic[name])
+        # One row, taken from the table so the report stays a single plan.
+        frames.append(synthetic[name].agg(F.lit("data_structure").alias("property"), F.lit(overlap).alias("score")))
     for e in metadata.relationships:
-        sides = [(d[e.parent_table], d[e.child_table]) for d in (real, synthetic)]
-        frames.append(_tagged(
-            validity.cardinality_shape(*sides, e.parent_key, e.child_key), property="cardinality"))
-        trends = inter_table_trends(*sides, e, metadata.tables[e.parent_table], metadata.tables[e.child_table])
-        if trends is not None:
-            frames.append(_tagged(trends, property="inter_table_trends"))
+        valid = validity.referential_integrity(
+            synthetic[e.child_table], e.child_key, synthetic[e.parent_table], e.parent_key)
+        frames.append(_tagged(valid, "relationship_validity"))
     return _report(frames)
 
 
-def diagnostic_scores(real: DataFrame, synthetic: DataFrame, table: TableSpec) -> list[DataFrame]:
-    numbers, texts = modelled(table)
-    found = []
-    if numbers:
-        found.append(_tagged(validity.boundary_adherence(real, synthetic, numbers), property="data_validity"))
-    if texts:
-        found.append(_tagged(validity.category_adherence(real, synthetic, texts), property="data_validity"))
-    if table.primary_key:
-        found.append(_tagged(validity.key_uniqueness(synthetic, table.primary_key), property="data_validity"))
-    overlap = validity.structure(real.select(*table.columns), synthetic)
-    # One row; a row of this table keeps the report a single plan.
-    found.append(synthetic.agg(F.lit("data_structure").alias("property"), F.lit(overlap).alias("score")))
-    return found
-
-
 def diagnostic_report(real: DataFrame, synthetic: DataFrame, table: TableSpec) -> DataFrame:
-    return _report(diagnostic_scores(real, synthetic, table))
+    """Validity of values and keys, and structure."""
+    return _diagnostic({"table": real}, {"table": synthetic}, Metadata({"table": table}))
 
 
 def multi_table_diagnostic_report(
     real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: Metadata
 ) -> DataFrame:
-    frames = []
-    for name, table in metadata.tables.items():
-        frames += diagnostic_scores(real[name], synthetic[name], table)
-    for e in metadata.relationships:
-        frames.append(_tagged(
-            validity.referential_integrity(synthetic[e.child_table], e.child_key, synthetic[e.parent_table], e.parent_key),
-            property="relationship_validity"))
-    return _report(frames)
+    """Adds the validity of every relationship."""
+    return _diagnostic(real, synthetic, metadata)
 
 
 def overall(report: DataFrame) -> float | None:

@@ -20,23 +20,30 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def column_values(df: DataFrame, columns: list[str], numeric: bool) -> DataFrame:
-    """(column, value) rows of the non-null values of `columns`."""
+    """(at, value) rows of the non-null values of `columns`; `at` is a position in `columns`."""
     def value(c):
         return S.no_nan(as_number(df.schema, c).cast("double")) if numeric else F.col(c).cast("string")
 
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), value(c).alias("value")) for i, c in enumerate(columns)]))
     # Only the columns asked for are read and redistributed.
     return spread(df.select(*columns)).select(pairs.alias("p")).select("p.*").where("value is not null")
 
 
-def paired_counts(real: DataFrame, synthetic: DataFrame, columns: list[str], numeric: bool) -> DataFrame:
-    """(column, value, n_real, n_synthetic), counted map-side first: a hot value is one row per task."""
+def paired_counts(
+    real: DataFrame, synthetic: DataFrame, columns: list[str], numeric: bool, prefix: str = ""
+) -> DataFrame:
+    """(column, value, n_real, n_synthetic), counted map-side first: a hot value is one row per task.
+
+    Columns are named, with a `prefix`, once the values have been counted.
+    """
     both = column_values(real, columns, numeric).withColumn("is_real", F.lit(1)).unionByName(
         column_values(synthetic, columns, numeric).withColumn("is_real", F.lit(0))
     )
-    return both.groupBy("column", "value").agg(
+    counts = both.groupBy("at", "value").agg(
         F.sum("is_real").cast("bigint").alias("n_real"), F.sum(1 - F.col("is_real")).cast("bigint").alias("n_synthetic")
     )
+    name = F.element_at(F.array(*[F.lit(prefix + c) for c in columns]), F.col("at") + 1)
+    return counts.select(name.alias("column"), "value", "n_real", "n_synthetic")
 
 
 def ks_complement(
@@ -69,9 +76,12 @@ def _with_totals(counts: DataFrame) -> DataFrame:
 
 def tv_complement(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """1 minus half the summed frequency differences, per categorical column."""
-    counts = _with_totals(paired_counts(real, synthetic, columns, numeric=False))
+    return tv_of_counts(paired_counts(real, synthetic, columns, numeric=False))
+
+
+def tv_of_counts(counts: DataFrame) -> DataFrame:
     gap = F.abs(share(F.col("n_real"), F.col("t_real")) - share(F.col("n_synthetic"), F.col("t_synthetic")))
-    return counts.groupBy("column").agg((1.0 - F.sum(gap) / 2).alias("score"))
+    return _with_totals(counts).groupBy("column").agg((1.0 - F.sum(gap) / 2).alias("score"))
 
 
 def chi_square(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,9 +13,11 @@ from mirrorframe.synth.simple import as_number
 from mirrorframe.synth.tables import children_per_parent
 
 
-def boundary_adherence(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+def boundary_adherence(
+    real: DataFrame, synthetic: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]] | None = None
+) -> DataFrame:
     """Share of the non-null synthetic values inside the real [min, max]; one scan of each side."""
-    bounds = numeric_bounds(real, columns)
+    bounds = bounds or numeric_bounds(real, columns)
 
     def inside(c):
         low, high = bounds[c]
@@ -62,16 +64,23 @@ def cardinality_shape(
     real: tuple[DataFrame, DataFrame], synthetic: tuple[DataFrame, DataFrame], parent_key: str, child_key: str
 ) -> DataFrame:
     """KS complement of children per parent; each side is (parent, child). Childless parents count as 0."""
+    return ks_of_counts(cardinality_counts(real, synthetic, parent_key, child_key))
+
+
+def cardinality_counts(
+    real: tuple[DataFrame, DataFrame], synthetic: tuple[DataFrame, DataFrame], parent_key: str, child_key: str,
+    prefix: str = "",
+) -> DataFrame:
+    """Parents per number of children on both sides, in the form of `paired_counts`."""
     def counted(side, parent, child):
         n = children_per_parent(parent, parent_key, child, child_key)
-        return n.groupBy(F.col("n").alias("value")).agg(F.count(F.lit(1)).alias("k")).withColumn("side", F.lit(side))
+        return n.groupBy(F.col("n").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("k")).withColumn("side", F.lit(side))
 
     both = counted("real", *real).unionByName(counted("synthetic", *synthetic))
-    counts = both.groupBy(F.lit(child_key).alias("column"), "value").agg(
+    return both.groupBy(F.lit(prefix + child_key).alias("column"), "value").agg(
         F.sum(F.when(F.col("side") == "real", F.col("k")).otherwise(0)).alias("n_real"),
         F.sum(F.when(F.col("side") == "synthetic", F.col("k")).otherwise(0)).alias("n_synthetic"),
     )
-    return ks_of_counts(counts)
 
 
 def new_row_synthesis(
