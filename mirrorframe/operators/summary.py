@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mirrorframe.functions import scalar as S
 from mirrorframe.operators import results as R
 from mirrorframe.operators.prefix import Running, numbered, running
+from mirrorframe.session import materialize
 
 # Plot markers in the order they are handed out, the curve's padding and its colours.
 MARKERS = [
@@ -74,7 +75,7 @@ def summarize_runs(
 ) -> tuple[DataFrame, DataFrame]:
     """(summary over all runs up to `folder`, detailed rows of `folder`) in one plan over all runs."""
     rows = runs_not_later(results, folder, "run")
-    judged = R.wins(R.process_results(rows, order, by=["run"], require=True), order, baseline, by=["run"])
+    judged = materialize(R.wins(R.process_results(rows, order, by=["run"], require=True), order, baseline, by=["run"]))
     detail = judged.where(F.col("run") == folder)
     fallback = detail.agg(F.max("Fallback_Quality"), F.max("Fallback_Time")).first()
     dropped = [c for c, used in zip(("Adjusted_Quality_Score", "Adjusted_Total_Time"), fallback, strict=True) if used]
@@ -184,7 +185,8 @@ def rank_counts(pairs: DataFrame, field: str, ascending: bool, names: Sequence[s
     sorted in one task.
     """
     pick, beyond = (F.min, F.col(field) > F.col("_cut")) if ascending else (F.max, F.col(field) < F.col("_cut"))
-    known = pairs.where(F.col(field).isNotNull()).select("Dataset", "Synthesizer", field)
+    # Each rank reads what is left of the one before: the values are written once.
+    known = materialize(pairs.where(F.col(field).isNotNull()).select("Dataset", "Synthesizer", field))
     values = known.select("Dataset", field).distinct()
     ranked, left = None, values
     for rank in range(1, len(names) + 1):
@@ -219,7 +221,7 @@ def coverage_report(
     """Per synthesizer: coverage, time, ranks, baselines beaten and error counts."""
     if datasets is not None:
         results = results.where(F.col("Dataset").isin(list(datasets)))
-    pairs = mean_per_pair(results)
+    pairs = materialize(mean_per_pair(results))
     of_baselines = pairs.where(F.col("Synthesizer").isin(list(baselines)))
     rest = pairs.where(~F.col("Synthesizer").isin(list(baselines)))
     ranked = rest.where(F.col("Synthesizer") != IDENTITY_MODEL)

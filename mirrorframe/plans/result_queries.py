@@ -72,7 +72,7 @@ def meets_baseline(spark, sf_dir):
 
 def summary_pivot(spark, sf_dir):
     """The pivoted summary, read back as (synthesizer, header, wins) rows."""
-    table = Y.summary_pivot(_all_runs(spark, sf_dir), V.run_versions(spark, sf_dir))
+    table = Y.summary_pivot(materialize(_all_runs(spark, sf_dir)), V.run_versions(spark, sf_dir))
     headers = [c for c in table.columns if c != "Synthesizer"]
     pairs = F.create_map(*[x for h in headers for x in (F.lit(h), F.col(f"`{h}`"))])
     return table.select("Synthesizer", F.explode(pairs).alias("header", "wins"))
