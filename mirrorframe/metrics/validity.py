@@ -60,6 +60,14 @@ def structure(real: DataFrame, synthetic: DataFrame) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def structure_overlap(real: DataFrame, synthetic: DataFrame) -> DataFrame:
+    """`structure` for whole catalogs: per dataset, shared over all (table, column, type) entries."""
+    key = ["dataset", "table_name", "column_name", "sdtype"]
+    sides = real.select(*key, F.lit(1).alias("side")).unionByName(synthetic.select(*key, F.lit(2).alias("side")))
+    entries = sides.groupBy(*key).agg(F.count_distinct("side").alias("sides"))
+    return entries.groupBy("dataset").agg(share(F.count_if(F.col("sides") == 2), F.count(F.lit(1))).alias("score"))
+
+
 def cardinality_shape(
     real: tuple[DataFrame, DataFrame], synthetic: tuple[DataFrame, DataFrame], parent_key: str, child_key: str
 ) -> DataFrame:

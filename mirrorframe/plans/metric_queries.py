@@ -89,6 +89,12 @@ def cardinality_shape(spark, sf_dir):
     return rounded(out, "score")
 
 
+def structure(spark, sf_dir):
+    """The catalog of all lines against that of the lines of real orders."""
+    out = validity.structure_overlap(V.catalog(spark, sf_dir), V.catalog(spark, sf_dir, "l_orderkey % 2 = 0"))
+    return rounded(out, "score")
+
+
 def new_row_synthesis(spark, sf_dir):
     out = validity.new_row_synthesis(*V.real_and_synthetic(spark, sf_dir), V.CATEGORICAL, ["l_quantity", "l_discount", "l_tax"])
     return rounded(out, "score")
@@ -231,7 +237,7 @@ QUERIES = {
     for f in [
         ks_complement, tv_complement, chi_square_stat, correlation_similarity, contingency_similarity, quality_report,
         diagnostic_report, uniform_quality, boundary_adherence, category_adherence, key_uniqueness,
-        referential_integrity, cardinality_shape, new_row_synthesis, multi_table_diagnostic, multi_table_quality,
+        referential_integrity, structure, cardinality_shape, new_row_synthesis, multi_table_diagnostic, multi_table_quality,
         dcr_baseline, mutual_information, bn_log_likelihood, gm_log_likelihood, tree_efficacy, logistic_efficacy,
         multiclass_efficacy, linear_efficacy, sequence_features, sequence_detection, sequence_efficacy,
         metadata_counts, relationships, schema_depth, row_counts, dataset_rows, dataset_summary, dataset_size,

@@ -120,9 +120,9 @@ def real_and_synthetic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return lines.where("l_orderkey % 2 = 0"), lines.where("l_orderkey % 2 = 1")
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (dataset, table, column) with a semantic type and key flags."""
-    return table(spark, sf_dir, "lineitem").groupBy(
+def catalog(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
+    """One row per (dataset, table, column) with a semantic type and key flags, from the lines meeting `rows`."""
+    return table(spark, sf_dir, "lineitem").where(rows).groupBy(
         F.expr("concat('d', cast(l_partkey % 12 as string))").alias("dataset"),
         F.expr("concat('t', cast(l_suppkey % 5 as string))").alias("table_name"),
         F.expr("concat('c', cast(l_orderkey % 9 as string))").alias("column_name"),

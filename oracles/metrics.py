@@ -132,6 +132,10 @@ SQL = {
     "cardinality_shape": f"""with a as (select o_orderkey, count(l_orderkey) as v from orders left join (select * from lineitem where l_orderkey % 2 = 0) on l_orderkey = o_orderkey group by 1),
  b as (select o_orderkey, count(l_orderkey) as v from (select * from orders where o_custkey % 3 = 0) left join lineitem on l_orderkey = o_orderkey group by 1)
  select col as "column", round(score, 6) as score from ({ks("select 'l_orderkey' as col, v, true as is_real from a union all select 'l_orderkey', v, false from b")})""",
+    "structure": f"""with {CATALOG}, {CATALOG.replace('catalog_v as', 'half_v as').replace('from lineitem', 'from lineitem where l_orderkey % 2 = 0')},
+ shared as (select dataset, table_name, column_name, sdtype from catalog_v intersect select dataset, table_name, column_name, sdtype from half_v),
+ every as (select dataset, table_name, column_name, sdtype from catalog_v union select dataset, table_name, column_name, sdtype from half_v)
+ select e.dataset, round(cast((select count(*) from shared s where s.dataset = e.dataset) as double) / count(*), 6) as score from every e group by 1""",
     "new_row_synthesis": f"""with {SIDES}, {bounds(['l_quantity', 'l_discount', 'l_tax'], 'sides where is_real')}, known as (select distinct * from ({cells('is_real')})),
  made as ({cells('not is_real')})
  select round(avg(case when (l_returnflag, l_linestatus, l_quantity, l_discount, l_tax) in (select (l_returnflag, l_linestatus, l_quantity, l_discount, l_tax) from known) then 0.0 else 1.0 end), 6) as score from made""",
