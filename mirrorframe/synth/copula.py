@@ -111,14 +111,15 @@ def _fit(data: DataFrame, schema: T.StructType) -> CopulaModel:
     columns = [*numbers, *texts]
     triangles = {s: np.eye(len(columns)) for s in counts}
     if len(columns) > 1:
+        # Scores are never null, so one deviation per column serves all its pairs.
         found = scored.groupBy("_segment").agg(*[
-            S.correlation(F.col(a), F.col(b)).alias(f"{i}|{j}") for (i, a), (j, b) in combinations(enumerate(columns), 2)
-        ]).collect()
+            F.covar_pop(a, b).alias(f"{i}|{j}") for (i, a), (j, b) in combinations(enumerate(columns), 2)
+        ], *[F.stddev_pop(c).alias(f"{i}") for i, c in enumerate(columns)]).collect()
         for r in found:
             matrix = np.eye(len(columns))
             for i, j in combinations(range(len(columns)), 2):
-                rho = r[f"{i}|{j}"]
-                matrix[i, j] = matrix[j, i] = 0.0 if rho is None or np.isnan(rho) else rho
+                spreads = r[f"{i}"] * r[f"{j}"]
+                matrix[i, j] = matrix[j, i] = r[f"{i}|{j}"] / spreads if spreads > 0 else 0.0
             triangles[r["_segment"]] = _triangle(matrix)
     shares = {s: n / total for s, n in sorted(counts.items())}
     return CopulaModel(schema, numbers, texts, shares, triangles, grids, ranges, sizes)
