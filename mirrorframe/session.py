@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH_CONF = "spark.checkpoint.dir"
 
+# Folders of local sessions without the setting, by application.
+_OWN: dict[str, str] = {}
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and the bench; a cluster brings its own."""
@@ -31,12 +34,20 @@ def current() -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is named and all runs in one process.
+
+    The setting is read, never written: it is fixed when a session starts.
+    """
     path = spark.conf.get(SCRATCH_CONF, None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="mirrorframe-")
-        spark.conf.set(SCRATCH_CONF, path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{SCRATCH_CONF} must name a folder that the driver and all executors of {master} share")
+    key = spark.sparkContext.applicationId
+    if key not in _OWN:
+        _OWN[key] = "file://" + tempfile.mkdtemp(prefix="mirrorframe-")
+    return _OWN[key]
 
 
 def materialize(df: DataFrame) -> DataFrame:
