@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorframe.llm import minmax
+from mirrorframe.llm import minmax, phrases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op5_minmax_near_dedup(spark, sf_dir):
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@query
+def op6_suffix_array_dedup(spark, sf_dir):
+    return phrases.removals(table(spark, sf_dir, "documents")).drop("kept")
