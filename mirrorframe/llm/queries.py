@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorframe.llm import minmax, phrases
+from mirrorframe.llm import minmax, packing, phrases, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +17,12 @@ def query(f):
     return f
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,3 +35,13 @@ def op5_minmax_near_dedup(spark, sf_dir):
 @query
 def op6_suffix_array_dedup(spark, sf_dir):
     return phrases.removals(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op1_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op9_minimum_slack_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
