@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorframe.llm import minmax, packing, phrases, tokens
+from mirrorframe.llm import containment, gam, hyperdim, imatch, minmax, packing, phrases, tokens, toxicity, urls
+
+# The rules of the URL query.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +48,33 @@ def op1_token_counts(spark, sf_dir):
 @query
 def op9_minimum_slack_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op2_hyperdimensional_language(spark, sf_dir):
+    return hyperdim.predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_gam(spark, sf_dir):
+    return gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_toxicity_pu(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_url_logistic_filter(spark, sf_dir):
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+@query
+def op3_minhash_containment(spark, sf_dir):
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_imatch_fingerprints(spark, sf_dir):
+    return imatch.compared(table(spark, sf_dir, "documents"))
