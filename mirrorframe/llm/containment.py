@@ -50,18 +50,19 @@ def contained(
 
     Words are runs of letters and digits, lower-cased; shingles are `width` words. Containment is the share of an item's
     distinct shingles that are in the document's text. Texts that are null or without words hold nothing and are in
-    nothing; a null id is returned as such; rows that repeat an id give their pairs once. Other columns are ignored.
+    nothing; a null id is returned as such; rows that repeat
+    an id give equal pairs once. Other columns are ignored.
     """
-    sketched = materialize(item_sketches(items, width, percent, item_id_col, item_text_col))
+    sketched = materialize(item_sketches(items, width, percent, item_id_col, item_text_col).withColumn("item", F.xxhash64("item_id", "members")))
     widths = sorted(r["width"] for r in sketched.select("width").distinct().collect())  # 1 to `width`
     if not widths:
         widths = [width]
-    probes = sent_if_small(sketched.select("item_id", F.explode("least").alias("hash")))
-    members = sent_if_small(sketched.select("item_id", "members", "n_item"))
+    probes = sent_if_small(sketched.select("item", F.explode("least").alias("hash")))
+    members = sent_if_small(sketched.select("item", "item_id", "members", "n_item"))
     words = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words"))
     shingled = words.select("doc_id", reduce(F.concat, [shingle_hashes(F.col("words"), k) for k in widths]).alias("shingles"))
     # The outer form: with the inner one the optimiser filters on the size of the arrays, and computes them there again.
     candidates = shingled.select("doc_id", "shingles", F.explode_outer("shingles").alias("hash")).join(probes, "hash")
-    verified = candidates.join(members, "item_id").withColumn("n_shared", F.size(F.array_intersect("members", "shingles")))
+    verified = candidates.join(members, "item").withColumn("n_shared", F.size(F.array_intersect("members", "shingles")))
     found = verified.where(F.col("n_shared") >= needed(F.col("n_item"), percent))
     return found.select("doc_id", "item_id", "n_item", "n_shared").distinct().withColumn("containment", F.col("n_shared") / F.col("n_item"))

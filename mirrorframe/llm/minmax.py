@@ -123,12 +123,12 @@ def _mixed(grouped: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(grouped: DataFrame, rank: Column, percent: int) -> DataFrame:
-    """Each member of another component with the band's member of the least rank: one pair a row, never all pairs."""
-    pivots = grouped.groupBy("band").agg(F.min_by(F.struct("id", "n", "root"), rank).alias("p")).select(
-        "band", F.col("p.id").alias("a"), F.col("p.n").alias("an"), F.col("p.root").alias("aroot")
+    """Each member with the least ranked pivot of its bands that is in another component: a pair a member at most."""
+    pivots = grouped.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "root")).alias("p")).select(
+        "band", F.col("p.rank").alias("rank"), F.col("p.id").alias("a"), F.col("p.n").alias("an"), F.col("p.root").alias("aroot")
     )
     pairs = grouped.join(pivots, "band").where((F.col("root") != F.col("aroot")) & _near_in_size("n", "an", percent))
-    return pairs.select("a", F.col("id").alias("b")).distinct()
+    return pairs.groupBy("id").agg(F.min(F.struct("rank", "a")).alias("p")).select(F.col("p.a").alias("a"), F.col("id").alias("b"))
 
 
 def _rest_pairs(mixed: DataFrame, percent: int) -> DataFrame:
@@ -150,9 +150,9 @@ def near_duplicates(
     with nothing. Rows that repeat an id count as one document with the links of each of them; a null id is linked
     with nothing, its component is null and it is kept. Other columns are ignored.
 
-    Equal sets are merged before anything is compared. Within a band, members are compared with one pivot (the
-    least id, then another chosen at random) and only members of different components go on; what is still apart
-    after that is compared pair by pair, so no proposed link is lost.
+    Equal sets are merged before anything is compared. Members of a band are compared with a pivot (first the one that
+    shares bands with most others, then ones chosen at random), each with one a round, and only bands with members of
+    different components go on; what is still apart after that is compared pair by pair, so no proposed link is lost.
     """
     sketched = materialize(sketches(docs, id_col, text_col, width))
     known = sketched.where("id is not null and n > 0")
@@ -165,13 +165,17 @@ def near_duplicates(
     if not members.isEmpty():
         ids = members.select(F.col("id").alias(id_col)).distinct()
         sets = materialize(shingle_sets(docs.join(ids, id_col, "left_semi"), id_col, text_col, width))
-        links = materialize(confirmed(_pivot_pairs(_grouped(members, None), F.col("id"), percent), sets, percent))
-        for rank in (F.xxhash64("band", "id"), None):
-            mixed = materialize(_mixed(_grouped(members, None if links.isEmpty() else links)))
+        sizes = members.groupBy("band").agg(F.count("*").alias("size"))
+        degrees = members.join(sizes, "band").groupBy("id").agg(F.sum("size").alias("degree"))
+        members = materialize(members.join(degrees, "id"))
+        for rank in (-F.col("degree"), F.xxhash64(F.lit(1), "id"), F.xxhash64(F.lit(2), "id"), None):
+            grouped = _grouped(members, None if links is None or links.isEmpty() else links)
+            mixed = grouped if links is None else materialize(_mixed(grouped))
             if mixed.isEmpty():
                 break
             pairs = _rest_pairs(mixed, percent) if rank is None else _pivot_pairs(mixed, rank, percent)
-            links = materialize(links.unionByName(confirmed(pairs, sets, percent)))
+            found = confirmed(pairs, sets, percent)
+            links = materialize(found if links is None else links.unionByName(found))
     # One id may stand for several sets; its classes then belong together.
     same = known.select("id", "s1", "s2").join(classes.where("rep <> last"), ["s1", "s2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     edges = same if links is None else same.unionByName(links)

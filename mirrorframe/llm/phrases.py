@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mirrorframe.llm import bytescan as B
 
@@ -147,17 +148,19 @@ def _sorted(records: np.ndarray) -> np.ndarray:
     return records[np.argsort(records[:, 0], kind="stable")]
 
 
-def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str | Column] = ()
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of each text, per row of `docs`.
 
     Removed is each UTF-8 byte covered by a `length`-byte string that also starts in a text with a smaller id, judged on
     the input; `kept` are the remaining bytes, which may begin or end within a character. A null text is empty. A row
     with a null id is left whole and takes nothing from others; rows that repeat an id do not count against each
-    other. Other columns are ignored.
+    other. Columns in `carry` follow; others are ignored.
     """
     if length < NAME + PICK:
         raise ValueError(f"length must be at least {NAME + PICK}")
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, slices = max(1, math.ceil(total / CHUNK_BYTES)), max(1, math.ceil(total / SLICE_BYTES))
     dealt = named.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
@@ -222,6 +225,7 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
         split = _sorted(verdicts[verdicts[:, 1] == 1])
         single = _sorted(verdicts[verdicts[:, 1] == 2])
         out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+        carried = table.column("carried").combine_chunks()
         for run, p, ids, known in _parses(table, length):
             edges = np.zeros(len(run.data) + 1, np.int32)
             hit, at = _member(whole[:, 0], p.name)
@@ -250,7 +254,8 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
             out["n_spans"].append(pa.array(np.diff(opened[run.offsets]).astype(np.int64)))
             out["kept_sha256"].append(pa.array([hashlib.sha256(x).hexdigest() for x in blobs], pa.string()))
             out["kept"].append(pa.array(blobs, pa.binary()))
-        return pa.table({k: pa.chunked_array(v, type=t) for (k, v), t in zip(out.items(), [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)})
+        columns = {k: pa.chunked_array(v, type=t) for (k, v), t in zip(out.items(), [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)}
+        return pa.table(columns | {"carried": carried})
 
     def over_slices(packed: DataFrame, step: Callable) -> DataFrame:
         return packed.groupBy("slice").applyInArrow(step, _PACKED)
@@ -258,10 +263,10 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     common = over_slices(over_chunks(None, triggers, _PACKED), shared)
     settled = over_slices(over_chunks(common, phrases, _PACKED), dictionary)
     ordered = over_slices(over_chunks(settled, suffixes, _PACKED), order)
-    return over_chunks(
-        settled.unionByName(ordered), remove,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
-    )
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").add(named.schema["carried"])
+    removed = over_chunks(settled.unionByName(ordered), remove, schema)
+    names = [f.name for f in named.schema["carried"].dataType.fields[1:]]
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *[F.col("carried")[n].alias(n) for n in names])
 
 
 def _chunk(table: pa.Table, reply: pa.Table) -> int:
