@@ -23,6 +23,7 @@ PERCENT = 80
 # 48 bands of three permutations' minima and maxima: a pair at 0.8 is proposed with probability 1 - 5e-7.
 BANDS = 48
 PER_BAND = 3
+PARTS = 256
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -82,61 +83,75 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, "id long, members binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The `pairs` (a, b) whose sets reach `percent` per cent of shared members.
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, shared, missing) for `pairs` (a, b): set sizes, common members, and what of `a` is not in `b`.
 
-    Both joins are plain ones on exchanges of their own, so adaptive execution splits an `a` that has many partners.
+    `missing` is a bitmap of PARTS bits as four numbers: members of `a` are dealt over the bits by hash, and a bit is
+    set if any of its members is not in `b`. Both joins are plain ones on exchanges of their own, so adaptive
+    execution splits an `a` that has many partners.
     """
 
     def scan(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            sizes, bitmaps = np.zeros((3, batch.num_rows), np.int64), np.zeros((batch.num_rows, 4), np.uint64)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                found = np.searchsorted(x, y)
-                both = int((x[np.minimum(found, len(x) - 1)] == y).sum()) if len(x) and len(y) else 0
-                keep[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+                there = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+                sizes[:, i] = len(x), len(y), there.sum()
+                bits = np.zeros(PARTS, np.uint8)
+                bits[(x[~there] & np.uint64(PARTS - 1)).astype(np.int64)] = 1
+                bitmaps[i] = np.packbits(bits, bitorder="little").view(np.uint64)
+            lists = pa.ListArray.from_arrays(np.arange(0, 4 * batch.num_rows + 1, 4, dtype=np.int32), bitmaps.ravel().view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x) for x in sizes], lists], ["a", "b", "na", "nb", "shared", "missing"])
 
     of_b = sets.select(F.col("id").alias("b"), F.col("members").alias("of_b"))
     of_a = sets.select(F.col("id").alias("a"), F.col("members").alias("of_a"))
     joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b")
-    return joined.mapInArrow(scan, "a long, b long").distinct()
+    return joined.mapInArrow(scan, "a long, b long, na long, nb long, shared long, missing array<long>")
 
 
-def _near_in_size(x: str, y: str, percent: int) -> Column:
-    return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
-
+def _enough(shared: Column, x: Column, y: Column, percent: int) -> Column:
+    return (shared > 0) & (100 * shared >= percent * (x + y - shared))
 
-def _grouped(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """`members` (band, id, n) with the component that each id has so far."""
-    if links is None:
-        return members.withColumn("root", F.col("id"))
-    roots = components(links).withColumnRenamed("node", "id")
-    return materialize(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
 
-
-def _mixed(grouped: DataFrame) -> DataFrame:
-    """The rows of bands that still hold more than one component."""
-    split = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    return grouped.join(split, "band", "left_semi")
+def _near_in_size(x: str, y: str, percent: int) -> Column:
+    return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
 
 
-def _pivot_pairs(grouped: DataFrame, rank: Column, percent: int) -> DataFrame:
-    """Each member with the least ranked pivot of its bands that is in another component: a pair a member at most."""
-    pivots = grouped.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "root")).alias("p")).select(
-        "band", F.col("p.rank").alias("rank"), F.col("p.id").alias("a"), F.col("p.n").alias("an"), F.col("p.root").alias("aroot")
+def _pivot_pairs(members: DataFrame, rank: Column, percent: int) -> DataFrame:
+    """Each member with the least ranked pivot of its bands: a pair a member at most."""
+    pivots = members.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "id", "n")).alias("p")).select(
+        "band", F.col("p.rank").alias("rank"), F.col("p.id").alias("a"), F.col("p.n").alias("an")
     )
-    pairs = grouped.join(pivots, "band").where((F.col("root") != F.col("aroot")) & _near_in_size("n", "an", percent))
+    pairs = members.join(pivots, "band").where((F.col("id") != F.col("a")) & _near_in_size("n", "an", percent))
     return pairs.groupBy("id").agg(F.min(F.struct("rank", "a")).alias("p")).select(F.col("p.a").alias("a"), F.col("id").alias("b"))
 
 
-def _rest_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different components that share a band; few are left once the pivots have linked what they can."""
-    x = mixed.select("band", F.col("id").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
-    y = mixed.select("band", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("root").alias("broot"))
-    pairs = x.join(y, "band").where((F.col("aroot") < F.col("broot")) & _near_in_size("an", "bn", percent))
-    return pairs.select("a", "b").distinct()
+def _rest_pairs(members: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share a band and may be linked, but are not known to be connected by one pivot.
+
+    Of two sets compared with the same pivot, what either lacks of it is known: their common members are at most those
+    of the pivot in neither bitmap of missing ones, and as many others as the set with fewer of them has.
+    """
+    # An id with several sets has several rows; nothing is ruled out for it.
+    once = compared.groupBy("b").agg(F.min(F.struct("a", "na", "nb", "shared", "missing")).alias("k"), F.count("*").alias("rows")).where("rows = 1")
+    known = once.select(
+        F.col("b").alias("id"), F.col("k.a").alias("pivot"), F.col("k.na").alias("np"), (F.col("k.nb") - F.col("k.shared")).alias("others"),
+        *[F.col("k.missing")[i].alias(f"m{i}") for i in range(4)], _enough(F.col("k.shared"), F.col("k.na"), F.col("k.nb"), percent).alias("linked"),
+    )
+    placed = members.join(known, "id", "left").withColumn("root", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("id")))
+    placed = materialize(placed.drop("linked", "degree"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    rows = placed.join(mixed, "band", "left_semi")
+    x, y = (rows.select("band", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "band"]) for side in "xy")
+    lacking = sum((F.bit_count(F.col(f"x_m{i}").bitwiseOR(F.col(f"y_m{i}"))) for i in range(4)), F.lit(0))
+    most = F.col("x_np") - lacking + F.least("x_others", "y_others")
+    possible = F.coalesce(
+        F.when(F.col("x_pivot") == F.col("y_pivot"), 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)), F.lit(True)
+    )
+    fresh = ~F.coalesce((F.col("x_pivot") == F.col("y_id")) | (F.col("y_pivot") == F.col("x_id")), F.lit(False))
+    pairs = x.join(y, "band").where((F.col("x_root") < F.col("y_root")) & _near_in_size("x_n", "y_n", percent) & fresh & possible)
+    return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -150,9 +165,9 @@ def near_duplicates(
     with nothing. Rows that repeat an id count as one document with the links of each of them; a null id is linked
     with nothing, its component is null and it is kept. Other columns are ignored.
 
-    Equal sets are merged before anything is compared. Members of a band are compared with a pivot (first the one that
-    shares bands with most others, then ones chosen at random), each with one a round, and only bands with members of
-    different components go on; what is still apart after that is compared pair by pair, so no proposed link is lost.
+    Equal sets are merged before anything is compared. Each member of a band is compared with one pivot, the member
+    that shares bands with most others. Pairs that share a band and are not joined by a pivot are compared one by
+    one, but for those that what they lack of their pivot rules out; no proposed link is lost.
     """
     sketched = materialize(sketches(docs, id_col, text_col, width))
     known = sketched.where("id is not null and n > 0")
@@ -168,14 +183,9 @@ def near_duplicates(
         sizes = members.groupBy("band").agg(F.count("*").alias("size"))
         degrees = members.join(sizes, "band").groupBy("id").agg(F.sum("size").alias("degree"))
         members = materialize(members.join(degrees, "id"))
-        for rank in (-F.col("degree"), F.xxhash64(F.lit(1), "id"), F.xxhash64(F.lit(2), "id"), None):
-            grouped = _grouped(members, None if links is None or links.isEmpty() else links)
-            mixed = grouped if links is None else materialize(_mixed(grouped))
-            if mixed.isEmpty():
-                break
-            pairs = _rest_pairs(mixed, percent) if rank is None else _pivot_pairs(mixed, rank, percent)
-            found = confirmed(pairs, sets, percent)
-            links = materialize(found if links is None else links.unionByName(found))
+        compared = materialize(measured(_pivot_pairs(members, -F.col("degree"), percent), sets))
+        rest = measured(_rest_pairs(members, compared, percent), sets)
+        links = compared.unionByName(rest).where(_enough(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
     # One id may stand for several sets; its classes then belong together.
     same = known.select("id", "s1", "s2").join(classes.where("rep <> last"), ["s1", "s2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     edges = same if links is None else same.unionByName(links)
