@@ -105,35 +105,49 @@ def _parses(table: pa.Table, length: int):
 
 
 def _unpacked(table: pa.Table, fields: int) -> np.ndarray:
-    """The records of all rows, one below the other."""
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("names").combine_chunks()] if table.num_rows else []
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).reshape(-1, fields)
+    """The records of all rows, one below the other; a field of 0 stands for places, returned with their slices."""
+    kind = np.uint64 if fields else np.uint32
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column("names").combine_chunks()] if table.num_rows else []
+    if not fields:
+        parts = [p.astype(np.uint64) | np.uint64(s << 32) for p, s in zip(parts, table.column("slice").to_pylist(), strict=True)]
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).reshape(-1, max(fields, 1))
 
 
-def _packed(chunk: int, records: np.ndarray, slices: int) -> pa.Table:
-    """Records (name first, ascending) by slice of the name space; a slice is a range of names."""
-    where = ((records[:, 0] >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
-    at, first = np.unique(where, return_index=True)
+def _places(names: np.ndarray, slices: int) -> np.ndarray:
+    """Where names lie: the slice in the upper 32 bits, the place within it in the lower ones; ascending with the name."""
+    n, half = np.uint64(slices), np.uint64(32)
+    return (names >> half) * n + (((names & np.uint64(0xFFFFFFFF)) * n) >> half)
+
+
+def _packed(chunk: int, records: np.ndarray, slices: int, short: bool = False) -> pa.Table:
+    """Records (name first, ascending) by slice of the name space; `short` ones are the names' places within their slice."""
+    places = _places(records[:, 0], slices)
+    at, first = np.unique(places >> np.uint64(32), return_index=True)
     ends = [*first[1:], len(records)]
-    blobs = [records[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+    sent = places.astype(np.uint32) if short else records
+    blobs = [sent[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
     return pa.table({"slice": pa.array(at.astype(np.int64)), "chunk": pa.array([chunk] * len(at), pa.int64()), "names": pa.array(blobs, pa.binary())})
 
 
 def _per_name(names: np.ndarray, ids: np.ndarray, phrases: np.ndarray | None = None) -> np.ndarray:
-    """Least and greatest id of each (name, phrase), ascending."""
+    """(name, phrase, id), ascending: the least and the greatest id of each name and phrase, once if they are the same."""
     if not len(names):
-        return np.zeros((0, 3 + (phrases is not None)), np.uint64)
+        return np.zeros((0, 2 + (phrases is not None)), np.uint64)
     order = np.argsort(names, kind="stable") if phrases is None else np.lexsort((phrases, names))
     names, ids = names[order], ids[order]
     fresh = np.ones(len(names), bool)
     fresh[1:] = names[1:] != names[:-1]
-    columns = []
+    columns = [names]
     if phrases is not None:
         phrases = phrases[order]
         fresh[1:] |= phrases[1:] != phrases[:-1]
-        columns = [phrases[fresh]]
+        columns.append(phrases)
     at = np.flatnonzero(fresh)
-    return np.stack([names[at], *columns, np.minimum.reduceat(ids, at).view(np.uint64), np.maximum.reduceat(ids, at).view(np.uint64)], axis=1)
+    least, greatest = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
+    group = np.repeat(np.arange(len(at)), 1 + (least != greatest))
+    second = np.concatenate([[False], group[1:] == group[:-1]])
+    found = np.where(second, greatest[group], least[group]).view(np.uint64)
+    return np.stack([*[c[at][group] for c in columns], found], axis=1)
 
 
 def _member(sorted_names: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,33 +186,32 @@ def removals(
 
     def triggers(table: pa.Table, _) -> pa.Table:
         found = [(p.name, ids[p.row]) for _, p, ids, _ in _parses(table, length)]
-        records = _per_name(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else np.zeros((0, 3), np.uint64)
-        # A name that two documents of the chunk hold is sent twice.
-        names = np.repeat(records[:, 0], 1 + (records[:, 1] != records[:, 2]))
-        return _packed(table.column("chunk")[0].as_py(), names.reshape(-1, 1), slices)
+        records = _per_name(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else np.zeros((0, 2), np.uint64)
+        # A name that two documents of the chunk hold is sent twice. 32 bits of it do: a few names more seem shared.
+        return _packed(table.column("chunk")[0].as_py(), records, slices, short=True)
 
     def shared(table: pa.Table) -> pa.Table:
-        names, counts = np.unique(_unpacked(table, 1), return_counts=True)
-        return _answer(table, 1, names[counts > 1].reshape(-1, 1))
+        names, counts = np.unique(_unpacked(table, 0), return_counts=True)
+        return _answer(table, 0, names[counts > 1].reshape(-1, 1))
 
     def phrases(table: pa.Table, reply: pa.Table) -> pa.Table:
-        wanted = np.sort(_unpacked(reply, 1)[:, 0])
+        wanted = np.sort(_unpacked(reply, 0)[:, 0])
         found = []
         for _, p, ids, _ in _parses(table, length):
-            which = np.flatnonzero(_member(wanted, p.name)[0])
+            which = np.flatnonzero(_member(wanted, _places(p.name, slices))[0])
             found.append((p.name[which], p.phrase(which), ids[p.row[which]]))
         names, named_phrases, ids = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 3
         return _packed(_chunk(table, reply), _per_name(names, ids, named_phrases), slices)
 
     def dictionary(table: pa.Table) -> pa.Table:
-        records = _sorted(_unpacked(table, 4))
+        records = _sorted(_unpacked(table, 3))
         if not len(records):
-            return _answer(table, 4, np.zeros((0, 3), np.uint64))
+            return _answer(table, 3, np.zeros((0, 3), np.uint64))
         at = np.flatnonzero(np.concatenate([[True], records[1:, 0] != records[:-1, 0]]))
         split = np.minimum.reduceat(records[:, 1], at) != np.maximum.reduceat(records[:, 1], at)
-        least, greatest = np.minimum.reduceat(records[:, 2].view(np.int64), at), np.maximum.reduceat(records[:, 3].view(np.int64), at)
+        least, greatest = np.minimum.reduceat(records[:, 2].view(np.int64), at), np.maximum.reduceat(records[:, 2].view(np.int64), at)
         verdicts = np.stack([records[at, 0], split.astype(np.uint64), least.view(np.uint64)], axis=1)
-        return _answer(table, 4, verdicts[least < greatest])
+        return _answer(table, 3, verdicts[least < greatest])
 
     def suffixes(table: pa.Table, reply: pa.Table) -> pa.Table:
         verdicts = _sorted(_unpacked(reply, 3))
@@ -211,13 +224,13 @@ def removals(
         return _packed(_chunk(table, reply), _per_name(names, ids), slices)
 
     def order(table: pa.Table) -> pa.Table:
-        records = _sorted(_unpacked(table, 3))
+        records = _sorted(_unpacked(table, 2))
         if not len(records):
-            return _answer(table, 3, np.zeros((0, 3), np.uint64))
+            return _answer(table, 2, np.zeros((0, 3), np.uint64))
         at = np.flatnonzero(np.concatenate([[True], records[1:, 0] != records[:-1, 0]]))
-        least, greatest = np.minimum.reduceat(records[:, 1].view(np.int64), at), np.maximum.reduceat(records[:, 2].view(np.int64), at)
+        least, greatest = np.minimum.reduceat(records[:, 1].view(np.int64), at), np.maximum.reduceat(records[:, 1].view(np.int64), at)
         verdicts = np.stack([records[at, 0], np.full(len(at), 2, np.uint64), least.view(np.uint64)], axis=1)
-        return _answer(table, 3, verdicts[least < greatest])
+        return _answer(table, 2, verdicts[least < greatest])
 
     def remove(table: pa.Table, reply: pa.Table) -> pa.Table:
         verdicts = _unpacked(reply, 3)
@@ -277,10 +290,9 @@ def _answer(table: pa.Table, fields: int, verdicts: np.ndarray) -> pa.Table:
     """For each row of the packed `table`, those of the `verdicts` (name first, ascending) whose names it holds."""
     slices, chunks, blobs = [], [], []
     for row in range(table.num_rows):
-        names = np.frombuffer(table.column("names")[row].as_buffer(), np.uint64).reshape(-1, fields)[:, 0]
-        mine = verdicts[_member(np.unique(names), verdicts[:, 0])[0]]
+        mine = verdicts[_member(np.unique(_unpacked(table.slice(row, 1), fields)[:, 0]), verdicts[:, 0])[0]]
         if len(mine):
             slices.append(table.column("slice")[row].as_py())
             chunks.append(table.column("chunk")[row].as_py())
-            blobs.append(mine.tobytes())
+            blobs.append((mine if fields else mine.astype(np.uint32)).tobytes())
     return pa.table({"slice": pa.array(slices, pa.int64()), "chunk": pa.array(chunks, pa.int64()), "names": pa.array(blobs, pa.binary())})
