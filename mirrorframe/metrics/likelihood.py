@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mirrorframe.functions import scalar as S
 from mirrorframe.metrics.pairs import discretized, mutual_information, numeric_bounds
 from mirrorframe.synth.simple import as_number
 
@@ -23,12 +24,14 @@ def gm_log_likelihood(
     Columns are scaled by their real deviation first; the scale is taken back out of the density.
     """
     stats = real.agg(*[e for c in numbers for e in (
-        F.avg(as_number(real.schema, c)).alias(f"{c}|m"), F.stddev_pop(as_number(real.schema, c)).alias(f"{c}|s"))]).first()
+        F.avg(S.no_nan(as_number(real.schema, c).cast("double"))).alias(f"{c}|m"),
+        F.stddev_pop(S.no_nan(as_number(real.schema, c).cast("double"))).alias(f"{c}|s"))]).first()
     used = [c for c in numbers if stats[f"{c}|s"]]
 
     def vectors(df):
-        z = [((as_number(df.schema, c).cast("double") - stats[f"{c}|m"]) / stats[f"{c}|s"]).alias(c) for c in used]
-        return VectorAssembler(inputCols=used, outputCol="features", handleInvalid="skip").transform(df.select(*z))
+        # A missing number counts as the real mean, so no row is left out.
+        z = [F.coalesce((S.no_nan(as_number(df.schema, c).cast("double")) - stats[f"{c}|m"]) / stats[f"{c}|s"], F.lit(0.0)).alias(c) for c in used]
+        return VectorAssembler(inputCols=used, outputCol="features").transform(df.select(*z))
 
     train = vectors(real).select("features").persist()
     score_rows = vectors(synthetic).select(F.array(*used).alias("x"))

@@ -76,6 +76,10 @@ def summarize_runs(
     """(summary over all runs up to `folder`, detailed rows of `folder`) in one plan over all runs."""
     rows = runs_not_later(results, folder, "run")
     judged = materialize(R.wins(R.process_results(rows, order, by=["run"], require=True), order, baseline, by=["run"]))
+    without = rows.select("run").distinct().join(judged.select("run").distinct(), "run", "left_anti")
+    names = sorted(r["run"] for r in without.collect())  # one row per run
+    if names:
+        raise ValueError(f"Runs without a dataset that every synthesizer finished: {', '.join(names)}")
     detail = judged.where(F.col("run") == folder)
     fallback = detail.agg(F.max("Fallback_Quality"), F.max("Fallback_Time")).first()
     dropped = [c for c, used in zip(("Adjusted_Quality_Score", "Adjusted_Total_Time"), fallback, strict=True) if used]

@@ -239,7 +239,8 @@ def _run(
     if not quality:
         scored = scored.drop("Quality_Score", "Adjusted_Quality_Score")
     if output:
-        sinks.append_results(scored.withColumn("run", F.lit(run)), f"{output}/results")
+        # The whole run as it now stands: a restarted run replaces its rows.
+        scored.write.mode("overwrite").parquet(f"{output}/results/run={run}")
     return scored
 
 

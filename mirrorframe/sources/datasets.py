@@ -156,8 +156,8 @@ def _csv_reader(columns: list[str]):
 
 def _typed(text, data_type: T.DataType):
     if isinstance(data_type, T.LongType):
-        # Whole numbers with gaps are often written as 3.0.
-        return text.try_cast("double").try_cast("bigint")
+        # Whole numbers with gaps are often written as 3.0; others are not taken through a double.
+        return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
     return text.try_cast(data_type)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -31,7 +32,10 @@ def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 def children(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     """`name`: distinct path parts `depth` levels below `root` that hold files."""
     files = listing(spark, root)
-    below = F.split(F.element_at(F.split(F.col("path"), root.rstrip("/").removeprefix("file:").replace("//", "/") + "/", 2), 2), "/")
+    # Paths come back as file:/..., s3a://... and so on; `root` is found in them as plain text.
+    home = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
+    below = F.split(F.expr("substring(path, instr(path, home) + length(home))"), "/")
+    files = files.withColumn("home", F.lit(home)).where("instr(path, home) > 0")
     return files.select(below.alias("parts")).where(F.size("parts") > depth).select(
         F.element_at("parts", depth).alias("name")
     ).distinct()

@@ -2,7 +2,7 @@
 
 
 def uniform(seed, stream, counter):
-    return f"(cast(cast(concat('0x', substr(md5(concat('{seed}|{stream}|', cast({counter} as varchar))), 1, 8)) as bigint) as double) / 4294967296.0)"
+    return f"(cast(cast(concat('0x', substr(md5(concat('{seed}|{stream}|', cast({counter} as varchar))), 1, 13)) as bigint) as double) / 4503599627370496.0)"
 
 
 def index(seed, stream, counter, size):

@@ -176,3 +176,22 @@ def test_process_results_without_error_column(spark):
     rows = spark.createDataFrame([("UniformSynthesizer", "A", 1.0, 1.0, 0.5, 0)],
                                  "Synthesizer string, Dataset string, Train_Time double, Sample_Time double, Quality_Score double, n int")
     assert R.process_results(rows, ["n"]).first()["Adjusted_Total_Time"] == 3.0
+
+
+def test_whole_numbers_keep_all_digits(spark):
+    from pyspark.sql import types as T
+
+    rows = spark.createDataFrame([("9007199254740993",), ("3.0",), ("x",), ("",)], "a string")
+    found = [r[0] for r in rows.select(D._typed(F.col("a"), T.LongType())).collect()]
+    assert found == [9007199254740993, 3, None, None]
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_folders_whose_names_look_like_patterns(spark, tmp_path, scheme):
+    from mirrorframe.sources.files import children
+
+    home = tmp_path / "a (1)+ $x.d"
+    for name in ("one", "t wo"):
+        (home / name).mkdir(parents=True)
+        (home / name / "f.csv").write_text("a\n1\n")
+    assert {r["name"] for r in children(spark, f"{scheme}{home}").collect()} == {"one", "t wo"}

@@ -99,3 +99,13 @@ def test_names_are_checked():
     with pytest.raises(ValueError, match="Not single_table"):
         resolve(["HierarchicalSynthesizer"], "single_table")
     assert create_synthesizer_variant("fast", simple.ColumnSynthesizer, iterations=2).name == "Variant:fast"
+
+
+def test_draws_reach_rows_beyond_32_bits(spark):
+    from pyspark.sql import functions as F
+
+    from mirrorframe.functions import random as R
+
+    drawn = spark.range(20_000).select(R.index(1, "x", F.col("id"), F.lit(2**40)).alias("i"))
+    low = drawn.select(F.count_distinct(F.col("i") % 256).alias("n"), F.max("i").alias("top")).first()
+    assert low["n"] == 256 and low["top"] > 2**39
