@@ -114,6 +114,10 @@ def _enough(shared: Column, x: Column, y: Column, percent: int) -> Column:
     return (shared > 0) & (100 * shared >= percent * (x + y - shared))
 
 
+def _links(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(_enough(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+
+
 def _near_in_size(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
 
@@ -128,7 +132,7 @@ def _pivot_pairs(members: DataFrame, rank: Column, percent: int) -> DataFrame:
 
 
 def _rest_pairs(members: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
-    """The pairs that share a band and may be linked, but are not known to be connected by one pivot.
+    """The pairs that share a band and may be linked, but are not known to be connected by pivots.
 
     Of two sets compared with the same pivot, what either lacks of it is known: their common members are at most those
     of the pivot in neither bitmap of missing ones, and as many others as the set with fewer of them has.
@@ -137,10 +141,11 @@ def _rest_pairs(members: DataFrame, compared: DataFrame, percent: int) -> DataFr
     once = compared.groupBy("b").agg(F.min(F.struct("a", "na", "nb", "shared", "missing")).alias("k"), F.count("*").alias("rows")).where("rows = 1")
     known = once.select(
         F.col("b").alias("id"), F.col("k.a").alias("pivot"), F.col("k.na").alias("np"), (F.col("k.nb") - F.col("k.shared")).alias("others"),
-        *[F.col("k.missing")[i].alias(f"m{i}") for i in range(4)], _enough(F.col("k.shared"), F.col("k.na"), F.col("k.nb"), percent).alias("linked"),
+        *[F.col("k.missing")[i].alias(f"m{i}") for i in range(4)],
     )
-    placed = members.join(known, "id", "left").withColumn("root", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("id")))
-    placed = materialize(placed.drop("linked", "degree"))
+    roots = components(materialize(_links(compared, percent))).withColumnRenamed("node", "id")
+    placed = members.drop("degree").join(known, "id", "left").join(roots, "id", "left")
+    placed = materialize(placed.withColumn("root", F.coalesce("root", "id")))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     rows = placed.join(mixed, "band", "left_semi")
     x, y = (rows.select("band", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "band"]) for side in "xy")
@@ -185,7 +190,7 @@ def near_duplicates(
         members = materialize(members.join(degrees, "id"))
         compared = materialize(measured(_pivot_pairs(members, -F.col("degree"), percent), sets))
         rest = measured(_rest_pairs(members, compared, percent), sets)
-        links = compared.unionByName(rest).where(_enough(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+        links = _links(compared.unionByName(rest), percent)
     # One id may stand for several sets; its classes then belong together.
     same = known.select("id", "s1", "s2").join(classes.where("rep <> last"), ["s1", "s2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     edges = same if links is None else same.unionByName(links)
