@@ -20,17 +20,19 @@ from pyspark.sql import functions as F
 from mirrorframe.llm import bytescan as B
 
 LIMIT = 4096
-# Text bytes handled at once, words that a task remembers, and characters of a text encoded in one call.
+# Text bytes handled at once, words and (dearer to encode, fewer) parts of words that a worker remembers in each of two
+# generations, and characters of a text encoded in one call.
 BATCH_BYTES = 4 << 20
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+REMEMBERED_PARTS = 700_000
 CALL_CHARS = 1 << 16
 
 
 class Memory:
-    """What was last computed for a key: two generations of at most REMEMBERED entries each."""
+    """What was last computed for a key: two generations of about `size` entries each."""
 
-    def __init__(self, compute: Callable[[list[str]], list]):
-        self._compute, self._new, self._old = compute, {}, {}
+    def __init__(self, compute: Callable[[list[str]], list], size: int):
+        self._compute, self._size, self._new, self._old = compute, size, {}, {}
 
     def __call__(self, keys: list[str]) -> list:
         new, old = self._new, self._old
@@ -44,7 +46,7 @@ class Memory:
         if unknown:
             new.update(zip(unknown, self._compute(unknown), strict=True))
         found = [new[k] for k in keys]
-        if len(new) > REMEMBERED:
+        if len(new) > self._size:
             self._new, self._old = {}, new
         return found
 
@@ -76,7 +78,7 @@ def _counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    count = Memory(lambda words: [len(x) for x in model.encode(words, num_threads=1)])
+    count = Memory(lambda words: [len(x) for x in model.encode(words, num_threads=1)], REMEMBERED_PARTS)
 
     def counts(texts: pa.Array) -> np.ndarray:
         # Single spaces between words: cut at all of them. Other texts are encoded in long pieces.
@@ -133,8 +135,8 @@ class WordIds:
         self._pattern = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self._last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self._last[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
-        self._parts = Memory(self._encode_parts)
-        self._words = Memory(self._encode_words)
+        self._parts = Memory(self._encode_parts, REMEMBERED_PARTS)
+        self._words = Memory(self._encode_words, REMEMBERED)
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """Parts are cut by the pattern: joined by spaces they are encoded as each is alone."""
