@@ -78,3 +78,23 @@ def op3_minhash_containment(spark, sf_dir):
 @query
 def op7_imatch_fingerprints(spark, sf_dir):
     return imatch.compared(table(spark, sf_dir, "documents"))
+
+
+SQL["op3_minhash_containment"] = r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents
+), i as (
+  select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark
+), sized as (select item_id, w, least(5, len(w)) as k from i where len(w) > 0),
+item as (
+  select distinct item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') as shingle
+  from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as s from sized)
+), total as (select item_id, count(*) as n_item from item group by item_id),
+doc as (
+  select distinct doc_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') as shingle
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from d, (select distinct k from sized) where len(w) >= k)
+)
+select doc_id, item_id, cast(n_item as integer) as n_item, cast(count(*) as integer) as n_shared, count(*) / n_item as containment
+from doc join item using (k, shingle) join total using (item_id)
+group by doc_id, item_id, n_item having 100 * count(*) >= 80 * n_item
+"""
