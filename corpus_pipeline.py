@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +39,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A document stays even if nothing of its text does; then the text is empty. A null text is left null.
     """
 
-    def decode(batches):
-        for batch in batches:
-            texts = [None if k is None else k.decode("utf-8", "ignore") for k in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], ["doc_id", "text", "lang", "source"])
-
-    left = phrases.removals(docs, carry=["lang", "source", F.col("text").isNull().alias("without")])
-    bytes_left = left.select("doc_id", F.when(~F.col("without"), F.col("kept")).alias("kept"), "lang", "source")
-    texts = bytes_left.mapInArrow(decode, "doc_id long, text string, lang string, source string")
-    return texts.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    left = phrases.removals(docs, carry=["lang", "source", F.col("text").isNull().alias("without")], as_text=True)
+    text = F.when(~F.col("without"), F.col("kept"))
+    return left.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

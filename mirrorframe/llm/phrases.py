@@ -163,12 +163,13 @@ def _sorted(records: np.ndarray) -> np.ndarray:
 
 
 def removals(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str | Column] = ()
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str | Column] = (), as_text: bool = False
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of each text, per row of `docs`.
 
     Removed is each UTF-8 byte covered by a `length`-byte string that also starts in a text with a smaller id, judged on
-    the input; `kept` are the remaining bytes, which may begin or end within a character. A null text is empty. A row
+    the input; `kept` are the remaining bytes, which may begin or end within a character; `as_text` drops
+    what is left of such a character and makes them a string. A null text is empty. A row
     with a null id is left whole and takes nothing from others; rows that repeat an id do not count against each
     other. Columns in `carry` follow; others are ignored.
     """
@@ -266,8 +267,9 @@ def removals(
             out["n_removed"].append(pa.array(np.diff(lost[run.offsets]).astype(np.int64)))
             out["n_spans"].append(pa.array(np.diff(opened[run.offsets]).astype(np.int64)))
             out["kept_sha256"].append(pa.array([hashlib.sha256(x).hexdigest() for x in blobs], pa.string()))
-            out["kept"].append(pa.array(blobs, pa.binary()))
-        columns = {k: pa.chunked_array(v, type=t) for (k, v), t in zip(out.items(), [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)}
+            out["kept"].append(pa.array([x.decode("utf-8", "ignore") for x in blobs], pa.string()) if as_text else pa.array(blobs, pa.binary()))
+        columns = {k: pa.chunked_array(v, type=t) for (k, v), t in zip(out.items(), [pa.int64()] * 4 + [pa.string(), pa.string() if as_text else pa.binary()], strict=True)}
+        pa.default_memory_pool().release_unused()
         return pa.table(columns | {"carried": carried})
 
     def over_slices(packed: DataFrame, step: Callable) -> DataFrame:
@@ -276,7 +278,7 @@ def removals(
     common = over_slices(over_chunks(None, triggers, _PACKED), shared)
     settled = over_slices(over_chunks(common, phrases, _PACKED), dictionary)
     ordered = over_slices(over_chunks(settled, suffixes, _PACKED), order)
-    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").add(named.schema["carried"])
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary")).add(named.schema["carried"])
     removed = over_chunks(settled.unionByName(ordered), remove, schema)
     names = [f.name for f in named.schema["carried"].dataType.fields[1:]]
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *[F.col("carried")[n].alias(n) for n in names])

@@ -22,9 +22,9 @@ from mirrorframe.llm import bytescan as B
 LIMIT = 4096
 # Text bytes handled at once, words and (dearer to encode, fewer) parts of words that a worker remembers in each of two
 # generations, and characters of a text encoded in one call.
-BATCH_BYTES = 4 << 20
-REMEMBERED = 200_000
-REMEMBERED_PARTS = 700_000
+BATCH_BYTES = 2 << 20
+REMEMBERED = 100_000
+REMEMBERED_PARTS = 400_000
 CALL_CHARS = 1 << 16
 
 
