@@ -22,6 +22,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,8 @@ CHUNK_BYTES = 4 << 20
 SLICE_BYTES = 16 << 20
 
 _PACKED = "slice long, chunk long, names binary"
+# Kinds of verdict: a trigger all of whose windows have one least document, one to be split into windows, a window.
+WHOLE, SPLIT, SINGLE = range(3)
 
 
 class Parse:
@@ -207,16 +210,17 @@ def removals(
     def dictionary(table: pa.Table) -> pa.Table:
         records = _sorted(_unpacked(table, 3))
         if not len(records):
-            return _answer(table, 3, np.zeros((0, 3), np.uint64))
+            return _answer(table, 3, np.zeros((0, 2), np.uint64))
         at = np.flatnonzero(np.concatenate([[True], records[1:, 0] != records[:-1, 0]]))
         split = np.minimum.reduceat(records[:, 1], at) != np.maximum.reduceat(records[:, 1], at)
         least, greatest = np.minimum.reduceat(records[:, 2].view(np.int64), at), np.maximum.reduceat(records[:, 2].view(np.int64), at)
-        verdicts = np.stack([records[at, 0], split.astype(np.uint64), least.view(np.uint64)], axis=1)
-        return _answer(table, 3, verdicts[least < greatest])
+        found = np.stack([records[at, 0], least.view(np.uint64)], axis=1)
+        several = least < greatest
+        whole = _answer(table, 3, found[several & ~split], WHOLE)
+        return pa.concat_tables([whole, _answer(table, 3, found[several & split, :1], SPLIT)])
 
     def suffixes(table: pa.Table, reply: pa.Table) -> pa.Table:
-        verdicts = _sorted(_unpacked(reply, 3))
-        wanted = verdicts[verdicts[:, 1] == 1, 0]
+        wanted = _sorted(_unpacked(_of_kind(reply, SPLIT), 1))[:, 0]
         found = []
         for _, p, ids, _ in _parses(table, length):
             owner, starts = p.suffixes(np.flatnonzero(_member(wanted, p.name)[0]))
@@ -227,30 +231,27 @@ def removals(
     def order(table: pa.Table) -> pa.Table:
         records = _sorted(_unpacked(table, 2))
         if not len(records):
-            return _answer(table, 2, np.zeros((0, 3), np.uint64))
+            return _answer(table, 2, np.zeros((0, 2), np.uint64))
         at = np.flatnonzero(np.concatenate([[True], records[1:, 0] != records[:-1, 0]]))
         least, greatest = np.minimum.reduceat(records[:, 1].view(np.int64), at), np.maximum.reduceat(records[:, 1].view(np.int64), at)
-        verdicts = np.stack([records[at, 0], np.full(len(at), 2, np.uint64), least.view(np.uint64)], axis=1)
-        return _answer(table, 2, verdicts[least < greatest])
+        return _answer(table, 2, np.stack([records[at, 0], least.view(np.uint64)], axis=1)[least < greatest], SINGLE)
 
     def remove(table: pa.Table, reply: pa.Table) -> pa.Table:
-        verdicts = _unpacked(reply, 3)
-        whole = _sorted(verdicts[verdicts[:, 1] == 0])
-        split = _sorted(verdicts[verdicts[:, 1] == 1])
-        single = _sorted(verdicts[verdicts[:, 1] == 2])
+        whole, single = (_sorted(_unpacked(_of_kind(reply, kind), 2)) for kind in (WHOLE, SINGLE))
+        split = _sorted(_unpacked(_of_kind(reply, SPLIT), 1))
         out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
         carried = table.column("carried").combine_chunks()
         for run, p, ids, known in _parses(table, length):
             edges = np.zeros(len(run.data) + 1, np.int32)
             hit, at = _member(whole[:, 0], p.name)
             which = np.flatnonzero(hit)
-            which = which[whole[at[which], 2].view(np.int64) < ids[p.row[which]]]
+            which = which[whole[at[which], 1].view(np.int64) < ids[p.row[which]]]
             np.add.at(edges, p.lo[which], 1)
             np.add.at(edges, p.hi[which] + length, -1)
             owner, starts = p.suffixes(np.flatnonzero(_member(split[:, 0], p.name)[0]))
             hit, at = _member(single[:, 0], p.windows(starts))
             some = np.flatnonzero(hit)
-            some = some[single[at[some], 2].view(np.int64) < ids[p.row[owner[some]]]]
+            some = some[single[at[some], 1].view(np.int64) < ids[p.row[owner[some]]]]
             np.add.at(edges, starts[some], 1)
             np.add.at(edges, starts[some] + length, -1)
             gone = np.cumsum(edges[:-1]) > 0
@@ -288,13 +289,19 @@ def _chunk(table: pa.Table, reply: pa.Table) -> int:
     return (table if table.num_rows else reply).column("chunk")[0].as_py()
 
 
-def _answer(table: pa.Table, fields: int, verdicts: np.ndarray) -> pa.Table:
-    """For each row of the packed `table`, those of the `verdicts` (name first, ascending) whose names it holds."""
+def _of_kind(reply: pa.Table, kind: int) -> pa.Table:
+    return reply.filter(pc.equal(reply.column("slice"), kind))
+
+
+def _answer(table: pa.Table, fields: int, verdicts: np.ndarray, kind: int | None = None) -> pa.Table:
+    """For each row of the packed `table`, those of the `verdicts` (name first, ascending) whose names it holds.
+
+    A `kind` of verdict takes the place of the slice."""
     slices, chunks, blobs = [], [], []
     for row in range(table.num_rows):
         mine = verdicts[_member(np.unique(_unpacked(table.slice(row, 1), fields)[:, 0]), verdicts[:, 0])[0]]
         if len(mine):
-            slices.append(table.column("slice")[row].as_py())
+            slices.append(table.column("slice")[row].as_py() if kind is None else kind)
             chunks.append(table.column("chunk")[row].as_py())
             blobs.append((mine if fields else mine.astype(np.uint32)).tobytes())
     return pa.table({"slice": pa.array(slices, pa.int64()), "chunk": pa.array(chunks, pa.int64()), "names": pa.array(blobs, pa.binary())})
