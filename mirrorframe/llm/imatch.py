@@ -5,6 +5,9 @@ over SUBSETS random lexicons; of a text, each lexicon's sorted distinct terms ar
 (every second, fourth, ... term), so each hash covers about one term of a text of any length and an edit changes only
 the hashes of the lexicons that it touches. A fingerprint holds two neighbouring densities, so that texts of about the same
 length can be compared.
+
+With `whole` (the registered query) near copies are one document to the band, however many there are, and a text with
+fewer than FEW terms within it, and what it is compared with, are fingerprinted by all their terms.
 """
 
 from __future__ import annotations
@@ -14,12 +17,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.native import sent_if_small, word_hashes
+from mirrorframe.llm.native import sent_if_small, shingle_hashes, word_hashes
 from mirrorframe.session import materialize
 
 # The band: terms in at least 0.05 % and at most 10 % of the documents; inverse document frequency ln(10) to ln(2000).
 LEAST_SHARE, GREATEST_SHARE = 0.0005, 0.1
 SUBSETS = 64
+# Texts whose least run of so many words is the same are near copies to the band, if they are this share of the rows at least.
+RUN, GROUP_SHARE = 3, 0.00001
+FEW = 8
 _NULL_ID = -(2**63)
 
 
@@ -35,6 +41,30 @@ def lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return terms.where("term is not null").groupBy("term").agg(F.count("*").alias("n")).where(F.col("n").between(low, high)).select("term")
 
 
+def _group(words: Column) -> Column:
+    """The least hash of a text's runs of words: of n words, an edit of one changes it with a probability of about RUN / n."""
+    return F.when(F.size(words) >= RUN, F.array_min(shingle_hashes(words, RUN))).otherwise(F.xxhash64(words))
+
+
+def whole_lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term): as lexicon(), but a group of near copies is one document that has the terms of all of them.
+
+    At most 1 / GROUP_SHARE groups are told apart from single texts, so they can be sent to all tasks. Groups of fewer rows
+    (for each a fiftieth of the band's lower edge) are counted by rows.
+    """
+    hashed = texts.select(word_hashes(F.col(text_col)).alias("words"))
+    grouped = hashed.select(_group(F.col("words")).alias("group"), F.array_distinct("words").alias("terms"))
+    sizes = materialize(grouped.groupBy("group").agg(F.count("*").alias("rows")))
+    n = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    large = sizes.where(F.col("rows") >= max(2, math.ceil(GROUP_SHARE * n)))
+    n -= large.agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0))).first()[0]
+    low, high = max(1, math.ceil(LEAST_SHARE * n)), max(1, math.floor(GREATEST_SHARE * n))
+    marked = grouped.join(F.broadcast(large.select("group", F.col("group").alias("large"))), "group", "left")
+    counted = marked.select("large", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term", "large").agg(F.count("*").alias("n"))
+    documents = F.sum(F.when(F.col("large").isNull(), F.col("n")).otherwise(1))
+    return counted.groupBy("term").agg(documents.alias("n")).where(F.col("n").between(low, high)).select("term")
+
+
 def successors(ids: DataFrame) -> DataFrame:
     """`ids` (key, ...) with `next_key`, the next smaller key; after the least comes the greatest.
 
@@ -89,10 +119,22 @@ def likeness(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     )
 
 
-def fingerprints(texts: DataFrame, keys: list[str], own: str, other: str, terms: DataFrame) -> DataFrame:
+FIELDS, WHOLE_FIELDS = ("level", "codes", "finer", "shown"), ("few", "wide", "wide_finer")
+
+
+def whole_likeness(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """likeness(), by all terms if either text has few within the band. Arguments are FIELDS and WHOLE_FIELDS."""
+    (la, ca, fa, shown_a, few_a, wa, wfa), (lb, cb, fb, shown_b, few_b, wb, wfb) = a, b
+    by_all = likeness((la, wa, wfa, shown_a), (lb, wb, wfb, shown_b))
+    return F.when(few_a | few_b, by_all).otherwise(likeness((la, ca, fa, shown_a), (lb, cb, fb, shown_b)))
+
+
+def fingerprints(texts: DataFrame, keys: list[str], own: str, other: str, terms: DataFrame, whole: bool = False) -> DataFrame:
     """`keys` and, for the texts in the columns `own` and `other`, (level, codes, finer, shown), as `own_...` and `other_...`.
 
-    Rows with equal keys give as many equal rows. A text without terms in the lexicon is fingerprinted as a whole.
+    Rows with equal keys give as many equal rows. A text without terms in the lexicon is fingerprinted as a whole; with `whole`,
+    one with fewer than FEW by all its terms, marked by a plus sign, and WHOLE_FIELDS are given as well (those by all
+    terms of `other` only if they are needed).
     `texts` should already be dealt by one of the keys; then nothing is moved.
     """
     hashed = texts.select(
@@ -107,33 +149,46 @@ def fingerprints(texts: DataFrame, keys: list[str], own: str, other: str, terms:
     row = F.array(F.lit(0).cast("long"))
     single = thin.select(*fixed, F.posexplode_outer(F.concat("own_terms", "other_terms", row)).alias("at", "term"))
     known = terms.unionByName(terms.sparkSession.range(1).select(F.col("id").alias("term"))).distinct()
-    kept = single.join(sent_if_small(known), "term", "left_semi")
+    if whole:
+        kept = single.join(sent_if_small(known.withColumn("inside", F.lit(True))), "term", "left")
+    else:
+        kept = single.join(sent_if_small(known), "term", "left_semi").withColumn("inside", F.lit(True))
     mine, its = (F.col("term") != 0) & (F.col("at") < F.col("n_own")), (F.col("term") != 0) & (F.col("at") >= F.col("n_own"))
+    sets = {"own_kept": mine & F.col("inside"), "other_kept": its & F.col("inside")} | ({"own_all": mine, "other_all": its} if whole else {})
     grouped = kept.groupBy(*fixed).agg(
-        F.array_sort(F.collect_set(F.when(mine, F.col("term")))).alias("own_kept"),
-        F.array_sort(F.collect_set(F.when(its, F.col("term")))).alias("other_kept"),
+        *[F.array_sort(F.collect_set(F.when(of, F.col("term")))).alias(name) for name, of in sets.items()],
         F.count(F.when(F.col("term") == 0, 1)).cast("int").alias("copies"),
     )
     out = grouped
+    if whole:
+        out = out.withColumns({f"{s}_few": F.size(f"{s}_kept") < FEW for s in ("own", "other")})
     for s in ("own", "other"):
         finer = _thinned(F.col(f"{s}_kept"), F.expr(f"shiftleft(1L, {s}_level + 1) - 1"))
         out = out.withColumns({f"{s}_codes": _codes(F.col(f"{s}_kept")), f"{s}_finer": _codes(finer)})
         shown = _shown(F.col(f"{s}_level"), F.col(f"{s}_codes"), F.col(f"{s}_finer"))
-        out = out.withColumn(f"{s}_shown", F.when(F.size(f"{s}_codes") > 0, shown).otherwise(F.concat(F.lit("="), F.lower(F.hex(f"{s}_whole")))))
-    columns = [f"{s}_{c}" for s in ("own", "other") for c in ("level", "codes", "finer", "shown")]
+        seen = F.when(F.size(f"{s}_codes") > 0, shown)
+        if whole:
+            finer = _thinned(F.col(f"{s}_all"), F.expr(f"shiftleft(1L, {s}_level + 1) - 1"))
+            needed = F.lit(True) if s == "own" else F.col("own_few") | F.col("other_few")
+            out = out.withColumns({f"{s}_wide": F.when(needed, _codes(F.col(f"{s}_all"))), f"{s}_wide_finer": F.when(needed, _codes(finer))})
+            by_all = F.concat(F.lit("+"), _shown(F.col(f"{s}_level"), F.col(f"{s}_wide"), F.col(f"{s}_wide_finer")))
+            seen = F.when(~F.col(f"{s}_few"), shown).when(F.size(f"{s}_wide") > 0, by_all)
+        out = out.withColumn(f"{s}_shown", seen.otherwise(F.concat(F.lit("="), F.lower(F.hex(f"{s}_whole")))))
+    columns = [f"{s}_{c}" for s in ("own", "other") for c in FIELDS + WHOLE_FIELDS * whole]
     return out.select(*keys, *columns, F.explode(F.array_repeat(F.lit(0), F.greatest("copies", F.lit(1)))).alias("_copy")).drop("_copy")
 
 
-def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row of `docs`.
 
     The edited text has its last third replaced by the beginning of the next document, in descending order of the ids, the
     first after the last. A null text is empty. A null id counts as the least possible one. Rows that repeat an id
     are one document to their predecessor, with the least of its texts; each gets a row of its own. Other columns
-    are ignored.
+    are ignored. `whole`: see the module's text; without it, copies count as often as there are rows of them.
     """
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    terms = materialize(lexicon(base))
+    terms = materialize(whole_lexicon(base) if whole else lexicon(base))
+    fields, alike = (FIELDS + WHOLE_FIELDS, whole_likeness) if whole else (FIELDS, likeness)
     ids = base.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows"))
     ring = materialize(successors(ids))
     repeated = not ring.where("rows > 1").isEmpty()
@@ -145,12 +200,12 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edited = joined.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(head, 1, cast(n_chars div 3 as int)))"))
     keyed = edited.select("key", "next_key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("same"), "text", "edited")
     keys = ["key", "next_key", "n_chars", "edited_sha256", "same"]
-    marked = materialize(fingerprints(keyed, keys, "text", "edited", terms))
-    nexts = marked.select(F.col("key").alias("next_key"), *[F.col(f"own_{c}").alias(f"next_{c}") for c in ("level", "codes", "finer", "shown")])
+    marked = materialize(fingerprints(keyed, keys, "text", "edited", terms, whole))
+    nexts = marked.select(F.col("key").alias("next_key"), *[F.col(f"own_{c}").alias(f"next_{c}") for c in fields])
     if repeated:
         nexts = nexts.groupBy("next_key").agg(*[F.min_by(c, "next_shown").alias(c) for c in nexts.columns[1:]])
-    of = lambda s: tuple(F.col(f"{s}_{c}") for c in ("level", "codes", "finer", "shown"))
+    of = lambda s: tuple(F.col(f"{s}_{c}") for c in fields)
     return marked.join(nexts, "next_key").select(
         F.when(F.col("key") != _NULL_ID, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", F.col("own_shown").alias("fingerprint"),
-        F.col("other_shown").alias("edited_fingerprint"), likeness(of("own"), of("other")).alias("near_edited"), likeness(of("own"), of("next")).alias("near_next"),
+        F.col("other_shown").alias("edited_fingerprint"), alike(of("own"), of("other")).alias("near_edited"), alike(of("own"), of("next")).alias("near_next"),
     )

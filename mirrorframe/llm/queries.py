@@ -77,7 +77,7 @@ def op3_minhash_containment(spark, sf_dir):
 
 @query
 def op7_imatch_fingerprints(spark, sf_dir):
-    return imatch.compared(table(spark, sf_dir, "documents"))
+    return imatch.compared(table(spark, sf_dir, "documents"), whole=True)
 
 
 SQL["op3_minhash_containment"] = r"""
