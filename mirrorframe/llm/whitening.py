@@ -42,7 +42,7 @@ def _numbers(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
-            entries = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            entries = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, width)
             yield part, np.floor(entries * SCALE).astype(np.int64) + SHIFT
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from mirrorframe.llm import merkle, queries
 
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, tree string, pos int, digest string, suffix int, root int"
-CHANGED = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+
+
+def changed():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
 
 
 def H(*parts):
@@ -68,7 +71,7 @@ def frame(spark, rows):
 def test_documents_equal_a_plain_manifest(spark, sf, bits):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.source, r.lang, r.n_chars, r.text) for r in docs.collect()]
-    got = found(merkle.manifest(docs, CHANGED, bits))
+    got = found(merkle.manifest(docs, changed(), bits))
     assert got == plain(rows) and {r[6] for r in got} == {True, False}
 
 
@@ -90,13 +93,13 @@ def test_odd_rows(spark):
         (7, "s", "en", 5, "héllo"), (None, None, None, None, None), (None, "s", None, 1, "x"), (3, "s", "", 0, ""), (3, "s", "", 0, ""), (3, "s", "", 0, None),
         (-4, "", "Z", 2, "ab"), (4, "", "a", 2, "ab"), (5, "", "é", None, "y" * 3_000_000), (14, "q", "en", None, "z"), (21, "q", "en", 9, "1:-"), *[(i, "s", "many", i, f"t{i}") for i in range(40)],
     ]
-    got = found(merkle.manifest(frame(spark, rows).repartition(7), CHANGED, 2))
+    got = found(merkle.manifest(frame(spark, rows).repartition(7), changed(), 2))
     assert got == plain(rows)
 
 
 def test_equal_rows_make_one_tree_whatever_their_number(spark):
     rows = [(1, "s", "en", 1, "same")] * 70 + [(2, "s", "fr", 1, "other")]
-    assert found(merkle.manifest(frame(spark, rows).repartition(6), CHANGED, 3)) == plain(rows)
+    assert found(merkle.manifest(frame(spark, rows).repartition(6), changed(), 3)) == plain(rows)
 
 
 def test_empty_table_and_single_rows(spark):
@@ -108,7 +111,7 @@ def test_empty_table_and_single_rows(spark):
 
 def test_many_langs_are_a_tree_of_their_own(spark):
     rows = [(i, "s", f"l{i % 50:02d}", 1, str(i)) for i in range(120)]
-    assert found(merkle.manifest(frame(spark, rows), CHANGED, 1)) == plain(rows)
+    assert found(merkle.manifest(frame(spark, rows), changed(), 1)) == plain(rows)
 
 
 def test_the_query_marks_what_seven_divides(spark, sf):

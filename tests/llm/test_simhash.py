@@ -105,12 +105,10 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, meeting):
 
 
 def test_a_crowd_sends_rows_in_proportion(spark):
-    rng = random.Random(2)
-    counts = []
-    for n in (150, 300, 600):
-        fps = {sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(n)}
-        counts.append(len(linked(spark, fps)) / len(fps))
-    assert counts[2] < 66 and counts[2] < 3 * counts[0]
+    near = [1 << i | 1 << j for i in range(64) for j in range(i + 1)]  # all of one and two bits: each has over 120 neighbours
+    few, many = linked(spark, near[:500]), linked(spark, near)
+    assert len(few) < 66 * 500 and len(many) < 66 * len(near) and len(plain_components(near[:500])) == 500
+    assert len({a for pair in many for a in pair}) == len(near)
 
 
 def test_odd_rows(spark):
