@@ -107,7 +107,8 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, meeting):
 def test_a_crowd_sends_rows_in_proportion(spark):
     near = [1 << i | 1 << j for i in range(64) for j in range(i + 1)]  # all of one and two bits: each has over 120 neighbours
     few, many = linked(spark, near[:500]), linked(spark, near)
-    assert len(few) < 66 * 500 and len(many) < 66 * len(near) and len(plain_components(near[:500])) == 500
+    bound = 65 + 9 * simhash.MEETING  # stars, and pairs at 18 places
+    assert len(few) < bound * 500 and len(many) < bound * len(near) / 4
     assert len({a for pair in many for a in pair}) == len(near)
 
 
