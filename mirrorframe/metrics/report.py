@@ -6,7 +6,9 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from mirrorframe.functions import scalar as S
 from mirrorframe.metrics import pairs as P
 from mirrorframe.metrics import shapes, validity
 from mirrorframe.sources.metadata import Metadata, TableSpec
@@ -19,6 +21,17 @@ def modelled(table: TableSpec) -> tuple[list[str], list[str]]:
     return table.of_type(*NUMBERS), table.of_type(*TEXTS)
 
 
+def read_datetimes(df: DataFrame, table: TableSpec) -> DataFrame:
+    """Datetimes that are text in a declared format, as datetimes; text that does not parse is null."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    formats = {c: s.datetime_format for c, s in table.columns.items() if s.sdtype == "datetime" and s.datetime_format and c in text}
+    return df.withColumns({c: S.from_micros(S.to_micros(F.col(c), f)) for c, f in formats.items()}) if formats else df
+
+
+def _read(data: dict[str, DataFrame], metadata: Metadata) -> dict[str, DataFrame]:
+    return {n: read_datetimes(data[n], t) for n, t in metadata.tables.items()}
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
@@ -48,6 +61,7 @@ def _quality(
     real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: Metadata
 ) -> DataFrame:
     """Counts of all tables and relationships are united first, so each metric is one plan for the dataset."""
+    real, synthetic = _read(real, metadata), _read(synthetic, metadata)
     bounds = P.bounds_of({n: (real[n], t.of_type(*NUMBERS)) for n, t in metadata.tables.items()})
     numeric, textual, joint, frames = [], [], [], []
     cut = {}
@@ -112,6 +126,8 @@ def multi_table_quality_report(
 
 
 def _diagnostic(real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: Metadata) -> DataFrame:
+    stored = real, synthetic
+    real, synthetic = _read(real, metadata), _read(synthetic, metadata)
     bounds = P.bounds_of({n: (real[n], t.of_type(*NUMBERS)) for n, t in metadata.tables.items()})
     frames = []
     for name, table in metadata.tables.items():
@@ -121,9 +137,9 @@ def _diagnostic(real: dict[str, DataFrame], synthetic: dict[str, DataFrame], met
             frames.append(_tagged(inside, "data_validity"))
         if texts:
             frames.append(_tagged(validity.category_adherence(real[name], synthetic[name], texts), "data_validity"))
-        if table.primary_key:
-            frames.append(_tagged(validity.key_uniqueness(synthetic[name], table.primary_key), "data_validity"))
-        overlap = validity.structure(real[name].select(*table.columns), synthetic[name])
+        for key in dict.fromkeys(k for k in (table.primary_key, *table.alternate_keys) if k):
+            frames.append(_tagged(validity.key_uniqueness(synthetic[name], key), "data_validity"))
+        overlap = validity.structure(stored[0][name].select(*table.columns), stored[1][name])
         # One row, taken from the table so the report stays a single plan.
         frames.append(synthetic[name].agg(F.lit("data_structure").alias("property"), F.lit(overlap).alias("score")))
     for e in metadata.relationships:

@@ -122,13 +122,14 @@ def run_cell(
         try:
             data, metadata = load()
             row["Dataset_Size_MB"] = _megabytes(data)
+            # Counted before either clock runs: the rows to sample are the run's choice, not the synthesizer's work.
+            size = 1.0 if multi else data.count()
             deadline.check()
             error, started = TIMEOUT_ERROR, time.perf_counter()
             try:
                 model = synthesizer.fit(data, metadata)
                 fitted = time.perf_counter()
                 deadline.check()
-                size = 1.0 if multi else data.count()
                 synthetic = _stored(synthesizer.sample(model, size))
                 sampled = time.perf_counter()
                 deadline.check()
@@ -186,8 +187,8 @@ def _score(row, stages, deadline, data, synthetic, metadata, metrics, quality, d
         row["Quality_Score"] = timed(lambda: report.overall(make(data, synthetic, metadata)))
     if privacy_score:
         numbers, texts = report.modelled(metadata)
-        row["Privacy_Score"] = timed(lambda: privacy.baseline_protection(data, synthetic, numbers, texts).agg(
-            F.avg("score")).first()[0])
+        sides = [report.read_datetimes(df, metadata) for df in (data, synthetic)]
+        row["Privacy_Score"] = timed(lambda: privacy.baseline_protection(*sides, numbers, texts).agg(F.avg("score")).first()[0])
 
 
 def result_schema(metrics: list[tuple], quality: bool, diagnostic: bool, privacy_score: bool) -> T.StructType:

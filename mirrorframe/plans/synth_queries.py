@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mirrorframe.functions import patterns
 from mirrorframe.functions import random as rnd
 from mirrorframe.functions import scalar as S
+from mirrorframe.functions.permutation import permuted
 from mirrorframe.operators import subset
 from mirrorframe.plans import views as V
 from mirrorframe.sources.metadata import ColumnSpec, Metadata, Relationship, TableSpec, infer_table
@@ -115,7 +117,8 @@ def mixed_decode(spark, sf_dir):
     moved = coded.withColumns({
         "line": F.col("line") + 0.4, "flag": F.col("flag") + 0.3, "shipped": F.col("shipped") + 0.3,
     })
-    out = encoder.decode(moved.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_suppkey")), model)
+    # Rows that are equal in all of these are equal: any order of them has the same result.
+    out = encoder.decode(moved, model, order=["l_orderkey", "l_suppkey", "line", "discount", "flag", "status", "shipped"])
     return out.withColumn("discount", F.round("discount", 6)).drop("id")
 
 
@@ -151,16 +154,48 @@ def segment_sample(spark, sf_dir):
     return maker.sample(maker.fit(data), data.count())
 
 
+def _digests(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, digest): all rows of all tables, each as the digest of its columns."""
+    out = None
+    for name, df in tables.items():
+        one = df.select(F.lit(name).alias("table_name"), F.md5(F.to_json(F.struct(*df.columns))).alias("digest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def independent_sample(spark, sf_dir):
-    data = {t: V.table(spark, sf_dir, t) for t in ("customer", "orders")}
+    data, metadata = star(spark, sf_dir)
     maker = IndependentSynthesizer(1)
-    return maker.sample(maker.fit(data))["orders"]
+    return _digests(maker.sample(maker.fit(data, metadata)))
 
 
 def hierarchical_sample(spark, sf_dir):
     data, metadata = star(spark, sf_dir)
     maker = HierarchicalSynthesizer(1)
-    return maker.sample(maker.fit(data, metadata))["lineitem"]
+    return _digests(maker.sample(maker.fit(data, metadata)))
+
+
+CUSTOMERS = TableSpec({
+    "c_custkey": ColumnSpec("id"), "c_name": ColumnSpec("name", pii=True), "c_nationkey": ColumnSpec("categorical"),
+    "c_acctbal": ColumnSpec("numerical"), "c_mktsegment": ColumnSpec("categorical"),
+}, primary_key="c_custkey")
+
+
+def metadata_copula_sample(spark, sf_dir):
+    """Customers by their metadata: new keys and names, nations as categories, the rest by the copula."""
+    data = V.table(spark, sf_dir, "customer").select(*CUSTOMERS.columns)
+    maker = GaussianCopulaSynthesizer(1)
+    return maker.sample(maker.fit(data, CUSTOMERS), data.count())
+
+
+def surrogate_keys(spark, sf_dir):
+    """Customers under other keys and made-up addresses: a permutation of the keys, and text by pattern."""
+    customers = V.table(spark, sf_dir, "customer")
+    n = customers.count()
+    mail = patterns.Pattern(*patterns.PERSONAL["email"])
+    return customers.select(
+        "c_custkey", permuted(21, "key", F.col("c_custkey"), n).alias("surrogate"),
+        patterns.made(mail, 22, "mail", F.col("c_custkey"), n).alias("email"), "c_mktsegment")
 
 
 # --- subsets ----------------------------------------------------------------------------------------
@@ -202,7 +237,7 @@ QUERIES = {
     for f in [
         identity_sample, uniform_sample, uniform_multi_table, column_resample, bootstrap_rows, label_sample,
         mixed_encode, mixed_decode, mixed_normal_scores, gaussian_copula_sample, bootstrap_sample,
-        column_gmm_sample, segment_sample, independent_sample, hierarchical_sample,
+        column_gmm_sample, segment_sample, independent_sample, hierarchical_sample, metadata_copula_sample, surrogate_keys,
         row_cap, column_trim, sequence_trim, referential_subset,
     ]
 }

@@ -7,7 +7,6 @@ text, and correlations of normal scores. What reaches the driver is bounded by s
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,12 +19,18 @@ from pyspark.sql import types as T
 from mirrorframe.functions import gaussian
 from mirrorframe.functions import random as rnd
 from mirrorframe.functions import scalar as S
-from mirrorframe.session import current, materialize, spread
-from mirrorframe.sources.metadata import TableSpec
+from mirrorframe.functions.moments import moments
+from mirrorframe.session import materialize, spread
 from mirrorframe.synth import lookup
+from mirrorframe.synth.roles import ByMetadata
 from mirrorframe.synth.simple import as_number, bootstrap_rows, integers, objects, times
 
+# Quantiles of a number's distribution: even steps, and further points in the tails, where the ends of long ones lie.
 GRID = 200
+TAILS = (0.0001, 0.0003, 0.001, 0.0025)
+LEVELS = np.array(sorted({*(i / GRID for i in range(GRID + 1)), *TAILS, *(1 - t for t in TAILS)}))
+# One over the error of a quantile's rank.
+ACCURACY = 20_000
 
 
 @dataclass
@@ -45,9 +50,9 @@ class CopulaModel:
 def _number_grids(data: DataFrame, numbers: list[str], schema: T.StructType) -> dict:
     if not numbers:
         return {}
-    levels = [i / GRID for i in range(GRID + 1)]
+    levels = LEVELS.tolist()
     rows = data.groupBy("_segment").agg(F.count(F.lit(1)).alias("rows"), *[e for c in numbers for e in (
-        F.percentile_approx(as_number(schema, c).cast("double"), levels, 10 * GRID).alias(f"{c}|grid"),
+        F.percentile_approx(as_number(schema, c).cast("double"), levels, ACCURACY).alias(f"{c}|grid"),
         F.count(c).alias(f"{c}|n"),
     )]).collect()
     return {
@@ -58,7 +63,7 @@ def _number_grids(data: DataFrame, numbers: list[str], schema: T.StructType) ->
 
 def _score_function(grids: dict[int, list[float]]):
     """Vectorised normal score of a number within its segment's quantile grid."""
-    levels = np.linspace(0.0, 1.0, GRID + 1)
+    levels = LEVELS
 
     @F.pandas_udf(T.DoubleType())
     def score(segment: pd.Series, value: pd.Series) -> pd.Series:
@@ -77,6 +82,11 @@ def _score_function(grids: dict[int, list[float]]):
 
 
 def _fit(data: DataFrame, schema: T.StructType) -> CopulaModel:
+    return fit_scored(data, schema)[0]
+
+
+def fit_scored(data: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> tuple[CopulaModel, DataFrame]:
+    """The copula of the columns in `schema`, by `_segment`; also the normal scores that it was fitted to, with `keep`."""
     texts = objects(schema)
     numbers = [c for c in schema.fieldNames() if c not in texts]
     counts = {r["_segment"]: r["n"] for r in data.groupBy("_segment").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -84,7 +94,7 @@ def _fit(data: DataFrame, schema: T.StructType) -> CopulaModel:
     grids = _number_grids(data, numbers, schema)
 
     ranges, sizes = None, {}
-    scored = data.select("_segment", *numbers, *[F.col(c).cast("string").alias(c) for c in texts])
+    scored = data.select("_segment", *[F.col(c).alias(f"_keep_{c}") for c in keep], *numbers, *[F.col(c).cast("string").alias(c) for c in texts])
     if texts:
         pairs = F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in texts
@@ -111,18 +121,17 @@ def _fit(data: DataFrame, schema: T.StructType) -> CopulaModel:
     columns = [*numbers, *texts]
     triangles = {s: np.eye(len(columns)) for s in counts}
     if len(columns) > 1:
-        # Scores are never null, so one deviation per column serves all its pairs.
-        found = scored.groupBy("_segment").agg(*[
-            F.covar_pop(a, b).alias(f"{i}|{j}") for (i, a), (j, b) in combinations(enumerate(columns), 2)
-        ], *[F.stddev_pop(c).alias(f"{i}") for i, c in enumerate(columns)]).collect()
-        for r in found:
-            matrix = np.eye(len(columns))
-            for i, j in combinations(range(len(columns)), 2):
-                spreads = r[f"{i}"] * r[f"{j}"]
-                matrix[i, j] = matrix[j, i] = r[f"{i}|{j}"] / spreads if spreads > 0 else 0.0
-            triangles[r["_segment"]] = _triangle(matrix)
+        # Scores are never null, so one matrix of products serves all pairs.
+        for segment, found in moments(scored, columns, F.col("_segment")).items():
+            covariance = found.covariance
+            spreads = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+            varies = spreads > 1e-9
+            scale = np.where(varies, spreads, 1.0)
+            matrix = np.where(np.outer(varies, varies), covariance / np.outer(scale, scale), 0.0)
+            np.fill_diagonal(matrix, 1.0)
+            triangles[segment] = _triangle(matrix)
     shares = {s: n / total for s, n in sorted(counts.items())}
-    return CopulaModel(schema, numbers, texts, shares, triangles, grids, ranges, sizes)
+    return CopulaModel(schema, numbers, texts, shares, triangles, grids, ranges, sizes), scored
 
 
 @F.pandas_udf(T.DoubleType())
@@ -138,8 +147,11 @@ def _triangle(matrix: np.ndarray) -> np.ndarray:
     return np.linalg.cholesky(lifted / np.outer(scale, scale))
 
 
-def sample_copula(model: CopulaModel, ids: DataFrame, seed: int | str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows for the counters in `id` (unique, any type); `keep` passes columns through."""
+def sample_copula(model: CopulaModel, ids: DataFrame, seed: int | str, keep: tuple[str, ...] = (), shift: str | None = None) -> DataFrame:
+    """Rows for the counters in `id` (unique, any type); `keep` passes columns through.
+
+    The column `shift` holds what is added to a row's correlated normal draws, a number per column of the model.
+    """
     columns = [*model.numbers, *model.texts]
     i = F.col("id")
     segment, reached = F.lit(max(model.shares)), 0.0
@@ -152,9 +164,9 @@ def sample_copula(model: CopulaModel, ids: DataFrame, seed: int | str, keep: tup
         segment = F.when(u < edge, F.lit(s)).otherwise(segment)
     drawn = ids.select("id", *keep, segment.cast("int").alias("_segment"), F.array(*[
         rnd.normal(seed, c, i) for c in columns
-    ]).alias("_z"), F.array(*[rnd.uniform(seed, c + "#null", i) for c in model.numbers] or [F.lit(0.0)]).alias("_nulls"))
+    ]).alias("_z"), F.array(*[rnd.uniform(seed, c + "#null", i) for c in model.numbers] or [F.lit(0.0)]).alias("_nulls"), *([F.col(shift).alias("_shift")] if shift else []))
 
-    levels = np.linspace(0.0, 1.0, GRID + 1)
+    levels = LEVELS
     numbers, texts, grids, triangles = model.numbers, model.texts, model.grids, model.triangles
     kept = [drawn.schema[c] for c in keep]
     schema = T.StructType([
@@ -168,10 +180,11 @@ def sample_copula(model: CopulaModel, ids: DataFrame, seed: int | str, keep: tup
             z = np.stack(batch["_z"].to_numpy()) if len(batch) else np.zeros((0, len(columns)))
             nulls = np.stack(batch["_nulls"].to_numpy()) if len(batch) else np.zeros((0, 1))
             p = np.zeros_like(z)
+            moved = np.stack(batch["_shift"].to_numpy()) if shift and len(batch) else np.zeros_like(z)
             for s, triangle in triangles.items():
                 rows = seg == s
                 if rows.any():
-                    p[rows] = gaussian.cdf(z[rows] @ triangle.T)
+                    p[rows] = gaussian.cdf(z[rows] @ triangle.T + moved[rows])
             out = {"id": batch["id"], **{c: batch[c] for c in keep}, "_segment": seg}
             for k, c in enumerate(columns):
                 value = p[:, k].copy()
@@ -220,18 +233,19 @@ def _texts(rows: DataFrame, model: CopulaModel, c: str) -> DataFrame:
     return lookup.range_lookup(rows.withColumn(c, base + inside), c, ranges, offset, distinct, c)
 
 
-class GaussianCopulaSynthesizer:
+class GaussianCopulaSynthesizer(ByMetadata):
+    """One copula for the table. With its spec, keys, ids and personal data are made anew and never modelled."""
+
     name, modality = "GaussianCopulaSynthesizer", "single_table"
 
     def __init__(self, seed: int | str = 0):
         self.seed = seed
 
-    def fit(self, data: DataFrame, table: TableSpec | None = None) -> CopulaModel:
+    def _fit(self, data: DataFrame) -> CopulaModel:
         return _fit(spread(data).withColumn("_segment", F.lit(0)), data.schema)
 
-    def sample(self, model: CopulaModel, n_rows: int) -> DataFrame:
-        ids = lookup.row_ids(current(), n_rows)
-        return sample_copula(model, ids, self.seed).drop("id")
+    def _rows(self, model: CopulaModel, ids: DataFrame) -> DataFrame:
+        return sample_copula(model, ids, self.seed)
 
 
 class BootstrapSynthesizer(GaussianCopulaSynthesizer):
@@ -239,9 +253,9 @@ class BootstrapSynthesizer(GaussianCopulaSynthesizer):
 
     name = "BootstrapSynthesizer"
 
-    def fit(self, data: DataFrame, table: TableSpec | None = None) -> CopulaModel:
+    def _fit(self, data: DataFrame) -> CopulaModel:
         rows = bootstrap_rows(data, data.columns, data.count(), self.seed).drop("id")
-        return super().fit(materialize(rows.select(*data.columns)), table)
+        return super()._fit(materialize(rows.select(*data.columns)))
 
 
 class SegmentSynthesizer(GaussianCopulaSynthesizer):
@@ -253,11 +267,11 @@ class SegmentSynthesizer(GaussianCopulaSynthesizer):
         super().__init__(seed)
         self.segments = segments
 
-    def fit(self, data: DataFrame, table: TableSpec | None = None) -> CopulaModel:
+    def _fit(self, data: DataFrame) -> CopulaModel:
         schema = data.schema
         numbers = [c for c in schema.fieldNames() if c not in objects(schema)]
         if not numbers:
-            return super().fit(data, table)
+            return super()._fit(data)
         means = data.agg(*[F.avg(as_number(schema, c)).alias(c) for c in numbers]).first()
         filled = data.withColumns({
             f"_x_{c}": F.coalesce(as_number(schema, c).cast("double"), F.lit(float(means[c] or 0.0))) for c in numbers

@@ -107,9 +107,12 @@ def encode(data: DataFrame, model: EncoderModel, keep: tuple[str, ...] = ()) ->
     return coded
 
 
-def decode(encoded: DataFrame, model: EncoderModel, row_id: str = "id") -> DataFrame:
-    """Back to the original types; ids count the rows by `row_id` (dense from 0)."""
-    out = encoded
+def decode(encoded: DataFrame, model: EncoderModel, row_id: str = "id", order: list[str] | None = None) -> DataFrame:
+    """Back to the original types; ids count the rows from 0, by `row_id` if it does so already.
+
+    With `order` the rows are numbered by these columns first (over slices, not in one task), into `row_id`.
+    """
+    out = encoded if order is None else prefix.numbered(encoded, [], [F.col(c) for c in order], row_id)
     for c in model.numbers:
         value = _from_normal(model.quantiles[c])(F.col(c)) if model.quantiles else F.col(c)
         if c in model.snapped:

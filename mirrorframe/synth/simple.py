@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from mirrorframe.functions import random as rnd
 from mirrorframe.functions import scalar as S
 from mirrorframe.operators import prefix
-from mirrorframe.session import current
 from mirrorframe.sources.metadata import INTEGER_TYPES, NUMERIC_TYPES, Metadata, TableSpec
 from mirrorframe.synth import lookup
+from mirrorframe.synth.roles import ByMetadata
 
 # Fixed value: most components of a column's mixture.
 MAX_COMPONENTS = 5
@@ -65,15 +65,18 @@ class UniformModel:
     sizes: dict[str, int]
 
 
-class UniformSynthesizer:
-    """Every column on its own: whole numbers in [min, max], distinct values evenly, the rest in [min, max)."""
+class UniformSynthesizer(ByMetadata):
+    """Every column on its own: whole numbers in [min, max], distinct values evenly, the rest in [min, max).
+
+    With a table's spec, keys, ids and personal data are made anew, and formatted datetimes are drawn as datetimes.
+    """
 
     name, modality = "UniformSynthesizer", "single_table"
 
     def __init__(self, seed: int = 0):
         self.seed = seed
 
-    def fit(self, data: DataFrame, table: TableSpec | None = None) -> UniformModel:
+    def _fit(self, data: DataFrame) -> UniformModel:
         schema = data.schema
         ranged = [*integers(schema), *reals(schema), *times(schema)]
         bounds = {}
@@ -86,10 +89,7 @@ class UniformSynthesizer:
         domains, sizes = lookup.domains(data, named) if named else (None, {})
         return UniformModel(schema, bounds, domains, sizes)
 
-    def sample(self, model: UniformModel, n_rows: int, row_id: str | None = None) -> DataFrame:
-        return self._draw(lookup.row_ids(current(), n_rows), model, row_id)
-
-    def _draw(self, ids: DataFrame, model: UniformModel, row_id: str | None) -> DataFrame:
+    def _rows(self, model: UniformModel, ids: DataFrame) -> DataFrame:
         i = F.col("id")
         columns = {}
         for f in model.schema.fields:
@@ -111,13 +111,11 @@ class UniformSynthesizer:
         for c, size in model.sizes.items():
             drawn = lookup.pick(drawn, c, model.domains, c, size, c)
             drawn = drawn.withColumn(c, F.col(c).cast(model.schema[c].dataType))
-        if row_id:
-            drawn = drawn.withColumnRenamed("id", row_id)
-        return drawn.select(*([row_id] if row_id else []), *model.schema.fieldNames())
+        return drawn.select("id", *model.schema.fieldNames())
 
 
 class MultiTableUniformSynthesizer:
-    """A uniform synthesizer per table; keys are not linked."""
+    """A uniform synthesizer per table; keys are drawn like other columns and not linked."""
 
     name, modality = "MultiTableUniformSynthesizer", "multi_table"
 
@@ -145,15 +143,18 @@ class ColumnModel:
     mixtures: dict[str, tuple]
 
 
-class ColumnSynthesizer:
-    """Every column on its own: text resampled by frequency, numbers from a clipped Gaussian mixture."""
+class ColumnSynthesizer(ByMetadata):
+    """Every column on its own: text resampled by frequency, numbers from a clipped Gaussian mixture.
+
+    With a table's spec, keys, ids and personal data are made anew.
+    """
 
     name, modality = "ColumnSynthesizer", "single_table"
 
     def __init__(self, seed: int = 0, iterations: int = 20):
         self.seed, self.iterations = seed, iterations
 
-    def fit(self, data: DataFrame, table: TableSpec | None = None) -> ColumnModel:
+    def _fit(self, data: DataFrame) -> ColumnModel:
         schema = data.schema
         named = objects(schema)
         ranges, sizes = None, {}
@@ -191,15 +192,14 @@ class ColumnSynthesizer:
             out[c] = (list(fitted.weights), means, spreads, low, high, nulls)
         return out
 
-    def sample(self, model: ColumnModel, n_rows: int) -> DataFrame:
-        drawn = lookup.row_ids(current(), n_rows)
+    def _rows(self, model: ColumnModel, ids: DataFrame) -> DataFrame:
         i = F.col("id")
-        drawn = drawn.withColumns({c: self._number(model, c, i) for c in model.mixtures})
+        drawn = ids.withColumns({c: self._number(model, c, i) for c in model.mixtures})
         for (c,), (total, distinct) in model.sizes.items():
             drawn = drawn.withColumn(c, rnd.index(self.seed, c, i, F.lit(total)))
             drawn = lookup.range_lookup(drawn, c, model.ranges.where(F.col("column") == c), total, distinct, c)
             drawn = drawn.withColumn(c, F.col(c).cast(model.schema[c].dataType))
-        return drawn.select(*model.schema.fieldNames())
+        return drawn.select("id", *model.schema.fieldNames())
 
     def _number(self, model, c, i):
         weights, means, spreads, low, high, nulls = model.mixtures[c]

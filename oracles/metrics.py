@@ -123,7 +123,7 @@ SQL = {
     "boundary_adherence": f"with {SIDES} select col as \"column\", round(score, 6) as score from ({BOUNDARY})",
     "diagnostic_report": f"""with {SIDES}, properties as (select 'data_validity' as property, avg(score) as score from ({BOUNDARY} union all {CATEGORY}) union all select 'data_structure', 1.0)
  select property, round(score, 6) as score from properties union all select 'overall', round(avg(score), 6) from properties""",
-    "category_adherence": """with real as (select * from part where p_size % 4 = 0 and p_partkey % 3 = 0), made as (select * from part where p_size % 4 <> 0)
+    "category_adherence": """with real as (select * from part where p_size % 4 = 0 and p_partkey % 3 = 0), made as (select * from part where not (p_size % 4 = 0 and p_partkey % 3 = 0))
  select 'p_name' as "column", round(avg(case when p_name in (select p_name from real) then 1.0 else 0.0 end), 6) as score from made
  union all select 'p_brand', round(avg(case when p_brand in (select p_brand from real) then 1.0 else 0.0 end), 6) from made
  union all select 'p_type', round(avg(case when p_type in (select p_type from real) then 1.0 else 0.0 end), 6) from made""",

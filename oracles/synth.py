@@ -39,6 +39,32 @@ flags as (select v, row_number() over (order by v) - 1 as i from (select distinc
 states as (select v, row_number() over (order by v) - 1 as i from (select distinct coalesce(status, '__nan__') as v from mixed)),
 snapped as (select distinct coalesce(cast(line as double), m_line) as v from mixed, means)"""
 
+
+
+def network(seed, stream):
+    """One pass of a number v through the four rounds over the moduli a and b; as a select from a relation with v, a and b."""
+    shift = lambda k, number, size: index(seed, f"{stream}#{k}", number, size)
+    return (f"select *, l4 + a * r4 as w from (select *, r3 as l4, (l3 + {shift(3, 'r3', 'b')}) % b as r4 from (select *, r2 as l3, (l2 + {shift(2, 'r2', 'a')}) % a as r3"
+            f" from (select *, r1 as l2, (l1 + {shift(1, 'r1', 'b')}) % b as r2 from (select *, r0 as l1, (l0 + {shift(0, 'r0', 'a')}) % a as r1"
+            " from (select *, v % a as l0, v // a as r0 from ({rel}))))))")
+
+
+def permuted(seed, stream, name):
+    """Common tables `name`: (id, v), the place of each customer's key under the permutation of their number."""
+    net = network(seed, stream)
+    return (f"{name}_walk as (select id, w as v from ({net.replace('{rel}', 'select c_custkey as id, c_custkey as v, a, b from customer, m')}) union all "
+            f"select id, w from ({net.replace('{rel}', f'select id, v, a, b from {name}_walk, m where v >= n')})), {name} as (select id, v from {name}_walk, m where v < n)")
+
+
+# The root of n and the moduli near it whose product exceeds n least.
+MODULI = """c as (select count(*) as n, cast(floor(sqrt(count(*) - 1)) as bigint) + 1 as root from customer),
+m as (select n, a, b from (select n, a, cast(ceil(n / a) as bigint) as b from (select n, unnest(range(root, root + least(root, 256))) as a from c)) order by a * b - n, a limit 1)"""
+
+# Four small letters, then four digits, from the number's highest place on.
+_letter = "substr('abcdefghijklmnopqrstuvwxyz', cast((x // {size}) % 26 as int) + 1, 1)"
+_sizes = [26**k * 10**4 for k in (3, 2, 1, 0)]
+EMAIL = "concat('user.', " + ", ".join(_letter.replace("{size}", str(size)) for size in _sizes) + ", lpad(cast(x % 10000 as varchar), 4, '0'), '@example.com')"
+
 CAP = "md5(concat('{seed}|', {keys}))"
 
 SQL = {
@@ -80,7 +106,12 @@ SQL = {
     "mixed_decode": f"""with {MIXED} select l_orderkey, l_suppkey,
  cast(round_even(coalesce(line, m_line) + 0.4, 0) as int) as line,
  round(coalesce(discount, m_discount), 6) as discount, flag, status,
- strftime(make_timestamp(shipped), '%d %b %Y') as shipped, l_orderkey * 10 + l_suppkey as l_partkey from mixed cross join means""",
+ strftime(make_timestamp(shipped), '%d %b %Y') as shipped,
+ row_number() over (order by l_orderkey, l_suppkey, coalesce(line, m_line), coalesce(discount, m_discount), coalesce(flag, '__nan__'), coalesce(status, '__nan__'), shipped) - 1 as l_partkey
+ from mixed cross join means""",
+    "surrogate_keys": f"""with recursive {MODULI}, {permuted(21, 'key', 'k')}, {permuted(22, 'mail', 'e')}
+ select c_custkey, k.v as surrogate, {EMAIL} as email, c_mktsegment
+ from customer join k on k.id = c_custkey join (select id, v * ({26**4 * 10**4} // (select n from m)) as x from e) e on e.id = c_custkey""",
     "row_cap": f"""select o_orderkey, o_custkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) as o_orderdate, o_orderpriority from orders
  order by {CAP.format(seed=2, keys='cast(o_orderkey as varchar)')}, o_orderkey limit 1000""",
     "column_trim": "select l_suppkey, l_orderkey, l_partkey, l_linenumber, l_quantity from lineitem",
