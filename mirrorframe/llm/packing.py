@@ -121,13 +121,13 @@ def pack(
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece of a document.
 
     A document is its ids and `end_id`. Whole windows are cut off first and are sequences of their own; last pieces are
-    packed in groups of about `group_docs` documents that are dealt by hash, so neither a large group of equal
-    texts nor the order of the table makes a task large. Each group has at most one window that is not full. A null
+    packed in groups of about `group_docs` documents that are dealt by hash of the row's number as well, so neither a large group
+    of equal rows nor the order of the table makes a task large. Each group has at most one window that is not full. A null
     text is empty: its document is `end_id` alone. Rows with null or repeated ids are packed like any other.
     """
     groups = max(1, math.ceil(docs.count() / group_docs))
     dtype = word_ids(tokenizer).dtype
-    dealt = pieces(docs, tokenizer, window, end_id, id_col, text_col).withColumn("pack", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)))
+    dealt = pieces(docs, tokenizer, window, end_id, id_col, text_col).withColumn("pack", F.pmod(F.xxhash64("doc_id", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def step(table: pa.Table) -> pa.Table:
         group = table.column("pack")[0].as_py()

@@ -7,6 +7,7 @@ once and remembers it. Results equal the libraries' for the whole text.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,8 +24,8 @@ LIMIT = 4096
 # Text bytes handled at once, words and (dearer to encode, fewer) parts of words that a worker remembers in each of two
 # generations, and characters of a text encoded in one call.
 BATCH_BYTES = 2 << 20
-REMEMBERED = 100_000
-REMEMBERED_PARTS = 400_000
+REMEMBERED = 80_000
+REMEMBERED_PARTS = 200_000
 CALL_CHARS = 1 << 16
 
 
@@ -78,7 +79,7 @@ def _counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    count = Memory(lambda words: [len(x) for x in model.encode(words, num_threads=1)], REMEMBERED_PARTS)
+    count = Memory(lambda words: [len(x) for x in model.encode(words, num_threads=1)], 2 * REMEMBERED_PARTS)
 
     def counts(texts: pa.Array) -> np.ndarray:
         # Single spaces between words: cut at all of them. Other texts are encoded in long pieces.
@@ -121,7 +122,7 @@ class WordIds:
     """Ids of texts under a tokenizer that drops white space and marks the last piece of a word by a suffix."""
 
     # Characters that lower-case one to one and are already composed, so a word of these can be cut by the pattern here.
-    _PLAIN = regex.compile("[!-\u012f\u0131-\u0148\u014a-\u01c3\u01cd-\u01ef\u01f4-\u024f]*")
+    _PLAIN = "^[!-\u012f\u0131-\u0148\u014a-\u01c3\u01cd-\u01ef\u01f4-\u024f]*$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -131,8 +132,10 @@ class WordIds:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         suffix = spec["model"]["end_of_word_suffix"]
-        self._special = [x["content"] for x in spec["added_tokens"]]
-        self._pattern = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        self._special = "|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or "$^"
+        # The pattern matches no white space, so a space after each word tells where its parts end.
+        pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self._pattern = regex.compile(f"{pattern}| ")
         self._last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self._last[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
         self._parts = Memory(self._encode_parts, REMEMBERED_PARTS)
@@ -150,30 +153,42 @@ class WordIds:
             out += [x.tobytes() for x in np.split(ids, ends[:-1])]
         return out
 
+    def _gathered(self, blobs: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, ids): the ids of the blobs that the codes name, one after the other, and where each ends."""
+        flat = np.frombuffer(b"".join(blobs), self.dtype)
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        begins = np.cumsum(sizes) - sizes
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        where = np.repeat(begins[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return ends, flat[where]
+
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        plain = [self._PLAIN.fullmatch(w) is not None and not any(s in w for s in self._special) for w in words]
-        parts = [self._pattern.findall(w.lower()) if ok else None for w, ok in zip(words, plain, strict=True)]
-        known = list(dict.fromkeys(x for p in parts if p for x in p))
-        ids = dict(zip(known, self._parts(known), strict=True))
-        return [
-            b"".join([ids[x] for x in p]) if p is not None
-            else np.array(self._model.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-            for w, p in zip(words, parts, strict=True)
-        ]
+        column = pa.array(words, pa.string())
+        plain = pc.and_not(pc.match_substring_regex(column, self._PLAIN), pc.match_substring_regex(column, self._special)).to_pylist()
+        parts = self._pattern.findall("".join([f"{w} " for w, ok in zip(words, plain, strict=True) if ok]).lower())
+        coded = pa.array(parts, pa.string()).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        apart = known.index(" ") if parts else -1
+        if parts:
+            del known[apart]
+        blobs = self._parts(known)
+        if parts:
+            blobs.insert(apart, b"")
+        codes = coded.indices.to_numpy().astype(np.int64)
+        ends, ids = self._gathered(blobs, codes)
+        data, size = ids.tobytes(), self.dtype.itemsize
+        lasts = (ends[codes == apart] * size).tolist()
+        cut = iter([data[a:b] for a, b in zip([0, *lasts], lasts)])
+        return [next(cut) if ok else np.array(self._model.encode(w, add_special_tokens=False).ids, self.dtype).tobytes() for w, ok in zip(words, plain, strict=True)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of all texts, one after the other."""
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         blobs = self._words(words.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(blobs), self.dtype)
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
-        begins = np.cumsum(sizes) - sizes
-        codes = words.indices.to_numpy() if len(words) else np.zeros(0, np.int64)
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        where = np.repeat(begins[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return np.concatenate([[0], ends])[lists.offsets.to_numpy()], flat[where]
+        ends, ids = self._gathered(blobs, words.indices.to_numpy().astype(np.int64))
+        return np.concatenate([[0], ends])[lists.offsets.to_numpy()], ids
 
 
 @lru_cache(maxsize=2)
