@@ -6,12 +6,15 @@ phrases with equal triggers. The corpus is handled as this parse:
 
 1. triggers that occur in one document only are set aside (nearly all of the text ends here),
 2. phrases of the others are named; a trigger whose occurrences all lie in one same phrase is settled by the
-   dictionary alone, since all suffixes of that phrase have the same documents,
-3. where phrases with the same trigger differ, their suffixes are named by their first `length` bytes and brought
-   into one order across the corpus; equal names are neighbours there, and the least document of each settles it.
-
-Only 64-bit names travel, packed by (chunk of documents, slice of the name space). A chunk sends each name once, so a
-passage that all documents hold costs one entry a chunk wherever it is gathered.
+   parse alone, since all suffixes of that phrase have the same documents,
+3. where phrases with the same trigger differ, the distinct ones make a dictionary. Its suffixes are sorted by prefix doubling,
+   up to `length` bytes; equal suffixes are neighbours in that order, and the documents in which the parse has their
+   phrases say which is the least. A verdict covers a run of a phrase's windows.
+4. A trigger with very many phrases (a common line in ever new surroundings) would make one dictionary too large: its suffixes are
+   dealt by a hash of their first `length` bytes instead, so no task gathers more than a slice of them.
+
+Names are 64-bit hashes and travel packed by (chunk of documents, slice of the name space). A chunk sends each name and
+each phrase once, so a passage that all documents hold costs one entry a chunk wherever it is gathered.
 """
 
 from __future__ import annotations
@@ -38,8 +41,12 @@ CHUNK_BYTES = 4 << 20
 SLICE_BYTES = 16 << 20
 
 _PACKED = "slice long, chunk long, names binary"
-# Kinds of verdict: a trigger all of whose windows have one least document, one to be split into windows, a window.
-WHOLE, SPLIT, SINGLE = range(3)
+# Kinds of verdict: a trigger all of whose windows have one least document, one whose phrases differ, one with too many of
+# them for a dictionary, a window, and a run of windows of a phrase.
+WHOLE, SPLIT, CROWDED, SINGLE, RUN = range(5)
+# Different phrases of one trigger that a chunk sends, and that a dictionary takes.
+CROWD, MOST_PHRASES = 64, 1 << 14
+_MARK = np.uint64(2**64 - 1)
 
 
 class Parse:
@@ -126,7 +133,7 @@ def _packed(chunk: int, records: np.ndarray, slices: int, short: bool = False) -
     """Records (name first, ascending) by slice of the name space; `short` ones are the names' places within their slice."""
     places = _places(records[:, 0], slices)
     at, first = np.unique(places >> np.uint64(32), return_index=True)
-    ends = [*first[1:], len(records)]
+    ends = np.append(first, len(records))[1:]
     sent = places.astype(np.uint32) if short else records
     blobs = [sent[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
     return pa.table({"slice": pa.array(at.astype(np.int64)), "chunk": pa.array([chunk] * len(at), pa.int64()), "names": pa.array(blobs, pa.binary())})
@@ -205,30 +212,57 @@ def removals(
             which = np.flatnonzero(_member(wanted, _places(p.name, slices))[0])
             found.append((p.name[which], p.phrase(which), ids[p.row[which]]))
         names, named_phrases, ids = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 3
-        return _packed(_chunk(table, reply), _per_name(names, ids, named_phrases), slices)
+        records = _per_name(names, ids, named_phrases)
+        if len(records):
+            # A trigger with many phrases in this chunk alone is named once.
+            at = np.flatnonzero(np.concatenate([[True], records[1:, 0] != records[:-1, 0]]))
+            sizes = np.diff(np.append(at, len(records)))
+            records[at[sizes > 2 * CROWD], 1] = _MARK
+            keep = np.repeat(sizes <= 2 * CROWD, sizes)
+            keep[at] = True
+            records = records[keep]
+        return _packed(_chunk(table, reply), records, slices)
 
     def dictionary(table: pa.Table) -> pa.Table:
-        records = _sorted(_unpacked(table, 3))
+        records = _unpacked(table, 3)
         if not len(records):
             return _answer(table, 3, np.zeros((0, 2), np.uint64))
-        at = np.flatnonzero(np.concatenate([[True], records[1:, 0] != records[:-1, 0]]))
-        split = np.minimum.reduceat(records[:, 1], at) != np.maximum.reduceat(records[:, 1], at)
+        records = records[np.lexsort((records[:, 1], records[:, 0]))]
+        fresh = np.concatenate([[True], records[1:, 0] != records[:-1, 0]])
+        at = np.flatnonzero(fresh)
+        different = fresh | np.concatenate([[True], records[1:, 1] != records[:-1, 1]])
+        phrases_of = np.add.reduceat(different.astype(np.int64), at)
+        crowded = (phrases_of > MOST_PHRASES) | (np.maximum.reduceat(records[:, 1], at) == _MARK)
+        split = phrases_of > 1
         least, greatest = np.minimum.reduceat(records[:, 2].view(np.int64), at), np.maximum.reduceat(records[:, 2].view(np.int64), at)
         found = np.stack([records[at, 0], least.view(np.uint64)], axis=1)
-        several = least < greatest
-        whole = _answer(table, 3, found[several & ~split], WHOLE)
-        return pa.concat_tables([whole, _answer(table, 3, found[several & split, :1], SPLIT)])
+        several = (least < greatest) | crowded
+        parts = [(found[several & ~split & ~crowded], WHOLE), (found[several & split & ~crowded, :1], SPLIT), (found[crowded, :1], CROWDED)]
+        return pa.concat_tables([_answer(table, 3, verdicts, kind) for verdicts, kind in parts])
 
     def suffixes(table: pa.Table, reply: pa.Table) -> pa.Table:
-        wanted = _sorted(_unpacked(_of_kind(reply, SPLIT), 1))[:, 0]
-        found = []
-        for _, p, ids, _ in _parses(table, length):
-            owner, starts = p.suffixes(np.flatnonzero(_member(wanted, p.name)[0]))
+        split, crowded = (_sorted(_unpacked(_of_kind(reply, kind), 1))[:, 0] for kind in (SPLIT, CROWDED))
+        found, contents = [], {}
+        for run, p, ids, _ in _parses(table, length):
+            owner, starts = p.suffixes(np.flatnonzero(_member(crowded, p.name)[0]))
             found.append((p.windows(starts), ids[p.row[owner]]))
+            which = np.flatnonzero(_member(split, p.name)[0])
+            named = zip(p.name[which].tolist(), p.phrase(which).tolist(), ids[p.row[which]].tolist(), p.lo[which].tolist(), p.hi[which].tolist(), strict=True)
+            for name, phrase, number, lo, hi in named:
+                known = contents.get((name, phrase))
+                if known is None:
+                    contents[name, phrase] = [number, number, run.data[lo : hi + length].tobytes()]
+                elif number < known[0]:
+                    known[0] = number
+                elif number > known[1]:
+                    known[1] = number
         names, ids = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return _packed(_chunk(table, reply), _per_name(names, ids), slices)
+        chunk = _chunk(table, reply)
+        return pa.concat_tables([_packed(chunk, _per_name(names, ids), slices), _contents(chunk, contents, slices)])
 
     def order(table: pa.Table) -> pa.Table:
+        if table.num_rows and table.column("slice")[0].as_py() >= slices:
+            return _dictionary_order(table, length)
         records = _sorted(_unpacked(table, 2))
         if not len(records):
             return _answer(table, 2, np.zeros((0, 2), np.uint64))
@@ -238,7 +272,8 @@ def removals(
 
     def remove(table: pa.Table, reply: pa.Table) -> pa.Table:
         whole, single = (_sorted(_unpacked(_of_kind(reply, kind), 2)) for kind in (WHOLE, SINGLE))
-        split = _sorted(_unpacked(_of_kind(reply, SPLIT), 1))
+        split, crowded = (_sorted(_unpacked(_of_kind(reply, kind), 1))[:, 0] for kind in (SPLIT, CROWDED))
+        runs_of = _sorted(_unpacked(_of_kind(reply, RUN), 3))
         out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
         carried = table.column("carried").combine_chunks()
         for run, p, ids, known in _parses(table, length):
@@ -248,7 +283,16 @@ def removals(
             which = which[whole[at[which], 1].view(np.int64) < ids[p.row[which]]]
             np.add.at(edges, p.lo[which], 1)
             np.add.at(edges, p.hi[which] + length, -1)
-            owner, starts = p.suffixes(np.flatnonzero(_member(split[:, 0], p.name)[0]))
+            which = np.flatnonzero(_member(split, p.name)[0])
+            named = p.phrase(which)
+            first, end = (np.searchsorted(runs_of[:, 0], named, side) for side in ("left", "right"))
+            which, sizes = np.repeat(which, end - first), end - first
+            at = np.arange(len(which)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+            earlier = runs_of[at, 2].view(np.int64) < ids[p.row[which]]
+            which, bounds = which[earlier], runs_of[at[earlier], 1]
+            np.add.at(edges, p.lo[which] + (bounds >> np.uint64(32)).astype(np.int64), 1)
+            np.add.at(edges, p.lo[which] + (bounds & np.uint64(0xFFFFFFFF)).astype(np.int64) + length, -1)
+            owner, starts = p.suffixes(np.flatnonzero(_member(crowded, p.name)[0]))
             hit, at = _member(single[:, 0], p.windows(starts))
             some = np.flatnonzero(hit)
             some = some[single[at[some], 1].view(np.int64) < ids[p.row[owner[some]]]]
@@ -285,6 +329,80 @@ def removals(
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *[F.col("carried")[n].alias(n) for n in names])
 
 
+def _contents(chunk: int, contents: dict, slices: int) -> pa.Table:
+    """Phrases with their bytes, by slice: how many, then (phrase, least id, greatest id, size) of each, then all bytes."""
+    ordered = sorted(contents)
+    places = (_places(np.array([name for name, _ in ordered], np.uint64), slices) >> np.uint64(32)).astype(np.int64)
+    at, first = np.unique(places, return_index=True)
+    blobs = []
+    for a, b in zip(first, np.append(first, len(ordered))[1:], strict=True):
+        some = [(phrase, contents[name, phrase]) for name, phrase in ordered[a:b]]
+        head = np.array([(phrase, np.int64(least).view(np.uint64), np.int64(greatest).view(np.uint64), len(data)) for phrase, (least, greatest, data) in some], np.uint64)
+        blobs.append(np.uint64(len(some)).tobytes() + head.tobytes() + b"".join(data for _, (_, _, data) in some))
+    return pa.table({"slice": pa.array(at + slices, pa.int64()), "chunk": pa.array([chunk] * len(at), pa.int64()), "names": pa.array(blobs, pa.binary())})
+
+
+def ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """For each start the place of the `length` bytes from there among all such strings, in their order; zeros follow the end.
+
+    Ranks of 8 bytes are paired to ranks of 16, 32, ... (prefix doubling), the last pair overlapping.
+    """
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(8 + 2 * length, np.uint8)])
+    first = np.ndarray((n + 2 * length,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
+    rank, have = np.unique(first, return_inverse=True)[1].astype(np.uint64), 8
+    while have < length:
+        step = min(have, length - have)
+        rank = np.unique(rank[:-step] * np.uint64(len(padded)) + rank[step:], return_inverse=True)[1].astype(np.uint64)
+        have += step
+    return rank[:n]
+
+
+def _dictionary_order(table: pa.Table, length: int) -> pa.Table:
+    """Verdicts on runs of windows (phrase, first and last window, least id): where a document before another has them."""
+    held, phrases = [], {}
+    for blob in table.column("names").combine_chunks():
+        raw = blob.as_buffer()
+        n = int(np.frombuffer(raw, np.uint64, 1)[0])
+        head = np.frombuffer(raw, np.uint64, 4 * n, 8).reshape(n, 4)
+        begin = 8 + 32 * n
+        data = memoryview(raw)[begin:]
+        at = 0
+        for phrase, least, greatest, size in zip(head[:, 0].tolist(), head[:, 1].view(np.int64).tolist(), head[:, 2].view(np.int64).tolist(), head[:, 3].tolist(), strict=True):
+            known = phrases.get(phrase)
+            if known is None:
+                phrases[phrase] = [least, greatest, bytes(data[at : at + size])]
+            else:
+                known[0], known[1] = min(known[0], least), max(known[1], greatest)
+            at += size
+        held.append(np.sort(head[:, 0]))
+    names = np.array(sorted(phrases), np.uint64)
+    entries = [phrases[x] for x in names.tolist()]
+    sizes = np.array([len(e[2]) for e in entries], np.int64)
+    text = np.frombuffer(b"".join(e[2] for e in entries), np.uint8)
+    windows = sizes - length + 1
+    owner = np.repeat(np.arange(len(names)), windows)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    place = ranks(text, length)[(np.cumsum(sizes) - sizes)[owner] + inside]
+    least, greatest = (np.array([e[k] for e in entries], np.int64) for k in (0, 1))
+    # The least document of each suffix: suffixes that are equal have one place.
+    lowest = np.full(int(place.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, place.astype(np.int64), least[owner])
+    found = lowest[place.astype(np.int64)]
+    wanted = found < greatest[owner]
+    begins = wanted.copy()
+    begins[1:] &= ~wanted[:-1] | (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+    ends = wanted.copy()
+    ends[:-1] &= ~wanted[1:] | (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+    a, b = np.flatnonzero(begins), np.flatnonzero(ends)
+    bounds = (inside[a].astype(np.uint64) << np.uint64(32)) | inside[b].astype(np.uint64)
+    verdicts = np.stack([names[owner[a]], bounds, found[a].view(np.uint64)], axis=1) if len(a) else np.zeros((0, 3), np.uint64)
+    blobs = []
+    for mine in held:
+        blobs.append(verdicts[_member(mine, verdicts[:, 0])[0]].tobytes())
+    return pa.table({"slice": pa.array([RUN] * len(blobs), pa.int64()), "chunk": table.column("chunk"), "names": pa.array(blobs, pa.binary())})
+
+
 def _chunk(table: pa.Table, reply: pa.Table) -> int:
     return (table if table.num_rows else reply).column("chunk")[0].as_py()
 

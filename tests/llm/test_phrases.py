@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from mirrorframe.llm import phrases
 from tests.llm import brute
 
@@ -17,7 +20,10 @@ def test_agrees_with_brute_force_on_the_documents(spark, sf):
     assert any(x[1] for x in found.values())
 
 
-def test_passages_edges_and_overlaps(spark, monkeypatch):
+@pytest.mark.parametrize(("crowd", "most"), [(phrases.CROWD, phrases.MOST_PHRASES), (1, phrases.MOST_PHRASES), (phrases.CROWD, 2)])
+def test_passages_edges_and_overlaps(spark, monkeypatch, crowd, most):
+    monkeypatch.setattr(phrases, "CROWD", crowd)
+    monkeypatch.setattr(phrases, "MOST_PHRASES", most)
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(phrases, "SLICE_BYTES", 3000)
     rng = random.Random(5)
@@ -33,6 +39,18 @@ def test_passages_edges_and_overlaps(spark, monkeypatch):
     assert result(phrases.removals(frame)) == brute.repeats(rows)
 
 
+@pytest.mark.parametrize("length", [28, 32, 50, 64])
+def test_ranks_are_the_order_of_the_suffixes(length):
+    rng = random.Random(length)
+    data = bytes(rng.choice(b"ab\0\xff") for _ in range(300)) + b"ab" * 60 + b"\0" * 90
+    rank = phrases.ranks(np.frombuffer(data, np.uint8), length)
+    strings = [(data + b"\0" * length)[i : i + length] for i in range(len(data))]
+    order = {x: k for k, x in enumerate(sorted(set(strings)))}
+    found = [rank[i] for i in range(len(data))]
+    by_rank = sorted(range(len(data)), key=lambda i: order[strings[i]])
+    assert all((found[a] < found[b]) == (strings[a] < strings[b]) and (found[a] == found[b]) == (strings[a] == strings[b]) for a, b in zip(by_rank, by_rank[1:]))
+
+
 def test_odd_rows(spark):
     line = "The same long line that is met again and again in all of these texts."
     rows = [(None, line), (None, None), (1, line), (1, line), (2, line + "!"), (3, None), (4, ""), (5, line * 300)]
