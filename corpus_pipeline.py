@@ -24,13 +24,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with `row`, a hash of id and text: different texts under one id, or under none, are rows of their own."""
+    return docs.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull()))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id; rows that repeat its id go as well."""
-    kept = minmax.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    found = docs.join(kept, "doc_id")
-    single = found.where("rows = 1").select(*COLUMNS)
-    repeated = found.where("rows > 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
-    return single.unionByName(repeated.select("doc_id", "d.*")).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each group of near-duplicates: the one with the least id, or if all are null, any of them.
+
+    Rows that repeat an id with another text are documents of their own; of equal rows one stays.
+    """
+    rows = _keyed(docs)
+    groups = minmax.near_duplicates(rows.select("row", "text"), id_col="row").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    named = rows.select("row", "doc_id").distinct().join(groups, "row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k")).select("k.row")
+    found = rows.join(kept, "row", "left_semi")
+    # Only rows that are repeated as they stand meet here; they are few, or copies of each other.
+    counts = rows.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1").select("row")
+    repeated = found.join(counts, "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("d"))
+    return found.join(counts, "row", "left_anti").select(*COLUMNS).unionByName(repeated.select("d.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +57,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; a null id cannot be named, so such a document stays."""
-    leaks = containment.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no benchmark item; each row is judged by its own text, whatever its id."""
+    rows = _keyed(docs)
+    leaks = containment.contained(rows.select("row", "text"), table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(leaks, "row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces, packed into sequences; an empty or null text is its closing id alone."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 

@@ -84,30 +84,37 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, shared, missing) for `pairs` (a, b): set sizes, common members, and what of `a` is not in `b`.
+    """(a, b, na, nb, shared, missing, beyond) for `pairs` (a, b): set sizes, common members, what of `a` is not in `b`, and of `b` not in `a`.
 
-    `missing` is a bitmap of PARTS bits as four numbers: members of `a` are dealt over the bits by hash, and a bit is
-    set if any of its members is not in `b`. Both joins are plain ones on exchanges of their own, so adaptive
+    `missing` and `beyond` are bitmaps of PARTS bits as four numbers: members are dealt over the bits by hash, and a bit is
+    set if any of its members of one set is not in the other. Both joins are plain ones on exchanges of their own, so adaptive
     execution splits an `a` that has many partners.
     """
 
     def scan(batches):
         for batch in batches:
-            sizes, bitmaps = np.zeros((3, batch.num_rows), np.int64), np.zeros((batch.num_rows, 4), np.uint64)
+            sizes, bitmaps = np.zeros((3, batch.num_rows), np.int64), np.zeros((2, batch.num_rows, 4), np.uint64)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                there = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+                there, back = _within(x, y), _within(y, x)
                 sizes[:, i] = len(x), len(y), there.sum()
-                bits = np.zeros(PARTS, np.uint8)
-                bits[(x[~there] & np.uint64(PARTS - 1)).astype(np.int64)] = 1
-                bitmaps[i] = np.packbits(bits, bitorder="little").view(np.uint64)
-            lists = pa.ListArray.from_arrays(np.arange(0, 4 * batch.num_rows + 1, 4, dtype=np.int32), bitmaps.ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x) for x in sizes], lists], ["a", "b", "na", "nb", "shared", "missing"])
+                for side, lone in enumerate((x[~there], y[~back])):
+                    bits = np.zeros(PARTS, np.uint8)
+                    bits[(lone & np.uint64(PARTS - 1)).astype(np.int64)] = 1
+                    bitmaps[side, i] = np.packbits(bits, bitorder="little").view(np.uint64)
+            at = np.arange(0, 4 * batch.num_rows + 1, 4, dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(at, b.ravel().view(np.int64)) for b in bitmaps]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x) for x in sizes], *lists], ["a", "b", "na", "nb", "shared", "missing", "beyond"])
 
     of_b = sets.select(F.col("id").alias("b"), F.col("members").alias("of_b"))
     of_a = sets.select(F.col("id").alias("a"), F.col("members").alias("of_a"))
     joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b")
-    return joined.mapInArrow(scan, "a long, b long, na long, nb long, shared long, missing array<long>")
+    return joined.mapInArrow(scan, "a long, b long, na long, nb long, shared long, missing array<long>, beyond array<long>")
+
+
+def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the sorted `x` are in the sorted `y`."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
 
 
 def _enough(shared: Column, x: Column, y: Column, percent: int) -> Column:
@@ -134,14 +141,15 @@ def _pivot_pairs(members: DataFrame, rank: Column, percent: int) -> DataFrame:
 def _rest_pairs(members: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     """The pairs that share a band and may be linked, but are not known to be connected by pivots.
 
-    Of two sets compared with the same pivot, what either lacks of it is known: their common members are at most those
-    of the pivot in neither bitmap of missing ones, and as many others as the set with fewer of them has.
+    Of two sets compared with the same pivot, what either lacks of it and has beyond it is known: their common members are at
+    most those of the pivot in neither bitmap of missing ones, and of either's members beyond it those whose bit the
+    other's bitmap has as well.
     """
     # An id with several sets has several rows; nothing is ruled out for it.
-    once = compared.groupBy("b").agg(F.min(F.struct("a", "na", "nb", "shared", "missing")).alias("k"), F.count("*").alias("rows")).where("rows = 1")
+    once = compared.groupBy("b").agg(F.min(F.struct("a", "na", "nb", "shared", "missing", "beyond")).alias("k"), F.count("*").alias("rows")).where("rows = 1")
     known = once.select(
         F.col("b").alias("id"), F.col("k.a").alias("pivot"), F.col("k.na").alias("np"), (F.col("k.nb") - F.col("k.shared")).alias("others"),
-        *[F.col("k.missing")[i].alias(f"m{i}") for i in range(4)],
+        *[F.col("k.missing")[i].alias(f"m{i}") for i in range(4)], *[F.col("k.beyond")[i].alias(f"o{i}") for i in range(4)],
     )
     roots = components(materialize(_links(compared, percent))).withColumnRenamed("node", "id")
     placed = members.drop("degree").join(known, "id", "left").join(roots, "id", "left")
@@ -150,7 +158,12 @@ def _rest_pairs(members: DataFrame, compared: DataFrame, percent: int) -> DataFr
     rows = placed.join(mixed, "band", "left_semi")
     x, y = (rows.select("band", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "band"]) for side in "xy")
     lacking = sum((F.bit_count(F.col(f"x_m{i}").bitwiseOR(F.col(f"y_m{i}"))) for i in range(4)), F.lit(0))
-    most = F.col("x_np") - lacking + F.least("x_others", "y_others")
+
+    def common_beyond(own: str, other: str) -> Column:
+        alone = [F.bit_count(F.col(f"{own}_o{i}").bitwiseAND(F.bitwise_not(f"{other}_o{i}"))) for i in range(4)]
+        return F.col(f"{own}_others") - sum(alone, F.lit(0))
+
+    most = F.col("x_np") - lacking + F.least(common_beyond("x", "y"), common_beyond("y", "x"))
     possible = F.coalesce(
         F.when(F.col("x_pivot") == F.col("y_pivot"), 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)), F.lit(True)
     )
