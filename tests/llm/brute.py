@@ -62,3 +62,29 @@ def repeats(rows, length=50):
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept)
     return out
+
+
+def nn_pu(positive, unlabelled, n, prior, rounds, rate, decay, corrected=True):
+    """(weights, bias, least clean risk): logistic non-negative positive-unlabelled learning on dense 0/1 rows, by Adam."""
+    import numpy as np
+
+    x_p, x_u = (np.zeros((len(texts), n + 1)) for texts in (positive, unlabelled))
+    for x, texts in ((x_p, positive), (x_u, unlabelled)):
+        for row, words in enumerate(texts):
+            x[row, words] = 1
+        x[:, n] = 1
+    w = np.zeros(n + 1)
+    w[n] = np.log(prior / (1 - prior))
+    m, v, least = np.zeros(n + 1), np.zeros(n + 1), np.inf
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for step in range(1, rounds + 1):
+        z_p, z_u = x_p @ w, x_u @ w
+        clean = np.log1p(np.exp(z_u)).mean() - prior * np.log1p(np.exp(z_p)).mean()
+        least = min(least, clean)
+        of_clean = (x_u * sigmoid(z_u)[:, None]).mean(axis=0) - prior * (x_p * sigmoid(z_p)[:, None]).mean(axis=0)
+        of_toxic = -prior * (x_p * sigmoid(-z_p)[:, None]).mean(axis=0)
+        g = -of_clean if corrected and clean < 0 else of_toxic + of_clean
+        g[:n] += decay * w[:n]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    return w[:n], w[n], least
