@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from mirrorframe.llm import bytescan as B
 
 LIMIT = 4096
-# Text bytes handled at once, words and (dearer to encode, fewer) parts of words that a worker remembers in each of two
+# Text bytes handled at once, words and parts of words that a worker remembers in each of two
 # generations, and characters of a text encoded in one call.
 BATCH_BYTES = 2 << 20
-REMEMBERED = 80_000
-REMEMBERED_PARTS = 200_000
+REMEMBERED = 300_000
+REMEMBERED_PARTS = 150_000
 CALL_CHARS = 1 << 16
 
 
@@ -79,7 +79,7 @@ def _counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    count = Memory(lambda words: [len(x) for x in model.encode(words, num_threads=1)], 2 * REMEMBERED_PARTS)
+    count = Memory(lambda words: [len(x) for x in model.encode(words, num_threads=1)], REMEMBERED)
 
     def counts(texts: pa.Array) -> np.ndarray:
         # Single spaces between words: cut at all of them. Other texts are encoded in long pieces.
