@@ -101,10 +101,27 @@ def _shown(level: Column, codes: Column, finer: Column) -> Column:
     return F.concat_ws(":", level.cast("string"), text(codes), text(finer))
 
 
+def _identity(level: Column, codes: Column, finer: Column, text_hash: Column) -> Column:
+    """What the shown fingerprint says, as a struct: equal for equal fingerprints and only for them."""
+    some = F.size(codes) > 0
+    return F.struct(F.when(some, level).otherwise(-1).alias("level"), codes.alias("codes"), finer.alias("finer"), F.when(some, 0).otherwise(text_hash).alias("text"))
+
+
+def displayed(side: str, whole: bool) -> Column:
+    """The fingerprint as text, from a row's columns of that side; without terms, a hash of the text itself."""
+    c = lambda name: F.col(f"{side}_{name}")
+    plain = _shown(c("level"), c("codes"), c("finer"))
+    seen = F.when(F.size(c("codes")) > 0, plain)
+    if whole:
+        by_all = F.concat(F.lit("+"), _shown(c("level"), c("wide"), c("wide_finer")))
+        seen = F.when(~c("few"), plain).when(F.size(c("wide")) > 0, by_all)
+    return seen.otherwise(F.concat(F.lit("="), F.lower(F.hex(c("hash")))))
+
+
 def likeness(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Share of the lexicons used by either text whose hashes agree, at a density that both have.
 
-    Arguments are (level, codes, finer codes, fingerprint). Equal fingerprints have 1; without a common density it is 0.
+    Arguments are FIELDS. Equal fingerprints have 1; without a common density it is 0.
     """
 
     def share(x: Column, y: Column) -> Column:
@@ -112,38 +129,37 @@ def likeness(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
         used = F.size(F.array_union(place(x), place(y)))
         return F.when(used > 0, F.size(F.array_intersect(x, y)) / used).otherwise(F.lit(0.0))
 
-    (la, ca, fa, shown_a), (lb, cb, fb, shown_b) = a, b
+    (la, ca, fa, ha), (lb, cb, fb, hb) = a, b
     return (
-        F.when(shown_a == shown_b, F.lit(1.0)).when(la == lb, share(ca, cb)).when(la + 1 == lb, share(fa, cb))
+        F.when(_identity(la, ca, fa, ha).eqNullSafe(_identity(lb, cb, fb, hb)), F.lit(1.0)).when(la == lb, share(ca, cb)).when(la + 1 == lb, share(fa, cb))
         .when(lb + 1 == la, share(ca, fb)).otherwise(F.lit(0.0))
     )
 
 
-FIELDS, WHOLE_FIELDS = ("level", "codes", "finer", "shown"), ("few", "wide", "wide_finer")
+FIELDS, WHOLE_FIELDS = ("level", "codes", "finer", "hash"), ("few", "wide", "wide_finer")
 
 
 def whole_likeness(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """likeness(), by all terms if either text has few within the band. Arguments are FIELDS and WHOLE_FIELDS."""
-    (la, ca, fa, shown_a, few_a, wa, wfa), (lb, cb, fb, shown_b, few_b, wb, wfb) = a, b
-    by_all = likeness((la, wa, wfa, shown_a), (lb, wb, wfb, shown_b))
-    return F.when(few_a | few_b, by_all).otherwise(likeness((la, ca, fa, shown_a), (lb, cb, fb, shown_b)))
+    (la, ca, fa, ha, few_a, wa, wfa), (lb, cb, fb, hb, few_b, wb, wfb) = a, b
+    return F.when(few_a | few_b, likeness((la, wa, wfa, ha), (lb, wb, wfb, hb))).otherwise(likeness((la, ca, fa, ha), (lb, cb, fb, hb)))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], own: str, other: str, terms: DataFrame, whole: bool = False) -> DataFrame:
-    """`keys` and, for the texts in the columns `own` and `other`, (level, codes, finer, shown), as `own_...` and `other_...`.
+    """`keys` and, for the texts in the columns `own` and `other`, FIELDS, as `own_...` and `other_...`.
 
     Rows with equal keys give as many equal rows. A text without terms in the lexicon is fingerprinted as a whole; with `whole`,
     one with fewer than FEW by all its terms, marked by a plus sign, and WHOLE_FIELDS are given as well (those by all
-    terms of `other` only if they are needed).
+    terms of `other` only if they are needed). displayed() makes the texts of them; they are not stored.
     `texts` should already be dealt by one of the keys; then nothing is moved.
     """
     hashed = texts.select(
         *keys, F.array_distinct(word_hashes(F.col(own))).alias("own_terms"), F.array_distinct(word_hashes(F.col(other))).alias("other_terms"),
-        F.xxhash64(own).alias("own_whole"), F.xxhash64(other).alias("other_whole"),
+        F.xxhash64(own).alias("own_hash"), F.xxhash64(other).alias("other_hash"),
     )
     levels = hashed.withColumns({f"{s}_level": density(F.size(f"{s}_terms")) for s in ("own", "other")})
     masks = levels.withColumns({f"{s}_mask": F.expr(f"shiftleft(1L, {s}_level) - 1") for s in ("own", "other")})
-    fixed = [*keys, "own_level", "other_level", "own_whole", "other_whole", "n_own"]
+    fixed = [*keys, "own_level", "other_level", "own_hash", "other_hash", "n_own"]
     thin = masks.withColumns({f"{s}_terms": _thinned(F.col(f"{s}_terms"), F.col(f"{s}_mask")) for s in ("own", "other")}).withColumn("n_own", F.size("own_terms"))
     # A last element that every lexicon has stands for the row itself.
     row = F.array(F.lit(0).cast("long"))
@@ -165,15 +181,10 @@ def fingerprints(texts: DataFrame, keys: list[str], own: str, other: str, terms:
     for s in ("own", "other"):
         finer = _thinned(F.col(f"{s}_kept"), F.expr(f"shiftleft(1L, {s}_level + 1) - 1"))
         out = out.withColumns({f"{s}_codes": _codes(F.col(f"{s}_kept")), f"{s}_finer": _codes(finer)})
-        shown = _shown(F.col(f"{s}_level"), F.col(f"{s}_codes"), F.col(f"{s}_finer"))
-        seen = F.when(F.size(f"{s}_codes") > 0, shown)
         if whole:
             finer = _thinned(F.col(f"{s}_all"), F.expr(f"shiftleft(1L, {s}_level + 1) - 1"))
             needed = F.lit(True) if s == "own" else F.col("own_few") | F.col("other_few")
             out = out.withColumns({f"{s}_wide": F.when(needed, _codes(F.col(f"{s}_all"))), f"{s}_wide_finer": F.when(needed, _codes(finer))})
-            by_all = F.concat(F.lit("+"), _shown(F.col(f"{s}_level"), F.col(f"{s}_wide"), F.col(f"{s}_wide_finer")))
-            seen = F.when(~F.col(f"{s}_few"), shown).when(F.size(f"{s}_wide") > 0, by_all)
-        out = out.withColumn(f"{s}_shown", seen.otherwise(F.concat(F.lit("="), F.lower(F.hex(f"{s}_whole")))))
     columns = [f"{s}_{c}" for s in ("own", "other") for c in FIELDS + WHOLE_FIELDS * whole]
     return out.select(*keys, *columns, F.explode(F.array_repeat(F.lit(0), F.greatest("copies", F.lit(1)))).alias("_copy")).drop("_copy")
 
@@ -198,14 +209,14 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wh
         heads = heads.groupBy("key", "next_key").agg(F.min("head").alias("head"))
     joined = base.join(heads, "key").withColumn("n_chars", F.length("text").cast("long"))
     edited = joined.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(head, 1, cast(n_chars div 3 as int)))"))
-    keyed = edited.select("key", "next_key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("same"), "text", "edited")
+    keyed = edited.select("key", "next_key", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), F.xxhash64("text").alias("same"), "text", "edited")
     keys = ["key", "next_key", "n_chars", "edited_sha256", "same"]
     marked = materialize(fingerprints(keyed, keys, "text", "edited", terms, whole))
     nexts = marked.select(F.col("key").alias("next_key"), *[F.col(f"own_{c}").alias(f"next_{c}") for c in fields])
     if repeated:
-        nexts = nexts.groupBy("next_key").agg(*[F.min_by(c, "next_shown").alias(c) for c in nexts.columns[1:]])
+        nexts = nexts.groupBy("next_key").agg(*[F.min_by(c, displayed("next", whole)).alias(c) for c in nexts.columns[1:]])
     of = lambda s: tuple(F.col(f"{s}_{c}") for c in fields)
     return marked.join(nexts, "next_key").select(
-        F.when(F.col("key") != _NULL_ID, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", F.col("own_shown").alias("fingerprint"),
-        F.col("other_shown").alias("edited_fingerprint"), alike(of("own"), of("other")).alias("near_edited"), alike(of("own"), of("next")).alias("near_next"),
+        F.when(F.col("key") != _NULL_ID, F.col("key")).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), displayed("own", whole).alias("fingerprint"),
+        displayed("other", whole).alias("edited_fingerprint"), alike(of("own"), of("other")).alias("near_edited"), alike(of("own"), of("next")).alias("near_next"),
     )
