@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from mirrorframe.functions import random as rnd
 from mirrorframe.functions import scalar as S
+from mirrorframe.metrics import tolerance as tolerant
 from mirrorframe.metrics.pairs import numeric_bounds
 from mirrorframe.metrics.shapes import ks_of_counts, paired_counts, share
+from mirrorframe.session import materialize
 from mirrorframe.synth.simple import as_number
 from mirrorframe.synth.tables import children_per_parent
 
@@ -102,29 +104,17 @@ def new_row_synthesis(
 ) -> DataFrame:
     """Share of synthetic rows without a real match.
 
-    Rows match when their texts are equal and their numbers fall in the same cell of a grid whose step is
-    `tolerance` of the real range. Both sides are reduced to distinct cells first, so repeated rows meet
-    once. `sample_share` restricts the test to a hashed share of the synthetic rows.
+    Rows match when their texts are equal and no number differs by more than `tolerance` of its real range; a missing
+    value matches a missing one. Both sides are reduced to distinct rows first, so repeated rows meet once.
+    `sample_share` restricts the test to a hashed share of the synthetic rows.
     """
     bounds = numeric_bounds(real, numbers)
-    columns = [*texts, *numbers]
-
-    def cells(df):
-        def cell(c):
-            low, high = bounds[c]
-            step = (high - low) * tolerance if low is not None else 0.0
-            value = S.no_nan(as_number(df.schema, c).cast("double"))
-            return F.floor((value - low) / step) if step > 0 else value
-        return df.select(*[F.col(c).cast("string").alias(c) for c in texts], *[cell(c).alias(c) for c in numbers])
-
     if sample_share is not None:
-        row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
+        row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in [*texts, *numbers]])
         synthetic = synthetic.where(rnd.uniform(seed, "new-row", row) < sample_share)
-    known = cells(real).distinct().withColumn("_known", F.lit(1))
-    made = cells(synthetic).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    same = None
-    for c in columns:
-        test = made[c].eqNullSafe(known[c])
-        same = test if same is None else same & test
-    new = F.sum(F.when(F.col("_known").isNull(), F.col("n")).otherwise(0))
-    return made.join(known, same, "left").agg(share(new, F.sum("n")).alias("score"))
+    close = [bounds[c] for c in numbers if tolerance > 0 and tolerant.wide(bounds[c])]
+    spread = bounds if tolerance > 0 else {c: (None, None) for c in numbers}
+    made, known = (materialize(tolerant.points(df, texts, numbers, spread)) for df in (synthetic, real))
+    hits = tolerant.matched_counts(made, known, [low for low, _ in close], [(high - low) * tolerance for low, high in close])
+    sides = made.select("n", F.lit(0).cast("bigint").alias("hit")).unionByName(hits.select(F.lit(0).cast("bigint").alias("n"), F.col("n").alias("hit")))
+    return sides.agg(share(F.sum(F.col("n") - F.col("hit")), F.sum("n")).alias("score"))

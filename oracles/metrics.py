@@ -98,10 +98,7 @@ def mi(pairs, numbers):
  from (select column_a, column_b, va, vb, count(*) as n from ({rows}) group by all)) group by 1, 2"""
 
 
-def cells(condition):
-    parts = ", ".join(f"floor(({c} - lo_{c}) / ((hi_{c} - lo_{c}) * 0.01)) as {c}" for c in ["l_quantity", "l_discount", "l_tax"])
-    return f"select l_returnflag, l_linestatus, {parts} from sides cross join bounds where {condition}"
-
+MATCHED = ["l_quantity", "l_discount", "l_tax"]
 
 STAR_CATEGORIES = {
     "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"],
@@ -136,9 +133,10 @@ SQL = {
  shared as (select dataset, table_name, column_name, sdtype from catalog_v intersect select dataset, table_name, column_name, sdtype from half_v),
  every as (select dataset, table_name, column_name, sdtype from catalog_v union select dataset, table_name, column_name, sdtype from half_v)
  select e.dataset, round(cast((select count(*) from shared s where s.dataset = e.dataset) as double) / count(*), 6) as score from every e group by 1""",
-    "new_row_synthesis": f"""with {SIDES}, {bounds(['l_quantity', 'l_discount', 'l_tax'], 'sides where is_real')}, known as (select distinct * from ({cells('is_real')})),
- made as ({cells('not is_real')})
- select round(avg(case when (l_returnflag, l_linestatus, l_quantity, l_discount, l_tax) in (select (l_returnflag, l_linestatus, l_quantity, l_discount, l_tax) from known) then 0.0 else 1.0 end), 6) as score from made""",
+    "new_row_synthesis": f"""with {SIDES}, {bounds(MATCHED, 'sides where is_real')}, known as (select distinct l_returnflag, l_linestatus, {', '.join(MATCHED)} from sides where is_real),
+ made as (select l_returnflag, l_linestatus, {', '.join(MATCHED)}, count(*) as n from sides where not is_real group by all),
+ hit as (select distinct m.* from made m join known k on m.l_returnflag = k.l_returnflag and m.l_linestatus = k.l_linestatus cross join bounds where {' and '.join(f'abs(m.{c} - k.{c}) <= (hi_{c} - lo_{c}) * 0.01' for c in MATCHED)})
+ select round(1.0 - cast((select coalesce(sum(n), 0) from hit) as double) / sum(n), 6) as score from made""",
     "multi_table_diagnostic": f"""with kept as (select * from customer where c_nationkey % 3 <> 0),
  properties as (
  select 'data_validity' as property, 1.0 as score union all select 'data_structure', 1.0

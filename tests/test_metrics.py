@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,35 @@ def test_metric_selection():
         select_metrics(["Nope"], "multi_table")
     assert METRICS["single_table"]["LinearRegression"].normalize(1.0) == 1.0
     assert METRICS["single_table"]["GMLogLikelihood"].normalize(0.0) == 0.5
+
+
+def _row_is_new(row, real, tolerances):
+    def close(a, b, most):
+        return (a is None and b is None) or (a is not None and b is not None and abs(a - b) <= most)
+    return not any(row[0] == r[0] and all(close(a, b, m) for a, b, m in zip(row[1:], r[1:], tolerances)) for r in real)
+
+
+def test_new_rows_agree_with_brute_force(spark):
+    draw = random.Random(5)
+    def rows(n):
+        crowd = [("t", 3.0 + draw.random() / 40, 50 + draw.random() * 2, 0.5, 1.0, 7.0) for _ in range(n)]
+        spread = [(draw.choice(["t", "u", None]), draw.choice([None, draw.random() * 8, 4.0]), draw.random() * 100, draw.choice([0.0, -0.0, 0.5, 1.0]), 1.0, draw.choice([7.0, 7.25])) for _ in range(n)]
+        return crowd + spread
+    real, made = rows(150), rows(150) + [("t", 1e300, 5.0, 0.5, 1.0, 7.0), ("t", 3.0, 50.0, 0.5, 2.0, 7.0)]
+    real += [("edge", 0.0, 0.0, 0.0, 1.0, 7.0), ("edge", 8.0, 100.0, 1.0, 1.0, 7.0)]
+    made += [("edge", 0.08, 1.0, 0.01, 1.0, 7.0), ("edge", 7.9, 100.0, 1.0, 1.0, 7.0), ("edge", 7.93, 99.1, 1.0, 1.0, 7.0)]
+    schema = "t string, a double, b double, c double, k double, e double"
+    for tolerance in (0.01, 0.003):
+        spans = [[r[i] for r in real if r[i] is not None] for i in range(1, 6)]
+        most = [(max(s) - min(s)) * tolerance for s in spans]
+        want = sum(_row_is_new(r, real, most) for r in made) / len(made)
+        got = validity.new_row_synthesis(spark.createDataFrame(real, schema), spark.createDataFrame(made, schema), ["t"], ["a", "b", "c", "k", "e"], tolerance).first()["score"]
+        assert got == pytest.approx(want) and 0.1 < want < 0.9
+
+
+def test_new_rows_across_a_cell_edge_and_without_rows(spark):
+    real = spark.createDataFrame([(0.0,), (1.0,), (0.4999,)], "x double")
+    score = lambda made, tolerance=0.01: validity.new_row_synthesis(real, spark.createDataFrame(made, "x double"), [], ["x"], tolerance).first()["score"]
+    assert score([(0.5001,), (0.4901,), (0.52,), (None,)]) == 0.5
+    assert score([(1.0,), (0.9999,)], 0.0) == 0.5
+    assert score([]) is None
