@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from mirrorframe.session import spread
 from mirrorframe.synth.simple import as_number
 
 BINS = 10
+# Values of a column up to which a task counts its pairs in matrices (32 KB a pair).
+NARROW = 64
 
 
 def correlation_similarity(
@@ -72,12 +77,62 @@ def discretized(df: DataFrame, texts: list[str], bounds: dict[str, tuple[float,
                      *[binned(df, c, b).alias(c) for c, b in bounds.items()])
 
 
-def pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(pair, value_a, value_b) for pairs of columns of the same row; `pair` is a position in `pairs`."""
-    return spread(df).select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(a).alias("value_a"), F.col(b).alias("value_b"))
-        for i, (a, b) in enumerate(pairs)
-    ])).alias("p")).select("p.*")
+def pair_tallies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, value_a, value_b, n): partial joint counts of text columns; `pair` is a position in `pairs`.
+
+    Each task counts its rows in a matrix a pair and emits the matrices once, instead of a row for each pair of each row.
+    A column with more than NARROW values in a task would make its matrices large; its pairs are counted batch by batch.
+    What a task holds and, for narrow columns, emits depends on the number of pairs, not of rows. Null is a value.
+    """
+    names = sorted({c for pair in pairs for c in pair})
+    at = [(names.index(a), names.index(b)) for a, b in pairs]
+
+    def emitted(pair: int, codes: np.ndarray, n: np.ndarray, left: list, right: list) -> pa.RecordBatch:
+        a, b = np.divmod(codes, len(right))
+        values = [pa.array(side, pa.string()).take(pa.array(at)) for side, at in ((left, a), (right, b))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), pair, np.int32)), *values, pa.array(n.astype(np.int64))], names=["pair", "value_a", "value_b", "n"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[dict] = [{} for _ in names]
+        matrices = [np.zeros((NARROW, NARROW), np.int64) for _ in at]
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            codes, values = [], []
+            for place in range(len(names)):
+                coded = batch.column(place).dictionary_encode(null_encoding="encode")
+                found, own = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                if known[place] is not None:
+                    numbers = [known[place].setdefault(v, len(known[place])) for v in found] if len(found) <= NARROW else []
+                    if len(found) > NARROW or len(known[place]) > NARROW:
+                        # From here on the column is wide. Values numbered beyond the matrix are in no matrix yet.
+                        for pair, (i, j) in enumerate(at):
+                            if place in (i, j) and known[i] is not None and known[j] is not None:
+                                yield from held(pair, matrices[pair], list(known[i])[:NARROW], list(known[j])[:NARROW])
+                                matrices[pair] = None
+                        known[place] = None
+                    else:
+                        own = np.array(numbers, np.int64)[own]
+                codes.append(own)
+                values.append(found)
+            for pair, (i, j) in enumerate(at):
+                if known[i] is not None and known[j] is not None:
+                    matrices[pair] += np.bincount(codes[i] * NARROW + codes[j], minlength=NARROW * NARROW).reshape(NARROW, NARROW)
+                else:
+                    left, right = (list(known[k]) if known[k] is not None else values[k] for k in (i, j))
+                    both, n = np.unique(codes[i] * len(right) + codes[j], return_counts=True)
+                    yield emitted(pair, both, n, left, right)
+        for pair, (i, j) in enumerate(at):
+            if known[i] is not None and known[j] is not None:
+                yield from held(pair, matrices[pair], list(known[i]), list(known[j]))
+
+    def held(pair: int, matrix: np.ndarray, left: list, right: list) -> Iterator[pa.RecordBatch]:
+        counted = matrix[: len(left), : len(right)].ravel()
+        some = np.flatnonzero(counted)
+        if len(some):
+            yield emitted(pair, some, counted[some], left, right)
+
+    return spread(df.select(*names)).mapInArrow(tally, "pair int, value_a string, value_b string, n bigint")
 
 
 def named_pairs(counts: DataFrame, pairs: list[tuple[str, str]], prefix: str = "") -> DataFrame:
@@ -107,11 +162,11 @@ def contingency_similarity(
 
 def pair_counts(real: DataFrame, synthetic: DataFrame, pairs: list[tuple[str, str]], prefix: str = "") -> DataFrame:
     """Joint counts of discretized columns on both sides."""
-    both = pair_rows(real, pairs).withColumn("is_real", F.lit(1)).unionByName(
-        pair_rows(synthetic, pairs).withColumn("is_real", F.lit(0))
+    both = pair_tallies(real, pairs).withColumn("is_real", F.lit(1)).unionByName(
+        pair_tallies(synthetic, pairs).withColumn("is_real", F.lit(0))
     )
     counts = both.groupBy("pair", "value_a", "value_b").agg(
-        F.sum("is_real").cast("bigint").alias("n_real"), F.sum(1 - F.col("is_real")).cast("bigint").alias("n_synthetic")
+        F.sum(F.col("n") * F.col("is_real")).alias("n_real"), F.sum(F.col("n") * (1 - F.col("is_real"))).alias("n_synthetic")
     )
     return named_pairs(counts, pairs, prefix)
 
@@ -131,7 +186,7 @@ def mutual_information(df: DataFrame, texts: list[str], numbers: list[str] = ())
     table = discretized(df, texts, numeric_bounds(df, list(numbers)))
     pairs = list(combinations([*texts, *numbers], 2))
     joint = named_pairs(
-        pair_rows(table, pairs).groupBy("pair", "value_a", "value_b").agg(F.count(F.lit(1)).alias("n")), pairs)
+        pair_tallies(table, pairs).groupBy("pair", "value_a", "value_b").agg(F.sum("n").alias("n")), pairs)
     key = ["column_a", "column_b"]
     left = joint.groupBy(*key, F.col("value_a").alias("_a")).agg(F.sum("n").alias("n_a"))
     right = joint.groupBy(*key, F.col("value_b").alias("_b")).agg(F.sum("n").alias("n_b"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,15 @@ def test_new_rows_across_a_cell_edge_and_without_rows(spark):
     assert score([(0.5001,), (0.4901,), (0.52,), (None,)]) == 0.5
     assert score([(1.0,), (0.9999,)], 0.0) == 0.5
     assert score([]) is None
+
+
+def test_pair_tallies_of_narrow_and_wide_columns(spark):
+    draw = random.Random(9)
+    rows = [(draw.choice(["a", "b", None]), str(i // 12_000 * 50 + draw.randrange(50)), str(draw.randrange(900)), "k") for i in range(36_000)]
+    frame = spark.createDataFrame(rows, "a string, grows string, wide string, k string").coalesce(1)
+    asked = [("a", "grows"), ("a", "wide"), ("grows", "wide"), ("k", "a")]
+    found = pairs.pair_tallies(frame, asked).groupBy("pair", "value_a", "value_b").agg(F.sum("n").alias("n")).collect()
+    place = {"a": 0, "grows": 1, "wide": 2, "k": 3}
+    want = Counter((p, r[place[a]], r[place[b]]) for r in rows for p, (a, b) in enumerate(asked))
+    assert {(r.pair, r.value_a, r.value_b): r.n for r in found} == want
+    assert pairs.pair_tallies(frame.limit(0), asked).count() == 0
