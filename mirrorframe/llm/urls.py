@@ -14,25 +14,32 @@ N_GRAMS = (3, 4)
 BUCKETS = 1 << 12
 REGULARISATION = 0.02
 
-# A small labelled table, 1 = block.
-LABELLED = [
-    ("https://ads-track.example.com/en/1", 1), ("http://www.ads-server.example.org/click?id=3", 1), ("https://track-ads.example.net/fr/banner", 1),
-    ("https://m.ads-track.example.net/de/22/", 1), ("http://adserver.example.com/pixel.gif", 1), ("https://tracking-pixel.example.org/en/9", 1),
-    ("https://free-bets.example.com/en/77", 1), ("http://blog.free-bets.example.org/es/1.html", 1), ("https://best-bets.example.net/odds/today", 1),
-    ("https://www.casino-win.example.com/en/5", 1), ("http://casino-win.example.org/fr/8/", 1), ("https://win-casino.example.net/slots/free", 1),
-    ("https://cheap-pills.example.com/en/31", 1), ("http://www.cheap-pills.example.org/de/2", 1), ("https://buy-pills-cheap.example.net/order", 1),
-    ("https://spam-farm.example.com/en/4.html", 1), ("http://m.spam-farm.example.net/es/6", 1), ("https://link-farm-spam.example.org/links", 1),
-    ("https://adult-x.example.com/en/12", 1), ("http://www.adult-x.example.org/fr/3", 1), ("https://xxx-adult.example.net/video/1", 1),
-    ("https://payday-loans.example.com/apply", 1), ("http://free-download-crack.example.net/keygen", 1), ("https://porn-x.example.org/de/7", 1),
-    ("https://news.example.com/en/2024/1", 0), ("http://www.university.example.org/library/", 0), ("https://blog.garden.example.net/en/12", 0),
-    ("https://m.weather.example.com/de/31.html", 0), ("http://museum.example.org/fr/exhibit", 0), ("https://docs.software.example.net/guide", 0),
-    ("https://www.history.example.com/en/1066", 0), ("http://blog.cooking.example.org/es/44/", 0), ("https://science.example.net/papers/9", 0),
-    ("https://en.wiki.example.org/page/Tree", 0), ("http://m.travel.example.com/fr/paris", 0), ("https://health.example.org/en/advice", 0),
-    ("https://thering.example.com/en/40021", 0), ("http://www.thander.example.org/de/1065", 0), ("https://blog.tionish.example.net/fr/7", 0),
-    ("https://m.erthan.example.com/es/3421.html", 0), ("http://onthe.example.net/en/200/", 0), ("https://www.ouble.example.org/en/35", 0),
-    ("https://blog.inghed.example.com/en/9?page=2", 0), ("http://theand.example.org/de/610#top", 0), ("https://m.stble.example.net/en/88", 0),
-    ("https://theory.example.com/fr/12/", 0), ("http://blog.nation.example.org/en/5.html", 0), ("https://www.other.example.net/es/73", 0),
-]
+# Names of hosts that a general blocklist and a general directory would hold.
+BLOCKED_NAMES = (
+    "account-verify-now adclick adserver adult-chat adult-video ads-network banner-ads bestcasino betonline bets24 bingo-bonus bulk-mailer buy-followers casinoroyal cheap-meds "
+    "cheap-replica clickbait-ads crack-keygen crypto-doubler diet-pills escorts free-iphone free-money free-spins freebies-now get-rich-quick hotgirls-xxx jackpot-slots "
+    "linkfarm lottery-prize malware-download nude-pics online-casino payday-loans pharmacy-discount phishing-login pills-online poker-room popunder-ads porn-tube "
+    "quick-cash replica-watches roulette seo-farm sex-cams slots-bonus spam-links spam-mailer spammers sports-betting torrent-movies tracker-pixel tracking-pixel usertrack "
+    "viagra-store warez web-tracking weightloss-miracle win-prize winner-claim xxx-video you-win"
+).split()
+ALLOWED_NAMES = (
+    "address-book adventure airport alphabet architecture author-talks bakery better-homes biology bookshop brother-stories chemistry city-council contracts cooking cycling dairy-farm "
+    "earth-watch education engineer essex-county farmers-market football foundation freedom-press garden gathering-place gazette government grads headstart health-advice herald "
+    "history hospital hotel information journal knitting lather-soap library loading-bay magazine mathematics mother-care museum music nation north-shore northern other-worlds painting "
+    "photography physics pillow-shop python-guide racing-club railway reading-room restaurant roads school science software spelling stable-diffs station sussex table-tennis theatre "
+    "therapy thinking thread-shop times together track-and-field tradesmen translation transport travel treadmill tribune truthful university weather weathering whether-report wiki windmill winter-sports workable writing"
+).split()
+_ZONES = ("com", "example.org", "net", "example.com", "org", "example.net", "info")
+_PREFIXES = ("", "www.", "blog.", "m.")
+_PATHS = ("/en/12", "", "/de/7.html", "/articles/2024/05/", "/fr/310/", "/questions/1", "/es/44", "/index.html", "/en/9031?page=2")
+
+
+def general_table(copies: int = 3) -> list[tuple[str, int]]:
+    """(url, label), 1 = block: every name in `copies` URLs; zones, prefixes and paths go round alike for both labels."""
+    return [
+        (f"https://{_PREFIXES[(i + k) % 4]}{name}.{_ZONES[(i + 2 * k) % 7]}{_PATHS[(i + 4 * k) % 9]}", label)
+        for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)) for i, name in enumerate(names) for k in range(copies)
+    ]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -81,12 +88,12 @@ def judged(
 
     The host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the path goes on to `?`,
     `#` or the end. A rule decides where one fits; else `block` if the classifier's probability is 0.5 or more.
-    `labelled` (url, label) trains it, by default LABELLED; it is small and its n-grams are hashed to BUCKETS numbers.
+    `labelled` (url, label) trains it, by default general_table(); it is small and its n-grams are hashed to BUCKETS numbers.
     A null or malformed URL has an empty host and path and is judged like any other. Rows are judged one by one.
     """
     spark = pages.sparkSession
     if labelled is None:
-        labelled = spark.createDataFrame(LABELLED, "url string, label int")
+        labelled = spark.createDataFrame(general_table(), "url string, label int")
     host, path = parts(F.col("url"))
     train = _hashed(labelled.select(F.col("label").cast("double").alias("label"), host.alias("host"), path.alias("path")), F.col("host"), F.col("path"))
     model = LogisticRegression(featuresCol="_features", labelCol="label", regParam=REGULARISATION, standardization=False).fit(train.coalesce(1))

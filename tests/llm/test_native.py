@@ -177,10 +177,15 @@ def test_urls_on_the_pages_and_odd_ones(spark, sf):
     assert urls.judged(data.limit(0), queries.URL_RULES).count() == 0
 
 
-def test_the_classifier_tells_bad_hosts_it_has_not_seen(spark):
-    bad = [f"https://{p}{w}.example.com/en/{n}" for n, w in enumerate(["ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x"]) for p in ("", "www.", "m.", "blog.")]
-    good = [f"https://{p}{w}.example.{z}/{n}" for p in ("", "www.", "m.") for z in ("com", "org") for w in ("tiontion", "ththe", "thering", "onouble") for n in ("en/1", "fr/2.html")]
-    data = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
-    verdicts = {r.page_id: r.verdict for r in urls.judged(data, []).collect()}
-    assert [verdicts[i] for i in range(len(bad))] == ["block"] * len(bad)
-    assert [verdicts[i] for i in range(len(bad), len(verdicts))] == ["allow"] * len(good)
+def test_the_classifier_tells_hosts_it_has_not_seen(spark, sf):
+    bad = ["ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x", "megacasino", "pokerslots", "betting-tips", "viagra-pills", "xxxporn", "adtracking"]
+    good = ["stackoverflow", "oxfordshire", "geography", "orchestra", "newspaper", "village-hall", "statistics", "mountaineering", "kitchen-tables", "weatherman", "thering", "tionble"]
+    known = {*urls.BLOCKED_NAMES, *urls.ALLOWED_NAMES}
+    hosts = {w for r in spark.read.parquet(f"{sf}/pages.parquet").collect() for w in plain_parts(r.url)[0].split(".")}
+    assert not known & {*bad, *good} and not known & hosts
+    rows = [(w, f"https://{p}{w}.{z}/{n}") for w in bad + good for p, z, n in (("", "example.com", "en/77"), ("www.", "org", "fr/2.html"), ("m.", "net", "questions/1"))]
+    verdicts = urls.judged(spark.createDataFrame(rows, "page_id string, url string"), []).collect()
+    blocked = {w: sum(r.verdict == "block" for r in verdicts if r.page_id == w) for w in bad + good}
+    # Names that share few n-grams with any known one are missed: 31 of 36 were caught when this bound was set.
+    assert sum(blocked[w] for w in bad) >= 0.75 * 3 * len(bad), blocked
+    assert sum(blocked[w] for w in good) <= 0.1 * 3 * len(good), blocked
