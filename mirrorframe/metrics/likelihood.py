@@ -2,71 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from mirrorframe.functions import mixtures
 from mirrorframe.functions import scalar as S
 from mirrorframe.metrics.pairs import discretized, mutual_information, numeric_bounds
 from mirrorframe.synth.simple import as_number
 
 
-def gm_log_likelihood(
-    real: DataFrame, synthetic: DataFrame, numbers: list[str], components: int = 10, iterations: int = 10,
-    max_iter: int = 20,
-) -> list[float]:
-    """Mean log-likelihood of synthetic rows under Gaussian mixtures of the real rows, one per seed.
+def gm_scores(
+    real: DataFrame, synthetic: DataFrame, numbers: list[str], sizes: Sequence[int] = (10, 30), iterations: int = 10, max_iter: int = 20,
+) -> DataFrame:
+    """(components, seed, num_rows, score, mean_score): mean log-likelihood of synthetic rows under Gaussian mixtures of the real ones.
 
-    Columns are scaled by their real deviation first; the scale is taken back out of the density.
+    There is a row per number of components and seed, and `mean_score` is the mean over the seeds. All mixtures are fitted
+    together. Columns are scaled by their real deviation first, and the scale is taken back out of the density; columns
+    that do not vary are left out. A missing number counts as the real mean, so no row is left out.
     """
-    stats = real.agg(*[e for c in numbers for e in (
-        F.avg(S.no_nan(as_number(real.schema, c).cast("double"))).alias(f"{c}|m"),
-        F.stddev_pop(S.no_nan(as_number(real.schema, c).cast("double"))).alias(f"{c}|s"))]).first()
+    number = lambda df, c: S.no_nan(as_number(df.schema, c).cast("double"))
+    stats = real.agg(*[e for c in numbers for e in (F.avg(number(real, c)).alias(f"{c}|m"), F.stddev_pop(number(real, c)).alias(f"{c}|s"))]).first()
     used = [c for c in numbers if stats[f"{c}|s"]]
+    if not used:
+        raise ValueError("No number of the real rows varies.")
 
-    def vectors(df):
-        # A missing number counts as the real mean, so no row is left out.
-        z = [F.coalesce((S.no_nan(as_number(df.schema, c).cast("double")) - stats[f"{c}|m"]) / stats[f"{c}|s"], F.lit(0.0)).alias(c) for c in used]
-        return VectorAssembler(inputCols=used, outputCol="features").transform(df.select(*z))
+    def scaled(df):
+        return [F.coalesce((number(df, c) - stats[f"{c}|m"]) / stats[f"{c}|s"], F.lit(0.0)) for c in used]
 
-    train = vectors(real).select("features").persist()
-    score_rows = vectors(synthetic).select(F.array(*used).alias("x"))
+    wanted = [mixtures.Wanted(0, k, seed) for k in sizes for seed in range(iterations)]
+    fitted = mixtures.fit(mixtures.points(real, [scaled(real)]), wanted, max_iter)
+    totals = mixtures.log_likelihoods(mixtures.each_point(synthetic, [scaled(synthetic)]), wanted, fitted)
     jacobian = float(sum(np.log(stats[f"{c}|s"]) for c in used))
-    models = []
-    for seed in range(iterations):
-        fitted = GaussianMixture(k=components, maxIter=max_iter, seed=seed).fit(train)
-        rows = fitted.gaussiansDF.collect()
-        models.append(([float(w) for w in fitted.weights], [r["mean"].toArray() for r in rows],
-                       [r["cov"].toArray() + 1e-9 * np.eye(len(used)) for r in rows]))
-    train.unpersist()
-    # All seeds are scored in one pass over the synthetic rows.
-    scores = score_rows.select(_densities(models)("x").alias("d")).agg(
-        *[F.avg(F.col("d")[i]).alias(f"s{i}") for i in range(iterations)]).first()
-    return [scores[f"s{i}"] - jacobian for i in range(iterations)]
-
-
-def _densities(models):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def density(x: pd.Series) -> pd.Series:
-        rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1))
-        out = np.empty((len(rows), len(models)))
-        for i, (weights, means, covariances) in enumerate(models):
-            logs = []
-            for w, mean, cov in zip(weights, means, covariances, strict=True):
-                triangle = np.linalg.cholesky(cov)
-                z = np.linalg.solve(triangle, (rows - mean).T)
-                half = np.log(np.diag(triangle)).sum() + 0.5 * len(mean) * np.log(2 * np.pi)
-                logs.append(np.log(max(w, 1e-300)) - half - 0.5 * (z * z).sum(axis=0))
-            stacked = np.stack(logs)
-            top = stacked.max(axis=0)
-            out[:, i] = top + np.log(np.exp(stacked - top).sum(axis=0))
-        return pd.Series(list(out))
-
-    return density
+    names = [(i, w.components, w.seed) for i, w in enumerate(wanted)]
+    named = real.sparkSession.createDataFrame(names, "mixture int, components int, seed int").join(totals, "mixture", "left")
+    scored = named.withColumn("score", F.try_divide("total", "rows") - jacobian)
+    alike = Window.partitionBy("components")  # as many rows as seeds
+    return scored.select(
+        "components", "seed", F.coalesce("rows", F.lit(0).cast("long")).alias("num_rows"), "score", F.avg("score").over(alike).alias("mean_score")
+    )
+
+
+def gm_log_likelihood(
+    real: DataFrame, synthetic: DataFrame, numbers: list[str], components: int = 10, iterations: int = 10, max_iter: int = 20,
+) -> list[float]:
+    """The scores of `gm_scores` for one number of components, by seed."""
+    return [r["score"] for r in gm_scores(real, synthetic, numbers, (components,), iterations, max_iter).orderBy("seed").collect()]
 
 
 def dependency_tree(real: DataFrame, texts: list[str], numbers: list[str] = ()) -> list[tuple[str | None, str]]:

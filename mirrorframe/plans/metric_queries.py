@@ -129,13 +129,7 @@ def bn_log_likelihood(spark, sf_dir):
 
 def gm_log_likelihood(spark, sf_dir):
     """Ten fits of 10 and ten of 30 components: a row per (components, seed), with the mean of the ten."""
-    real, synthetic = V.real_and_synthetic(spark, sf_dir)
-    rows = []
-    for k in (10, 30):
-        found = likelihood.gm_log_likelihood(real, synthetic, V.NUMERIC, components=k, iterations=10)
-        rows += [F.struct(F.lit(k).alias("components"), F.lit(seed).alias("seed"), F.lit(x).alias("score"), F.lit(sum(found) / len(found)).alias("mean_score"))
-                 for seed, x in enumerate(found)]
-    return synthetic.agg(F.count(F.lit(1)).alias("num_rows")).select("num_rows", F.explode(F.array(*rows)).alias("s")).select("num_rows", "s.*")
+    return likelihood.gm_scores(*V.real_and_synthetic(spark, sf_dir), V.NUMERIC)
 
 
 def _documents(spark, sf_dir):

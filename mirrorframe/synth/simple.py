@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mirrorframe.functions import mixtures
 from mirrorframe.functions import random as rnd
 from mirrorframe.functions import scalar as S
 from mirrorframe.operators import prefix
@@ -166,30 +165,29 @@ class ColumnSynthesizer(ByMetadata):
 
     def _fit_mixtures(self, data, numbers):
         schema = data.schema
-        numeric = data.select(*[as_number(schema, c).cast("double").alias(c) for c in numbers])
+        numeric = data.select(*[S.no_nan(as_number(schema, c).cast("double")).alias(c) for c in numbers])
         stats = numeric.agg(*[e for c in numbers for e in (
             F.min(c).alias(f"{c}|lo"), F.max(c).alias(f"{c}|hi"), F.avg(c).alias(f"{c}|mean"),
             F.stddev_pop(c).alias(f"{c}|sd"), F.count(c).alias(f"{c}|n"),
             F.approx_count_distinct(c).alias(f"{c}|distinct"),
         )], F.count(F.lit(1)).alias("rows")).first()
-        out = {}
+        out, varied = {}, []
         for c in numbers:
             low, high, mean, sd = (stats[f"{c}|{k}"] for k in ("lo", "hi", "mean", "sd"))
             nulls = 1.0 - stats[f"{c}|n"] / stats["rows"] if stats["rows"] else 1.0
-            if not sd:
-                # Nothing or one value: no mixture to fit.
-                out[c] = ([1.0], [mean], [0.0], low, high, nulls)
-                continue
-            k = min(stats[f"{c}|distinct"], MAX_COMPONENTS)
-            scaled = numeric.where(F.col(c).isNotNull()).select(((F.col(c) - mean) / sd).alias("x"))
-            vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(scaled).select("features")
-            vectors = vectors.persist()
-            fitted = GaussianMixture(k=k, maxIter=self.iterations, seed=17).fit(vectors)
-            vectors.unpersist()
-            rows = fitted.gaussiansDF.collect()
-            means = [float(r["mean"][0]) * sd + mean for r in rows]
-            spreads = [max(float(r["cov"].toArray()[0, 0]), 0.0) ** 0.5 * sd for r in rows]
-            out[c] = (list(fitted.weights), means, spreads, low, high, nulls)
+            # Nothing or one value leaves no mixture to fit.
+            out[c] = ([1.0], [mean], [0.0], low, high, nulls)
+            if sd:
+                varied.append(c)
+        if not varied:
+            return out
+        scaled = [[(F.col(c) - stats[f"{c}|mean"]) / stats[f"{c}|sd"]] for c in varied]
+        wanted = [mixtures.Wanted(i, min(stats[f"{c}|distinct"], MAX_COMPONENTS), 17) for i, c in enumerate(varied)]
+        for c, found in zip(varied, mixtures.fit(mixtures.points(numeric, scaled), wanted, self.iterations), strict=True):
+            mean, sd = stats[f"{c}|mean"], stats[f"{c}|sd"]
+            means = [float(m) * sd + mean for m in found.means[:, 0]]
+            spreads = [float(v) ** 0.5 * sd for v in found.covariances[:, 0, 0]]
+            out[c] = ([float(w) for w in found.weights], means, spreads, *out[c][3:])
         return out
 
     def _rows(self, model: ColumnModel, ids: DataFrame) -> DataFrame:
