@@ -57,36 +57,55 @@ def relationships(edges: DataFrame) -> DataFrame:
     )
 
 
-def schema_depth(catalog: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """Tables on the longest parent-to-child chain; 1 without edges.
+def schema_depth(catalog: DataFrame, edges: DataFrame) -> DataFrame:
+    """Tables on the longest parent-to-child chain; 1 without edges. A cycle is an error, also one without a root.
 
-    Breadth-first from the roots: in each round the frontier holds every table reached by a chain of that
-    length, once. Rounds end at the depth of the deepest schema; a cycle is an error.
+    Graphs are contracted: a round takes away every table without children, and of the tables with one parent and one child
+    those that come first by hash among such neighbours, whose two edges become one of their joint length. Each table
+    keeps the longest chain found below it. Chains, trees and parallel branches shrink by a constant share a round,
+    so the number of rounds grows with the logarithm of their length. A round that takes nothing away is left with cycles.
     """
-    pairs = materialize(edges.select("dataset", "parent_table", "child_table").distinct())
-    depth = catalog.select("dataset").distinct().withColumn("Max_Schema_Depth", F.lit(1).cast("bigint"))
-    children = pairs.select("dataset", F.col("child_table").alias("parent_table"))
-    frontier = (
-        pairs.select("dataset", "parent_table").distinct()
-        .join(children.distinct(), ["dataset", "parent_table"], "left_anti")
-        .withColumnRenamed("parent_table", "table_name")
+    known = edges.select("dataset", F.col("parent_table").alias("u"), F.col("child_table").alias("v")).distinct()
+    left = materialize(known.withColumn("length", F.lit(1).cast("bigint")))
+    below = left.select("dataset", F.col("u").alias("node"), F.lit(0).cast("bigint").alias("below")).limit(0)
+    count, level = left.count(), 0
+    while count:
+        left, below = _contracted(left, below, level)
+        rest = left.count()
+        if rest == count:
+            raise ValueError("The relationships form a cycle.")
+        count, level = rest, level + 1
+    deepest = below.groupBy("dataset").agg((F.max("below") + 1).alias("depth"))
+    return catalog.select("dataset").distinct().join(deepest, "dataset", "left").select(
+        "dataset", F.coalesce("depth", F.lit(1).cast("bigint")).alias("Max_Schema_Depth")
     )
-    levels = None
-    for level in range(2, max_depth + 1):
-        step = frontier.withColumnRenamed("table_name", "parent_table").join(pairs, ["dataset", "parent_table"])
-        frontier = materialize(step.select("dataset", F.col("child_table").alias("table_name")).distinct())
-        reached = frontier.select("dataset", F.lit(level).cast("bigint").alias("level")).distinct()
-        if frontier.isEmpty():
-            break
-        levels = reached if levels is None else levels.unionByName(reached)
-    else:
-        raise ValueError("The relationships form a cycle.")
-    if levels is None:
-        return depth
-    deepest = levels.groupBy("dataset").agg(F.max("level").alias("level"))
-    return depth.join(deepest, "dataset", "left").select(
-        "dataset", F.coalesce("level", "Max_Schema_Depth").alias("Max_Schema_Depth")
+
+
+def _contracted(edges: DataFrame, below: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """One round: the edges (dataset, u, v, length) that are left, and the longest chains (dataset, node, below) known then."""
+    down = edges.groupBy("dataset", F.col("u").alias("node")).agg(
+        F.count(F.lit(1)).alias("children"), F.max("v").alias("child"), F.max("length").alias("length"))
+    up = edges.groupBy("dataset", F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("parents"), F.max("u").alias("parent"))
+    nodes = materialize(down.join(up, ["dataset", "node"], "full"))
+    ends = nodes.where("children is null").select("dataset", "node", F.lit(None).cast("string").alias("child"), F.lit(None).cast("bigint").alias("length"))
+    single = nodes.where("parents = 1 and children = 1")
+    inner = single.join(ends.select("dataset", F.col("node").alias("child")), ["dataset", "child"], "left_anti")
+    rank = lambda name: F.xxhash64(F.lit(level), F.col(name))
+    links = inner.select("dataset", "node", "parent", "child", "length")
+    others = inner.select("dataset", F.col("node").alias("other"))
+    near = links.select("dataset", "node", F.explode(F.array("parent", "child")).alias("other")).join(others, ["dataset", "other"])
+    beaten = near.where((rank("other") < rank("node")) | (F.col("other") == F.col("node"))).select("dataset", "node").distinct()
+    gone = materialize(
+        ends.unionByName(links.join(beaten, ["dataset", "node"], "left_anti").select("dataset", "node", "child", "length"))
+        .join(below, ["dataset", "node"], "left").select("dataset", "node", "child", "length", F.coalesce("below", F.lit(0).cast("bigint")).alias("below"))
     )
+    into = edges.withColumnRenamed("length", "first").join(gone.withColumnRenamed("node", "v"), ["dataset", "v"])
+    longer = into.select("dataset", F.col("u").alias("node"), (F.col("first") + F.col("below")).alias("below"))
+    joined = into.where("child is not null").select("dataset", "u", F.col("child").alias("v"), (F.col("first") + F.col("length")).alias("length"))
+    names = gone.select("dataset", "node")
+    kept = edges.join(names.withColumnRenamed("node", "u"), ["dataset", "u"], "left_anti").join(names.withColumnRenamed("node", "v"), ["dataset", "v"], "left_anti")
+    rest = kept.select("dataset", "u", "v", "length").unionByName(joined).groupBy("dataset", "u", "v").agg(F.max("length").alias("length"))
+    return materialize(rest), materialize(below.unionByName(longer).groupBy("dataset", "node").agg(F.max("below").alias("below")))
 
 
 def row_counts(records: DataFrame) -> DataFrame:

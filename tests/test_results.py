@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,7 +127,30 @@ def test_schema_depth_and_branches(spark):
         "finance": (8, 4), "x": (5, 4)}
     looped = spark.createDataFrame([("l", "r", "a"), ("l", "a", "b"), ("l", "b", "a")], frame.schema)
     with pytest.raises(ValueError, match="cycle"):
-        C.schema_depth(spark.createDataFrame([("l",)], "dataset string"), looped, max_depth=6)
+        C.schema_depth(spark.createDataFrame([("l",)], "dataset string"), looped)
+    for rootless in ([("l", "a", "b"), ("l", "b", "a"), ("l", "b", "c")], [("l", "a", "a")]):
+        with pytest.raises(ValueError, match="cycle"):
+            C.schema_depth(spark.createDataFrame([("l",)], "dataset string"), spark.createDataFrame(rootless, frame.schema))
+
+
+def test_schema_depth_of_long_chains_and_of_random_schemas(spark):
+    rng = random.Random(3)
+    edges = [("chain", f"t{i}", f"t{i + 1}") for i in range(1499)]
+    # Two branches of unlike length meet again, over and over.
+    for i in range(40):
+        edges += [("ladder", f"n{i}", f"n{i}x"), ("ladder", f"n{i}x", f"n{i + 1}"), ("ladder", f"n{i}", f"n{i + 1}")]
+    depths = {"chain": 1500, "ladder": 81, "flat": 1}
+    for d in range(30):
+        size = rng.randint(2, 12)
+        own = {(a, b) for a in range(size) for b in range(a + 1, size) if rng.random() < 0.3}
+        edges += [(f"r{d}", f"t{a}", f"t{b}") for a, b in own]
+        longest = [1] * size
+        for a, b in sorted(own, reverse=True):
+            longest[a] = max(longest[a], longest[b] + 1)
+        depths[f"r{d}"] = max(longest)
+    catalog = spark.createDataFrame([(d,) for d in depths], "dataset string")
+    found = C.schema_depth(catalog, spark.createDataFrame(edges, "dataset string, parent_table string, child_table string"))
+    assert {r[0]: r[1] for r in found.collect()} == depths
 
 
 def test_column_counts(spark):
