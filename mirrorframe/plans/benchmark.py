@@ -225,7 +225,7 @@ def _run(
         save = (lambda made: sinks.write_synthetic(made, f"{output}/synthetic", run, name, maker.name)) if output else None
         row = run_cell(spark, name, load, maker, chosen, quality, diagnostic, privacy_score, timeout, save)
         if cells:
-            sinks.append_results(result_rows(spark, [row], schema), cells)
+            sinks.write_cell(result_rows(spark, [row], schema), cells)
         return row
 
     if workers > 1:
@@ -233,7 +233,7 @@ def _run(
             rows = list(pool.map(inheritable_thread_target(spark)(one), grid))
     else:
         rows = [one(cell) for cell in grid]
-    table = sinks.read_appended(spark, cells) if cells else result_rows(spark, rows, schema)
+    table = sinks.read_cells(spark, cells) if cells else result_rows(spark, rows, schema)
     if not quality:
         table = table.withColumn("Quality_Score", F.lit(None).cast("double"))
     scored = R.adjusted_scores(table, ["Synthesizer"], timeout)
@@ -250,7 +250,7 @@ def _finished(spark, cells) -> set[tuple[str, str]]:
 
     if not exists(spark, cells):
         return set()
-    return {(r["Dataset"], r["Synthesizer"]) for r in sinks.read_appended(spark, cells).select("Dataset", "Synthesizer").collect()}
+    return {(r["Dataset"], r["Synthesizer"]) for r in sinks.read_cells(spark, cells).select("Dataset", "Synthesizer").collect()}
 
 
 def benchmark_single_table(

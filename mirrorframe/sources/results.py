@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirrorframe.functions import scalar as S
-from mirrorframe.operators import jobs as J
 from mirrorframe.operators import summary as Y
-from mirrorframe.sources.files import children, listing, opened
+from mirrorframe.sources.files import children, exists, listing, opened
 
 # Columns of a result row, in order.
 TEXT_COLUMNS = ["Synthesizer", "Dataset", "Error"]
@@ -170,46 +169,49 @@ def read_synthetic(
     return {t: spark.read.parquet(f"{home}/table={t}") for t in tables}
 
 
-class VersionedTable:
-    """A table replaced as a whole: each write adds a version, readers take the last finished one.
+# When a row was written; of the rows of a key the last one holds.
+WRITTEN = "written_at"
 
-    A write that dies leaves no success marker, so it is never read.
+
+def write_cell(rows: DataFrame, path: str) -> None:
+    """Result rows, stored by dataset and synthesizer: rows of a cell that is already there are replaced.
+
+    Only the folders of the cells in `rows` change, each when its job ends, so a write that is lost or repeated leaves
+    every cell once, and cells may be written side by side.
     """
+    keyed = rows.withColumns({"_dataset": F.col("Dataset"), "_synthesizer": F.col("Synthesizer")})
+    writer = keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("_dataset", "_synthesizer").parquet(path)
+
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    return read_appended(spark, path).drop("_dataset", "_synthesizer")
 
-    def _versions(self, finished: bool) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*" + ("/_SUCCESS" if finished else ""))
-        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(pattern) or []
-        parts = [s.getPath().toString() for s in found]
-        return sorted(int(p.split("/v=")[-1].split("/")[0]) for p in parts)
 
-    def read(self) -> DataFrame | None:
-        versions = self._versions(finished=True)
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}") if versions else None
+def append_keyed(rows: DataFrame, path: str) -> None:
+    """Add `rows` with the time of writing; nothing that is there is touched, so writers don't disturb each other."""
+    rows.withColumn(WRITTEN, F.unix_micros(F.current_timestamp())).write.mode("append").parquet(path)
 
-    def write(self, df: DataFrame) -> DataFrame:
-        versions = self._versions(finished=False)
-        df.write.parquet(f"{self.path}/v={versions[-1] + 1 if versions else 0}")
-        return self.read()
 
-    def upsert(self, new: DataFrame, key: str) -> DataFrame:
-        old = self.read()
-        return self.write(new if old is None else J.upsert(old, new, key))
+def read_newest(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The last written row of each key, as it was written; None where nothing is stored yet."""
+    if not exists(spark, path):
+        return None
+    rows = read_appended(spark, path)
+    columns = [c for c in rows.columns if c != WRITTEN]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(WRITTEN, *columns)).alias("row")).select("row.*")
 
 
-def write_metainfo(table: VersionedTable, run: DataFrame) -> DataFrame:
+def write_metainfo(path: str, run: DataFrame) -> DataFrame:
     """Add or replace the row of a run (key `run_id`)."""
-    return table.upsert(run, "run_id")
+    append_keyed(run, path)
+    return read_newest(run.sparkSession, path, "run_id")
 
 
-def complete_run(table: VersionedTable, run_id: str) -> DataFrame:
+def complete_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """Set the completion date of a run."""
-    row = table.read().where(F.col("run_id") == run_id)
-    return table.upsert(row.withColumn("completed_date", F.date_format(F.now(), "MM_dd_yyyy HH:mm:ss")), "run_id")
+    row = read_newest(spark, path, "run_id").where(F.col("run_id") == run_id)
+    return write_metainfo(path, row.withColumn("completed_date", F.date_format(F.now(), "MM_dd_yyyy HH:mm:ss")))
 
 
 def add_to_run_index(index: DataFrame | None, date: str, folder: str, spark: SparkSession) -> DataFrame:

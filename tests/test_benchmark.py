@@ -50,6 +50,13 @@ def test_failures_stay_in_their_row(spark, parts, tmp_path):
     started = time.time()
     again = B.benchmark_single_table(spark, {**parts, "absent": absent}, [fit_fails, sample_fails], **options)
     assert again.count() == 6 and time.time() - started < 30
+    # What is on disk holds each cell once, also if one is done again.
+    spark = parts["part"][0].sparkSession
+    B.sinks.write_cell(B.sinks.read_cells(spark, f"{out}/cells/run=r").where("Dataset = 'part'").limit(1), f"{out}/cells/run=r")
+    B.benchmark_single_table(spark, {**parts, "absent": absent}, [fit_fails, sample_fails], **options)
+    stored = spark.read.parquet(f"{out}/results").where("run = 'r'").collect()
+    assert sorted((r["Dataset"], r["Synthesizer"]) for r in stored) == sorted(rows)
+    assert {(r["Dataset"], r["Synthesizer"]): r["Quality_Score"] for r in stored} == {k: r["Quality_Score"] for k, r in rows.items()}
 
 
 def test_timeout_cancels_the_cell(spark, parts):

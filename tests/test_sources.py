@@ -148,11 +148,22 @@ def test_collect_drops_duplicates(spark, runs, tmp_path_factory):
 
 def test_sinks(spark, tmp_path):
     frame = spark.createDataFrame([("A", 10), ("B", 20)], "key string, v int")
-    table = SR.VersionedTable(spark, str(tmp_path / "t"))
-    assert table.read() is None
-    table.upsert(frame, "key")
-    table.upsert(spark.createDataFrame([("B", 999), ("C", 30)], "key string, v int"), "key")
-    assert {r["key"]: r["v"] for r in table.read().collect()} == {"A": 10, "B": 999, "C": 30}
+    table = str(tmp_path / "t")
+    assert SR.read_newest(spark, table, "key") is None
+    SR.append_keyed(frame, table)
+    SR.append_keyed(spark.createDataFrame([("B", 999, "x"), ("C", 30, None)], "key string, v int, extra string"), table)
+    SR.append_keyed(spark.createDataFrame([("C", None, None)], "key string, v int, extra string"), table)
+    found = SR.read_newest(spark, table, "key")
+    assert {r["key"]: (r["v"], r["extra"]) for r in found.collect()} == {"A": (10, None), "B": (999, "x"), "C": (None, None)}
+    assert found.columns == ["key", "v", "extra"]
+
+    # A cell written again is there once, whatever its name; others stay.
+    cells, schema = str(tmp_path / "cells"), "Dataset string, Synthesizer string, Train_Time double"
+    SR.write_cell(spark.createDataFrame([("2020", "a/b:c=1", 1.0)], schema), cells)
+    SR.write_cell(spark.createDataFrame([("d", "x", 2.0)], schema), cells)
+    SR.write_cell(spark.createDataFrame([("2020", "a/b:c=1", 3.0, "late")], schema + ", Error string"), cells)
+    assert sorted(tuple(r) for r in SR.read_cells(spark, cells).select("Dataset", "Synthesizer", "Train_Time", "Error").collect()) == [
+        ("2020", "a/b:c=1", 3.0, "late"), ("d", "x", 2.0, None)]
 
     SR.append_results(frame, str(tmp_path / "r"))
     SR.append_results(frame.withColumn("extra", F.lit(1.5)), str(tmp_path / "r"))
@@ -162,9 +173,10 @@ def test_sinks(spark, tmp_path):
     back = SR.read_synthetic(spark, str(tmp_path / "s"), "r1", "d1", "m1", ["x", "y"])
     assert back["y"].count() == 2
 
-    runs = SR.VersionedTable(spark, str(tmp_path / "runs"))
-    SR.write_metainfo(runs, spark.createDataFrame([("run_1", None)], "run_id string, completed_date string"))
-    assert SR.complete_run(runs, "run_1").first()["completed_date"]
+    runs = str(tmp_path / "runs")
+    SR.write_metainfo(runs, spark.createDataFrame([("run_1", None), ("run_2", None)], "run_id string, completed_date string"))
+    done = {r["run_id"]: r["completed_date"] for r in SR.complete_run(spark, runs, "run_1").collect()}
+    assert len(done) == 2 and done["run_1"] and done["run_2"] is None
 
     index = SR.add_to_run_index(None, "2026-02-01", "f2", spark)
     index = SR.add_to_run_index(index, "2026-01-01", "f1", spark)
