@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.native import sent_if_small, shingle_hashes, word_hashes
+from mirrorframe.llm import native
+from mirrorframe.llm.native import shingle_hashes, word_hashes
 from mirrorframe.session import materialize
 
 WIDTH = 5
@@ -52,17 +53,27 @@ def contained(
     distinct shingles that are in the document's text. Texts that are null or without words hold nothing and are in
     nothing; a null id is returned as such; rows that repeat
     an id give equal pairs once. Other columns are ignored.
+
+    Sketches and items are sent to all tasks if both have been counted and found small. Else hashes meet by a shuffle
+    without the texts they come from, and a text's shingles are joined again, once for each of its candidates.
     """
     sketched = materialize(item_sketches(items, width, percent, item_id_col, item_text_col).withColumn("item", F.xxhash64("item_id", "members")))
     widths = sorted(r["width"] for r in sketched.select("width").distinct().collect())  # 1 to `width`
     if not widths:
         widths = [width]
-    probes = sent_if_small(sketched.select("item", F.explode("least").alias("hash")))
-    members = sent_if_small(sketched.select("item", "item_id", "members", "n_item"))
-    words = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words"))
-    shingled = words.select("doc_id", reduce(F.concat, [shingle_hashes(F.col("words"), k) for k in widths]).alias("shingles"))
-    # The outer form: with the inner one the optimiser filters on the size of the arrays, and computes them there again.
-    candidates = shingled.select("doc_id", "shingles", F.explode_outer("shingles").alias("hash")).join(probes, "hash")
+    probes = sketched.select("item", F.explode("least").alias("hash"))
+    members = sketched.select("item", "item_id", "members", "n_item")
+    numbers = sketched.agg(F.sum("n_item")).first()[0] or 0
+    row = F.xxhash64(id_col, text_col).alias("row")
+    words = docs.select(F.col(id_col).alias("doc_id"), row, word_hashes(F.col(text_col)).alias("words"))
+    shingled = words.select("doc_id", "row", reduce(F.concat, [shingle_hashes(F.col("words"), k) for k in widths]).alias("shingles"))
+    if numbers <= native.SENT_NUMBERS and native.is_small(probes):
+        # The outer form: with the inner one the optimiser filters on the size of the arrays, and computes them there again.
+        hashed = shingled.select("doc_id", "shingles", F.explode_outer("shingles").alias("hash"))
+        candidates, members = hashed.join(F.broadcast(probes), "hash"), F.broadcast(members)
+    else:
+        met = shingled.select("row", F.explode_outer("shingles").alias("hash")).join(probes, "hash").select("row", "item").distinct()
+        candidates = shingled.join(met, "row")
     verified = candidates.join(members, "item").withColumn("n_shared", F.size(F.array_intersect("members", "shingles")))
     found = verified.where(F.col("n_shared") >= needed(F.col("n_item"), percent))
     return found.select("doc_id", "item_id", "n_item", "n_shared").distinct().withColumn("containment", F.col("n_shared") / F.col("n_item"))

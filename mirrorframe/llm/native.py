@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # Letters and digits make words; everything else parts them.
 APART = r"[^\p{L}\p{N}]+"
-# Rows that may be sent to all tasks: 8 to 40 bytes each, so 40 MB at most.
+# Rows that may be sent to all tasks: 8 to 40 bytes each, so 40 MB at most. Of rows that hold arrays of numbers, as many
+# as have SENT_NUMBERS numbers, 40 MB as well.
 SENT_ROWS = 1_000_000
+SENT_NUMBERS = 5_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -24,6 +26,11 @@ def shingle_hashes(words: Column, width: int) -> Column:
     return F.when(F.size(words) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
+def is_small(side: DataFrame) -> bool:
+    """Whether `side`, which is counted for this, has at most SENT_ROWS rows."""
+    return side.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+
+
 def sent_if_small(side: DataFrame) -> DataFrame:
-    """`side`, sent to all tasks only if it was counted and has at most SENT_ROWS rows; else joined by a shuffle."""
-    return F.broadcast(side) if side.limit(SENT_ROWS + 1).count() <= SENT_ROWS else side
+    """`side`, sent to all tasks only if it is small; else joined by a shuffle."""
+    return F.broadcast(side) if is_small(side) else side
