@@ -174,6 +174,15 @@ def sequence_features(spark, sf_dir):
     return rounded(out, "mean", "sd", "slope")
 
 
+def random_interval_features(spark, sf_dir):
+    """The statistics that the forests over sequences see, of eight intervals; values are whole hundredths, whose sums are exact."""
+    events = V.table(spark, sf_dir, "events").withColumn("value", F.round(F.col("value") * 100))
+    parts = sequences.micro_buckets(events, "user_id", "ts", "value")
+    out = rounded(sequences.random_interval_features(parts, sequences.random_intervals(8, 17)), "mean", "sd")
+    # Two rows close in time have slopes of millions; doubles hold these to fewer places.
+    return out.withColumn("slope", F.round("slope", 3))
+
+
 def _events(spark, sf_dir):
     events = V.table(spark, sf_dir, "events")
     return events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
@@ -238,7 +247,7 @@ QUERIES = {
         diagnostic_report, uniform_quality, boundary_adherence, category_adherence, key_uniqueness,
         referential_integrity, structure, cardinality_shape, new_row_synthesis, multi_table_diagnostic, multi_table_quality,
         dcr_baseline, mutual_information, bn_log_likelihood, gm_log_likelihood, tree_efficacy, logistic_efficacy,
-        multiclass_efficacy, linear_efficacy, sequence_features, sequence_detection, sequence_efficacy,
+        multiclass_efficacy, linear_efficacy, sequence_features, random_interval_features, sequence_detection, sequence_efficacy,
         metadata_counts, relationships, schema_depth, row_counts, dataset_rows, dataset_summary, dataset_size,
         dataset_summary_filter,
     ]

@@ -146,6 +146,12 @@ SQL = {
     "sequence_features": """with timed as (select user_id as key, epoch_us(ts) as t, value as v, min(epoch_us(ts)) over (partition by user_id) as t0, max(epoch_us(ts)) over (partition by user_id) as t1 from events),
  placed as (select key, v, cast(t - t0 as double) / cast(greatest(t1 - t0, 1) as double) * 4 as x from timed)
  select key, cast(least(floor(x), 3) as int) as "interval", round(avg(v), 6) as mean, round(stddev_pop(v), 6) as sd, round(regr_slope(v, x), 6) as slope, count(*) as n from placed group by 1, 2""",
+    "random_interval_features": """with timed as (select user_id as key, epoch_us(ts) as t, round(value * 100) as v, min(epoch_us(ts)) over (partition by user_id) as t0, max(epoch_us(ts)) over (partition by user_id) as t1
+  from events where ts is not null and value is not null),
+ placed as (select key, v, cast(t - t0 as double) / cast(greatest(t1 - t0, 1) as double) as x from timed),
+ parted as (select *, least(floor(x * 64), 63) as part from placed), intervals(i, a, b) as (values (0, 38, 52), (1, 36, 46), (2, 22, 34), (3, 2, 14), (4, 30, 48), (5, 32, 52), (6, 40, 64), (7, 16, 50))
+ select k.key, i as "interval", count(p.v) as n, round(avg(p.v), 6) as mean, round(stddev_pop(p.v), 6) as sd, case when var_pop(p.x) * count(p.v) > 1e-18 then round(regr_slope(p.v, p.x), 3) end as slope
+ from (select distinct key from parted) k cross join intervals left join parted p on p.key = k.key and part >= a and part < b group by 1, 2""",
     "metadata_counts": f"""with {CATALOG}, {COLUMN_COUNTS} select dataset, count(*) as Num_Tables, cast(sum(n) as bigint) as Total_Num_Columns, cast(sum(cat) as bigint) as Total_Num_Columns_Categorical,
  cast(sum(num) as bigint) as Total_Num_Columns_Numerical, cast(sum(dt) as bigint) as Total_Num_Columns_Datetime, cast(sum(pii) as bigint) as Total_Num_Columns_PII,
  cast(sum(idn) as bigint) as Total_Num_Columns_ID_NonKey, max(n) as Max_Num_Columns_Per_Table from per_table group by 1""",
