@@ -23,7 +23,8 @@ from mirrorframe.session import materialize
 from mirrorframe.synth.simple import as_number
 
 FANOUT = 256
-VISITS = 50_000
+# A visit may keep every page for every query: a task holds at most FANOUT rows for each of these.
+VISITS = 4_000
 # Where a missing number lies: further than 1 from any scaled value.
 _MISSING = 1e6
 

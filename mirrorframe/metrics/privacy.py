@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +41,25 @@ def baseline_protection(
     levels = nearest.pack(real, space, fanout)
     maker = UniformSynthesizer("privacy")
     random = maker.sample(maker.fit(real), synthetic.count())
-    # All kinds and iterations descend together; the remainder of a query's number tells them apart.
-    runs = [(kind, i) for kind in ("synthetic", "random") for i in range(iterations)]
+    # Both kinds descend together; the remainder of a query's number tells them apart. A row that several iterations draw
+    # descends once: which ones do is a function of its number.
+    kinds = ("synthetic", "random")
     base = {"synthetic": numbered_points(synthetic, space), "random": numbered_points(random, space)}
+
+    def drawn(kind, number):
+        return [rnd.uniform(f"{kind}.{i}", "subsample", number) < share for i in range(iterations)]
+
     queries = None
-    for tag, (kind, i) in enumerate(runs):
-        chosen = base[kind].where(rnd.uniform(f"{kind}.{i}", "subsample", F.col("q")) < share)
-        chosen = chosen.select((F.col("q") * len(runs) + tag).alias("q"), "p")
+    for tag, kind in enumerate(kinds):
+        chosen = base[kind].where(reduce(or_, drawn(kind, F.col("q"))))
+        chosen = chosen.select((F.col("q") * len(kinds) + tag).alias("q"), "p")
         queries = chosen if queries is None else queries.unionByName(chosen)
-    tag = F.pmod(F.col("q"), F.lit(len(runs)))
-    rows = nearest.closest(queries, levels, space, visits).select(
-        (tag % iterations).cast("int").alias("iteration"),
-        F.when(tag < iterations, "synthetic").otherwise("random").alias("kind"), "distance")
+    tag, number = F.pmod(F.col("q"), F.lit(len(kinds))), F.floor(F.col("q") / len(kinds)).cast("bigint")
+    within = {kind: F.array(*[F.when(d, F.lit(i)) for i, d in enumerate(drawn(kind, number))]) for kind in kinds}
+    found = nearest.closest(queries, levels, space, visits).select(
+        F.when(tag == 0, kinds[0]).otherwise(kinds[1]).alias("kind"), "distance",
+        F.when(tag == 0, within[kinds[0]]).otherwise(within[kinds[1]]).alias("_in"))
+    rows = found.select("kind", "distance", F.explode(F.array_compact("_in")).alias("iteration"))
 
     def median(kind):
         return F.percentile_approx(F.when(F.col("kind") == kind, F.col("distance")), 0.5, MEDIAN_ACCURACY)
