@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +29,15 @@ class Moments:
         return self.products / self.weight - np.outer(self.means, self.means)
 
 
-def moments(df: DataFrame, columns: list[str], group: Column, weight: Column | None = None) -> dict[int, Moments]:
+def moments(
+    df: DataFrame, columns: list[str], group: Column, weight: Column | None = None,
+    prepared: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]] | None = None,
+) -> dict[int, Moments]:
     """Moments of `columns` (never null) by `group`, a whole number with few values.
 
+    `prepared` turns groups and columns of a batch into other columns of as many rows before they are added up, in the same
+    Python process; null is NaN there.
+
     A task adds up a matrix per group, whose rows are then added over the tasks without rounding in between: the result
     does not depend on their order, and no task or driver gathers more than a row per task.
     """
@@ -42,7 +49,8 @@ def moments(df: DataFrame, columns: list[str], group: Column, weight: Column | N
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             groups, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            x = np.column_stack([np.ones(len(groups)), *[batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, side + 1)]])
+            read = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, side + 1)]
+            x = np.column_stack([np.ones(len(groups)), *(prepared(groups, read) if prepared else read)])
             for g in np.unique(groups).tolist():
                 own = groups == g
                 found[g] = found.get(g, 0) + (x[own] * weights[own, None]).T @ x[own]

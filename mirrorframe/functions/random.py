@@ -19,7 +19,7 @@ _SPAN = 4503599627370496.0
 def uniform(seed: int | str, stream: str, counter: Column) -> Column:
     """A double in [0, 1) from the first thirteen hex digits of md5(seed|stream|counter)."""
     text = F.concat(F.lit(f"{seed}|{stream}|"), counter.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("double") / F.lit(_SPAN)
+    return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("bigint").cast("double") / F.lit(_SPAN)
 
 
 def index(seed: int | str, stream: str, counter: Column, size: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
@@ -61,24 +61,28 @@ def _number_grids(data: DataFrame, numbers: list[str], schema: T.StructType) ->
     }
 
 
-def _score_function(grids: dict[int, list[float]]):
-    """Vectorised normal score of a number within its segment's quantile grid."""
-    levels = LEVELS
+def _scorer(numbers: list[str], grids: dict[tuple[int, str], tuple[list[float], float]]):
+    """Normal scores of a batch: numbers, within their segment's quantile grid, and then shares of texts; NaN scores 0."""
+    levels, steps = LEVELS, {}
+    for key, (grid, _) in grids.items():
+        if grid:
+            points, first = np.unique(np.asarray(grid), return_index=True)
+            last = len(grid) - 1 - np.unique(np.asarray(grid)[::-1], return_index=True)[1]
+            # A value holding several quantiles scores at the middle of them.
+            steps[key] = points, (levels[first] + levels[last]) / 2
 
-    @F.pandas_udf(T.DoubleType())
-    def score(segment: pd.Series, value: pd.Series) -> pd.Series:
-        out = np.zeros(len(value))
-        seg, val = segment.to_numpy(), value.to_numpy(dtype=float)
-        for s, grid in grids.items():
-            rows = (seg == s) & ~np.isnan(val)
-            if rows.any() and grid:
-                points, first = np.unique(np.asarray(grid), return_index=True)
-                last = len(grid) - 1 - np.unique(np.asarray(grid)[::-1], return_index=True)[1]
-                # A value holding several quantiles scores at the middle of them.
-                out[rows] = gaussian.inverse_cdf(np.interp(val[rows], points, (levels[first] + levels[last]) / 2))
-        return pd.Series(out)
+    def scores(segments: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for c, value in zip(numbers, values):  # the texts follow
+            one = np.zeros(len(value))
+            for s in np.unique(segments).tolist():
+                rows = (segments == s) & ~np.isnan(value)
+                if (s, c) in steps and rows.any():
+                    one[rows] = gaussian.inverse_cdf(np.interp(value[rows], *steps[s, c]))
+            out.append(one)
+        return out + [gaussian.inverse_cdf(p) for p in values[len(numbers):]]
 
-    return score
+    return scores
 
 
 def _fit(data: DataFrame, schema: T.StructType) -> CopulaModel:
@@ -112,17 +116,26 @@ def fit_scored(data: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()
             n = F.element_at(F.create_map(*[x for s, v in share.items() for x in (F.lit(s), F.lit(float(v)))]), F.col("_segment"))
             scored = (
                 scored.join(middle, (F.col("_segment") == F.col("_s")) & F.col(c).eqNullSafe(F.col("_v")))
-                .withColumn(c, _text_score(F.col("_mid") / n)).drop("_s", "_v", "_mid")
+                .withColumn(c, F.col("_mid") / n).drop("_s", "_v", "_mid")
             )
-    for c in numbers:
-        score = _score_function({s: grids[(s, c)][0] for s in counts})
-        scored = scored.withColumn(c, score(F.col("_segment"), as_number(schema, c).cast("double")))
-
     columns = [*numbers, *texts]
+    kept = [f"_keep_{c}" for c in keep]
+    raw = scored.select("_segment", *kept, *[as_number(schema, c).cast("double").alias(c) for c in numbers], *texts)
+    scorer, names = _scorer(numbers, grids), ["_segment", *kept, *columns]
+
+    def score(batches):
+        for batch in batches:
+            fixed = batch.columns[: 1 + len(kept)]
+            values = [v.to_numpy(zero_copy_only=False) for v in batch.columns[1 + len(kept):]]
+            found = scorer(fixed[0].to_numpy(zero_copy_only=False), values)
+            yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(v, pa.float64()) for v in found]], names)
+
+    scored = raw.mapInArrow(score, T.StructType([*raw.select("_segment", *kept).schema.fields, *[T.StructField(c, T.DoubleType()) for c in columns]]))
     triangles = {s: np.eye(len(columns)) for s in counts}
     if len(columns) > 1:
-        # Scores are never null, so one matrix of products serves all pairs.
-        for segment, found in moments(scored, columns, F.col("_segment")).items():
+        # Scores are never null, so one matrix of products serves all pairs. They are made where they are added up: a task
+        # then keeps one Python process busy.
+        for segment, found in moments(raw, columns, F.col("_segment"), prepared=scorer).items():
             covariance = found.covariance
             spreads = np.sqrt(np.maximum(np.diag(covariance), 0.0))
             varies = spreads > 1e-9
@@ -134,11 +147,6 @@ def fit_scored(data: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()
     return CopulaModel(schema, numbers, texts, shares, triangles, grids, ranges, sizes), scored
 
 
-@F.pandas_udf(T.DoubleType())
-def _text_score(p: pd.Series) -> pd.Series:
-    return pd.Series(gaussian.inverse_cdf(p.to_numpy(dtype=float)))
-
-
 def _triangle(matrix: np.ndarray) -> np.ndarray:
     """Cholesky factor, after lifting eigenvalues that rounding made non-positive."""
     values, vectors = np.linalg.eigh(matrix)
@@ -162,9 +170,11 @@ def sample_copula(model: CopulaModel, ids: DataFrame, seed: int | str, keep: tup
     u = rnd.uniform(seed, "#segment", i)
     for edge, s in reversed(edges):
         segment = F.when(u < edge, F.lit(s)).otherwise(segment)
+    # Only columns that have nulls in some segment need a draw for them.
+    missing = [c for c in model.numbers if any(model.grids[(s, c)][1] > 0 for s in model.triangles)]
     drawn = ids.select("id", *keep, segment.cast("int").alias("_segment"), F.array(*[
         rnd.normal(seed, c, i) for c in columns
-    ]).alias("_z"), F.array(*[rnd.uniform(seed, c + "#null", i) for c in model.numbers] or [F.lit(0.0)]).alias("_nulls"), *([F.col(shift).alias("_shift")] if shift else []))
+    ]).alias("_z"), F.array(*[rnd.uniform(seed, c + "#null", i) for c in missing] or [F.lit(0.0)]).alias("_nulls"), *([F.col(shift).alias("_shift")] if shift else []))
 
     levels = LEVELS
     numbers, texts, grids, triangles = model.numbers, model.texts, model.grids, model.triangles
@@ -174,18 +184,20 @@ def sample_copula(model: CopulaModel, ids: DataFrame, seed: int | str, keep: tup
         *[T.StructField(c, T.DoubleType()) for c in columns],
     ])
 
+    def matrix(values: pa.ListArray, rows: int) -> np.ndarray:
+        return values.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, len(columns)))
+
     def correlate(batches):
         for batch in batches:
-            seg = batch["_segment"].to_numpy()
-            z = np.stack(batch["_z"].to_numpy()) if len(batch) else np.zeros((0, len(columns)))
-            nulls = np.stack(batch["_nulls"].to_numpy()) if len(batch) else np.zeros((0, 1))
+            seg = batch.column("_segment").to_numpy(zero_copy_only=False)
+            z, nulls = (matrix(batch.column(c), len(seg)) for c in ("_z", "_nulls"))
             p = np.zeros_like(z)
-            moved = np.stack(batch["_shift"].to_numpy()) if shift and len(batch) else np.zeros_like(z)
+            moved = matrix(batch.column("_shift"), len(seg)) if shift else np.zeros_like(z)
             for s, triangle in triangles.items():
                 rows = seg == s
                 if rows.any():
                     p[rows] = gaussian.cdf(z[rows] @ triangle.T + moved[rows])
-            out = {"id": batch["id"], **{c: batch[c] for c in keep}, "_segment": seg}
+            values = []
             for k, c in enumerate(columns):
                 value = p[:, k].copy()
                 if c in numbers:
@@ -193,11 +205,13 @@ def sample_copula(model: CopulaModel, ids: DataFrame, seed: int | str, keep: tup
                         grid, share = grids[(s, c)]
                         rows = seg == s
                         value[rows] = np.interp(p[rows, k], levels, grid) if grid else np.nan
-                        value[rows & (nulls[:, k] < share)] = np.nan
-                out[c] = value
-            yield pd.DataFrame(out)
+                        if c in missing:
+                            value[rows & (nulls[:, missing.index(c)] < share)] = np.nan
+                values.append(pa.array(value, pa.float64()))
+            passed = ["id", *keep, "_segment"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], *values], [*passed, *columns])
 
-    out = drawn.mapInPandas(correlate, schema)
+    out = drawn.mapInArrow(correlate, schema)
     for c in texts:
         out = _texts(out, model, c)
     finals = {}
