@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +26,11 @@ LIMIT = 4096
 # generations, and characters of a text encoded in one call.
 BATCH_BYTES = 2 << 20
 REMEMBERED = 300_000
-REMEMBERED_PARTS = 150_000
 CALL_CHARS = 1 << 16
+# The same for words and parts whose ids are kept in packed arrays, some 50 bytes each; longer ones are not remembered.
+PACKED_WORDS = 500_000
+PACKED_PARTS = 200_000
+LONGEST = 256
 
 
 class Memory:
@@ -52,6 +56,103 @@ class Memory:
         return found
 
 
+def _cut_out(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` that begin there and have these sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _listed(column: pa.Array) -> list:
+    """`column`, which has no nulls, as a list; by way of numpy, several times as fast as value by value."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+@dataclass(frozen=True)
+class Generation:
+    """Words ascending by hash: where each begins in `text` and its ids in `ids`, and how long they are."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    length: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    text: np.ndarray
+    ids: np.ndarray
+
+    @staticmethod
+    def empty(dtype: np.dtype) -> Generation:
+        return Generation(np.zeros(0, np.uint64), *[np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.uint8, dtype)])
+
+    def find(self, hashes: np.ndarray, at: np.ndarray, length: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, place): the words that are here, compared byte by byte, and their places."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        which = np.flatnonzero((self.hashes[place] == hashes) & (self.length[place] == length))
+        place, length = place[which], length[which]
+        differ = _cut_out(text, at[which], length) != _cut_out(self.text, self.at[place], length)
+        if differ.any():
+            same = np.bincount(np.repeat(np.arange(len(which)), length)[differ], minlength=len(which)) == 0
+            which, place = which[same], place[same]
+        return which, place
+
+    def joined(self, hashes: np.ndarray, length: np.ndarray, size: np.ndarray, text: np.ndarray, ids: np.ndarray) -> Generation:
+        """With further words, whose bytes and ids follow each other."""
+        order = np.argsort(hashes, kind="stable")
+        where = np.searchsorted(self.hashes, hashes[order])
+        at, begin = len(self.text) + np.cumsum(length) - length, len(self.ids) + np.cumsum(size) - size
+        more = zip((self.hashes, self.at, self.length, self.begin, self.size), (hashes, at, length, begin, size), strict=True)
+        return Generation(*[np.insert(old, where, new[order]) for old, new in more], np.concatenate([self.text, text]), np.concatenate([self.ids, ids]))
+
+
+class Lexicon:
+    """Ids of words, computed when last seen long ago or never: two generations of about `size` words, as `Memory` has them.
+
+    Words are looked up all at once by a 64-bit hash and then compared, so an entry takes some 50 bytes in place of the
+    200 of strings in a dictionary.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], size: int, dtype: np.dtype):
+        self._compute, self._size, self._dtype = compute, size, dtype
+        self._new = self._old = Generation.empty(dtype)
+        self._letters = B.constants(256, 31)
+        self._powers = np.multiply.accumulate(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begins, sizes, ids): where the ids of each of these words, which are all different, are."""
+        run = next(B.runs(words, 1 << 62), None)
+        if run is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self._dtype)
+        at, length = run.offsets[:-1], np.diff(run.offsets)
+        inside = np.arange(len(run.data)) - np.repeat(at, length)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._letters[run.data] * self._powers[inside % LONGEST])])
+        hashes = B.mix(sums[run.offsets[1:]] - sums[at])
+        known, place = self._new.find(hashes, at, length, run.data)
+        left = np.ones(len(at), bool)
+        left[known] = False
+        rest = np.flatnonzero(left)
+        kept, old = self._old.find(hashes[rest], at[rest], length[rest], run.data)
+        kept = rest[kept]
+        left[kept] = False
+        fresh = np.flatnonzero(left)
+        blobs = self._compute(_listed(words.take(pa.array(fresh)))) if len(fresh) else []
+        computed = np.frombuffer(b"".join(blobs), self._dtype)
+        begins, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        begins[known], sizes[known] = self._new.begin[place], self._new.size[place]
+        sizes[kept] = self._old.size[old]
+        sizes[fresh] = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self._dtype.itemsize
+        again = _cut_out(self._old.ids, self._old.begin[old], self._old.size[old])
+        ids = np.concatenate([self._new.ids, again, computed])
+        moved = np.concatenate([kept, fresh])
+        begins[moved] = len(self._new.ids) + np.cumsum(sizes[moved]) - sizes[moved]
+        some = moved[length[moved] <= LONGEST]
+        if len(some):
+            self._new = self._new.joined(hashes[some], length[some], sizes[some], _cut_out(run.data, at[some], length[some]), _cut_out(ids, begins[some], sizes[some]))
+        if len(self._new.hashes) > self._size:
+            self._new, self._old = Generation.empty(self._dtype), self._new
+        return begins, sizes, ids
+
+
 def batches_of_texts(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of about BATCH_BYTES; null counts as empty."""
     for run in B.runs(column, BATCH_BYTES):
@@ -138,8 +239,8 @@ class WordIds:
         self._pattern = regex.compile(f"{pattern}| ")
         self._last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self._last[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
-        self._parts = Memory(self._encode_parts, REMEMBERED_PARTS)
-        self._words = Memory(self._encode_words, REMEMBERED)
+        self._parts = Lexicon(self._encode_parts, PACKED_PARTS, self.dtype)
+        self._words = Lexicon(self._encode_words, PACKED_WORDS, self.dtype)
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """Parts are cut by the pattern: joined by spaces they are encoded as each is alone."""
@@ -150,33 +251,21 @@ class WordIds:
             ends = np.flatnonzero(self._last[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the tokenizer does not mark where words end")
-            out += [x.tobytes() for x in np.split(ids, ends[:-1])]
+            data, cuts = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
-    def _gathered(self, blobs: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ends, ids): the ids of the blobs that the codes name, one after the other, and where each ends."""
-        flat = np.frombuffer(b"".join(blobs), self.dtype)
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
-        begins = np.cumsum(sizes) - sizes
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        where = np.repeat(begins[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return ends, flat[where]
-
     def _encode_words(self, words: list[str]) -> list[bytes]:
         column = pa.array(words, pa.string())
-        plain = pc.and_not(pc.match_substring_regex(column, self._PLAIN), pc.match_substring_regex(column, self._special)).to_pylist()
+        plain = _listed(pc.and_not(pc.match_substring_regex(column, self._PLAIN), pc.match_substring_regex(column, self._special)))
         parts = self._pattern.findall("".join([f"{w} " for w, ok in zip(words, plain, strict=True) if ok]).lower())
         coded = pa.array(parts, pa.string()).dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        apart = known.index(" ") if parts else -1
-        if parts:
-            del known[apart]
-        blobs = self._parts(known)
-        if parts:
-            blobs.insert(apart, b"")
-        codes = coded.indices.to_numpy().astype(np.int64)
-        ends, ids = self._gathered(blobs, codes)
+        apart = pc.index(coded.dictionary, " ").as_py()
+        begins, sizes, ids = self._parts(coded.dictionary.filter(pc.not_equal(coded.dictionary, " ")))
+        if parts:  # the space itself has no ids
+            begins, sizes = np.insert(begins, apart, 0), np.insert(sizes, apart, 0)
+        codes = coded.indices.to_numpy()
+        ends, ids = np.cumsum(sizes[codes]), _cut_out(ids, begins[codes], sizes[codes])
         data, size = ids.tobytes(), self.dtype.itemsize
         lasts = (ends[codes == apart] * size).tolist()
         cut = iter([data[a:b] for a, b in zip([0, *lasts], lasts)])
@@ -186,8 +275,10 @@ class WordIds:
         """(offsets, ids): the ids of all texts, one after the other."""
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        blobs = self._words(words.dictionary.to_pylist())
-        ends, ids = self._gathered(blobs, words.indices.to_numpy().astype(np.int64))
+        begins, sizes, ids = self._words(words.dictionary)
+        codes = words.indices.to_numpy()
+        ends = np.cumsum(sizes[codes])
+        ids = _cut_out(ids, begins[codes], sizes[codes])
         return np.concatenate([[0], ends])[lists.offsets.to_numpy()], ids
 
 
