@@ -18,6 +18,9 @@ from mirrorframe.synth.simple import as_number
 BINS = 10
 # Values of a column up to which a task counts its pairs in matrices (32 KB a pair).
 NARROW = 64
+# Rows that wait to be counted for each pair with a wider column, and different pairs of values that a task holds of all such pairs.
+WAITING = 1 << 17
+HELD = 1 << 20
 
 
 def correlation_similarity(
@@ -81,56 +84,79 @@ def pair_tallies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(pair, value_a, value_b, n): partial joint counts of text columns; `pair` is a position in `pairs`.
 
     Each task counts its rows in a matrix a pair and emits the matrices once, instead of a row for each pair of each row.
-    A column with more than NARROW values in a task would make its matrices large; its pairs are counted batch by batch.
-    What a task holds and, for narrow columns, emits depends on the number of pairs, not of rows. Null is a value.
+    A column with more than NARROW values in a task would make its matrices large; the codes of its pairs are counted by
+    sorting, and emitted once the task holds HELD different ones. What a task holds depends on the number of pairs, not of
+    rows. Null is a value.
     """
     names = sorted({c for pair in pairs for c in pair})
     at = [(names.index(a), names.index(b)) for a, b in pairs]
 
-    def emitted(pair: int, codes: np.ndarray, n: np.ndarray, left: list, right: list) -> pa.RecordBatch:
-        a, b = np.divmod(codes, len(right))
+    def emitted(pair: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, left: list, right: list) -> pa.RecordBatch:
         values = [pa.array(side, pa.string()).take(pa.array(at)) for side, at in ((left, a), (right, b))]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), pair, np.int32)), *values, pa.array(n.astype(np.int64))], names=["pair", "value_a", "value_b", "n"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[dict] = [{} for _ in names]
+        wide = [False] * len(names)
         matrices = [np.zeros((NARROW, NARROW), np.int64) for _ in at]
+        waiting: list[list[np.ndarray]] = [[] for _ in at]
+        counted = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in at]
+
+        def count(pair: int) -> None:
+            if waiting[pair]:
+                codes, n = np.unique(np.concatenate(waiting[pair]), return_counts=True)
+                waiting[pair] = []
+                both, place = np.unique(np.concatenate([counted[pair][0], codes]), return_inverse=True)
+                total = np.zeros(len(both), np.int64)
+                np.add.at(total, place, np.concatenate([counted[pair][1], n]))
+                counted[pair] = both, total
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            values = [list(k) for k in known]
+            for pair, (i, j) in enumerate(at):
+                count(pair)
+                codes, n = counted[pair]
+                if len(n):
+                    yield emitted(pair, codes >> 32, codes & 0xFFFFFFFF, n, values[i], values[j])
+                counted[pair] = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for place in np.flatnonzero(wide):
+                known[place] = {}
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            codes, values = [], []
+            codes = []
             for place in range(len(names)):
                 coded = batch.column(place).dictionary_encode(null_encoding="encode")
-                found, own = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                if known[place] is not None:
-                    numbers = [known[place].setdefault(v, len(known[place])) for v in found] if len(found) <= NARROW else []
-                    if len(found) > NARROW or len(known[place]) > NARROW:
-                        # From here on the column is wide. Values numbered beyond the matrix are in no matrix yet.
-                        for pair, (i, j) in enumerate(at):
-                            if place in (i, j) and known[i] is not None and known[j] is not None:
-                                yield from held(pair, matrices[pair], list(known[i])[:NARROW], list(known[j])[:NARROW])
-                                matrices[pair] = None
-                        known[place] = None
-                    else:
-                        own = np.array(numbers, np.int64)[own]
-                codes.append(own)
-                values.append(found)
+                found, own = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+                numbers = [known[place].setdefault(v, len(known[place])) for v in found]
+                if len(known[place]) > NARROW and not wide[place]:
+                    # From here on the column is wide. Values numbered beyond the matrix are in no matrix yet.
+                    wide[place] = True
+                    for pair, (i, j) in enumerate(at):
+                        if place in (i, j) and matrices[pair] is not None:
+                            yield from held(pair, matrices[pair], list(known[i])[:NARROW], list(known[j])[:NARROW])
+                            matrices[pair] = None
+                codes.append(np.array(numbers, np.int64)[own])
             for pair, (i, j) in enumerate(at):
-                if known[i] is not None and known[j] is not None:
+                if matrices[pair] is not None:
                     matrices[pair] += np.bincount(codes[i] * NARROW + codes[j], minlength=NARROW * NARROW).reshape(NARROW, NARROW)
                 else:
-                    left, right = (list(known[k]) if known[k] is not None else values[k] for k in (i, j))
-                    both, n = np.unique(codes[i] * len(right) + codes[j], return_counts=True)
-                    yield emitted(pair, both, n, left, right)
+                    waiting[pair].append(codes[i] << 32 | codes[j])
+                    if sum(map(len, waiting[pair])) >= WAITING:
+                        count(pair)
+            if sum(len(n) for _, n in counted) > HELD or max(map(len, known)) > HELD:
+                yield from flushed()
+        yield from flushed()
         for pair, (i, j) in enumerate(at):
-            if known[i] is not None and known[j] is not None:
+            if matrices[pair] is not None:
                 yield from held(pair, matrices[pair], list(known[i]), list(known[j]))
 
     def held(pair: int, matrix: np.ndarray, left: list, right: list) -> Iterator[pa.RecordBatch]:
         counted = matrix[: len(left), : len(right)].ravel()
         some = np.flatnonzero(counted)
         if len(some):
-            yield emitted(pair, some, counted[some], left, right)
+            yield emitted(pair, *np.divmod(some, len(right)), counted[some], left, right)
 
     return spread(df.select(*names)).mapInArrow(tally, "pair int, value_a string, value_b string, n bigint")
 
@@ -161,11 +187,14 @@ def contingency_similarity(
 
 
 def pair_counts(real: DataFrame, synthetic: DataFrame, pairs: list[tuple[str, str]], prefix: str = "") -> DataFrame:
-    """Joint counts of discretized columns on both sides."""
-    both = pair_tallies(real, pairs).withColumn("is_real", F.lit(1)).unionByName(
-        pair_tallies(synthetic, pairs).withColumn("is_real", F.lit(0))
-    )
-    counts = both.groupBy("pair", "value_a", "value_b").agg(
+    """Joint counts of discretized columns on both sides.
+
+    Each side is added up by itself: a side that is the same as the other is counted once, by Spark's reuse of exchanges.
+    """
+    key = ["pair", "value_a", "value_b"]
+    sides = [pair_tallies(df, pairs).groupBy(*key).agg(F.sum("n").alias("n")) for df in (real, synthetic)]
+    both = sides[0].withColumn("is_real", F.lit(1)).unionByName(sides[1].withColumn("is_real", F.lit(0)))
+    counts = both.groupBy(*key).agg(
         F.sum(F.col("n") * F.col("is_real")).alias("n_real"), F.sum(F.col("n") * (1 - F.col("is_real"))).alias("n_synthetic")
     )
     return named_pairs(counts, pairs, prefix)
