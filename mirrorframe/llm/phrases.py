@@ -39,6 +39,10 @@ NAME = 20
 # Text bytes in a chunk, and text bytes whose names one slice gathers.
 CHUNK_BYTES = 4 << 20
 SLICE_BYTES = 16 << 20
+# Parts of a slice whose differing phrases make a dictionary of their own: sorting its suffixes takes many times its size.
+DICTIONARIES = 4
+# Bytes parsed at once; the working arrays of a parse are some 80 times as large.
+PARSED_BYTES = 1 << 18
 
 _PACKED = "slice long, chunk long, names binary"
 # Kinds of verdict: a trigger all of whose windows have one least document, one whose phrases differ, one with too many of
@@ -109,7 +113,7 @@ def _parses(table: pa.Table, length: int):
     ids, texts = table.column("id").combine_chunks(), table.column("text").combine_chunks()
     known = ~ids.is_null().to_numpy(zero_copy_only=False)
     numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    for run in B.runs(texts):
+    for run in B.runs(texts, PARSED_BYTES):
         part = slice(run.first, run.first + run.rows)
         yield run, Parse(run, known[part], length), numbers[part], known[part]
 
@@ -330,9 +334,9 @@ def removals(
 
 
 def _contents(chunk: int, contents: dict, slices: int) -> pa.Table:
-    """Phrases with their bytes, by slice: how many, then (phrase, least id, greatest id, size) of each, then all bytes."""
+    """Phrases with their bytes, by part of a slice: how many, then (phrase, least id, greatest id, size) of each, then all bytes."""
     ordered = sorted(contents)
-    places = (_places(np.array([name for name, _ in ordered], np.uint64), slices) >> np.uint64(32)).astype(np.int64)
+    places = (_places(np.array([name for name, _ in ordered], np.uint64), slices * DICTIONARIES) >> np.uint64(32)).astype(np.int64)
     at, first = np.unique(places, return_index=True)
     blobs = []
     for a, b in zip(first, np.append(first, len(ordered))[1:], strict=True):

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mirrorframe.llm import phrases
@@ -68,3 +70,17 @@ def test_a_very_long_text(spark):
     frame = spark.createDataFrame([(1, long[1000:2000], "", 0), (2, long, "", 0)], SCHEMA)
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in phrases.removals(frame).collect()}
     assert found == {1: (1000, 0, 0), 2: (3_000_000, 1000, 1)}
+
+
+def test_a_parse_takes_little_memory():
+    """The working arrays of 2 MB of text: 84 MB when parsed a megabyte at once."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(100)]
+    table = pa.table({"id": pa.array(range(100), pa.int64()), "text": pa.array(texts, pa.string())})
+    list(phrases._parses(table.slice(0, 1), phrases.LENGTH))
+    tracemalloc.start()
+    for _ in phrases._parses(table, phrases.LENGTH):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
