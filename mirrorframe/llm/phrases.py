@@ -42,7 +42,7 @@ SLICE_BYTES = 16 << 20
 # Parts of a slice whose differing phrases make a dictionary of their own: sorting its suffixes takes many times its size.
 DICTIONARIES = 4
 # Bytes parsed at once; the working arrays of a parse are some 80 times as large.
-PARSED_BYTES = 1 << 18
+PARSED_BYTES = 1 << 17
 
 _PACKED = "slice long, chunk long, names binary"
 # Kinds of verdict: a trigger all of whose windows have one least document, one whose phrases differ, one with too many of
@@ -65,9 +65,10 @@ class Parse:
         self.name = np.zeros(0, np.uint64)
         if n < length:
             return
-        at = np.arange(n - PICK + 1, dtype=np.uint64)
         words = np.ndarray((n - PICK + 1,), "<u8", run.data.tobytes(), strides=(1,))
-        least = ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) << np.uint64(32)) | at
+        least = words * np.uint64(0x9E3779B97F4A7C15)
+        least &= np.uint64(0xFFFFFFFF00000000)
+        least |= np.arange(n - PICK + 1, dtype=np.uint64)
         width, have = length - PICK + 1, 1
         while 2 * have <= width:
             least = np.minimum(least[:-have], least[have:])
@@ -75,9 +76,12 @@ class Parse:
         if width > have:
             least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
         starts = np.arange(len(least), dtype=np.int64)
-        gap = (least & np.uint64(0xFFFFFFFF)).astype(np.int64) - starts
+        gap = least.astype(np.uint32).astype(np.int64) - starts
+        # Modulo the starts that a name may have; a gap is hardly ever more than once that.
         spread = length - NAME + 1
-        gap %= spread
+        np.subtract(gap, spread, out=gap, where=gap >= spread)
+        if width > 2 * spread:
+            gap %= spread
         trigger = starts + gap
         # Windows that end within their text; a text of fewer bytes has none.
         valid = np.zeros(len(least) + 1, np.int32)
@@ -85,11 +89,12 @@ class Parse:
         long = known & (sizes >= length)
         np.add.at(valid, run.offsets[:-1][long], 1)
         np.add.at(valid, run.offsets[1:][long] - length + 1, -1)
-        valid = np.cumsum(valid[:-1]) > 0
-        fresh = valid.copy()
-        fresh[1:] &= (trigger[1:] != trigger[:-1]) | ~valid[:-1]
-        last = valid.copy()
-        last[:-1] &= (trigger[1:] != trigger[:-1]) | ~valid[1:]
+        valid = np.cumsum(valid[:-1], dtype=np.int32) > 0
+        # Where a phrase ends or the windows do, and the next begins.
+        turns = trigger[1:] != trigger[:-1]
+        fresh, last = valid.copy(), valid.copy()
+        fresh[1:] &= turns | ~valid[:-1]
+        last[:-1] &= turns | ~valid[1:]
         self.lo, self.hi = np.flatnonzero(fresh), np.flatnonzero(last)
         self.row = np.searchsorted(run.offsets, self.lo, "right") - 1
         self.name = self.rolling(trigger[self.lo], trigger[self.lo] + NAME)
@@ -118,13 +123,40 @@ def _parses(table: pa.Table, length: int):
         yield run, Parse(run, known[part], length), numbers[part], known[part]
 
 
-def _unpacked(table: pa.Table, fields: int) -> np.ndarray:
-    """The records of all rows, one below the other; a field of 0 stands for places, returned with their slices."""
+def _buffers(blobs: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, joined, and where each value begins, and the end."""
+    if isinstance(blobs, pa.ChunkedArray):
+        blobs = blobs.combine_chunks()
+    blobs = blobs.cast(pa.large_binary())
+    if not len(blobs):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, where, data = blobs.buffers()
+    offsets = np.frombuffer(where, np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    joined = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return joined, offsets - offsets[0]
+
+
+def _blobs(records: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary value for each of `counts` consecutive records."""
+    records = np.ascontiguousarray(records)
+    ends = np.concatenate([[0], np.cumsum(counts)]) * (records.itemsize * (records.shape[1] if records.ndim > 1 else 1))
+    kind, width = (pa.binary(), np.int32) if ends[-1] < 2**31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(counts), [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(records)]).cast(pa.binary())
+
+
+def _records(table: pa.Table, fields: int) -> tuple[np.ndarray, np.ndarray]:
+    """The records of all rows, one below the other, and how many each row has; a field of 0 stands for places, returned with their slices."""
+    data, offsets = _buffers(table.column("names"))
     kind = np.uint64 if fields else np.uint32
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column("names").combine_chunks()] if table.num_rows else []
+    counts = np.diff(offsets) // (np.dtype(kind).itemsize * max(fields, 1))
+    found = np.frombuffer(data.tobytes(), kind)
     if not fields:
-        parts = [p.astype(np.uint64) | np.uint64(s << 32) for p, s in zip(parts, table.column("slice").to_pylist(), strict=True)]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).reshape(-1, max(fields, 1))
+        found = found.astype(np.uint64) | np.repeat(table.column("slice").to_numpy().astype(np.uint64) << np.uint64(32), counts)
+    return found.reshape(-1, max(fields, 1)), counts
+
+
+def _unpacked(table: pa.Table, fields: int) -> np.ndarray:
+    return _records(table, fields)[0]
 
 
 def _places(names: np.ndarray, slices: int) -> np.ndarray:
@@ -139,8 +171,7 @@ def _packed(chunk: int, records: np.ndarray, slices: int, short: bool = False) -
     at, first = np.unique(places >> np.uint64(32), return_index=True)
     ends = np.append(first, len(records))[1:]
     sent = places.astype(np.uint32) if short else records
-    blobs = [sent[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
-    return pa.table({"slice": pa.array(at.astype(np.int64)), "chunk": pa.array([chunk] * len(at), pa.int64()), "names": pa.array(blobs, pa.binary())})
+    return pa.table({"slice": pa.array(at.astype(np.int64)), "chunk": pa.array(np.full(len(at), chunk, np.int64)), "names": _blobs(sent, ends - first)})
 
 
 def _per_name(names: np.ndarray, ids: np.ndarray, phrases: np.ndarray | None = None) -> np.ndarray:
@@ -334,16 +365,24 @@ def removals(
 
 
 def _contents(chunk: int, contents: dict, slices: int) -> pa.Table:
-    """Phrases with their bytes, by part of a slice: how many, then (phrase, least id, greatest id, size) of each, then all bytes."""
+    """Phrases with their bytes, by part of a slice: how many, then (phrase, least id, greatest id, size) of each, then all bytes, filled up to eight."""
     ordered = sorted(contents)
     places = (_places(np.array([name for name, _ in ordered], np.uint64), slices * DICTIONARIES) >> np.uint64(32)).astype(np.int64)
     at, first = np.unique(places, return_index=True)
+    entries = [contents[x] for x in ordered]
+    least, greatest = (np.array([e[k] for e in entries], np.int64).view(np.uint64) for k in (0, 1))
+    sizes = np.array([len(e[2]) for e in entries], np.uint64)
+    heads = np.stack([np.array([phrase for _, phrase in ordered], np.uint64), least, greatest, sizes], axis=1).reshape(-1, 4)
     blobs = []
     for a, b in zip(first, np.append(first, len(ordered))[1:], strict=True):
-        some = [(phrase, contents[name, phrase]) for name, phrase in ordered[a:b]]
-        head = np.array([(phrase, np.int64(least).view(np.uint64), np.int64(greatest).view(np.uint64), len(data)) for phrase, (least, greatest, data) in some], np.uint64)
-        blobs.append(np.uint64(len(some)).tobytes() + head.tobytes() + b"".join(data for _, (_, _, data) in some))
-    return pa.table({"slice": pa.array(at + slices, pa.int64()), "chunk": pa.array([chunk] * len(at), pa.int64()), "names": pa.array(blobs, pa.binary())})
+        blob = np.uint64(b - a).tobytes() + heads[a:b].tobytes() + b"".join([e[2] for e in entries[a:b]])
+        blobs.append(blob + bytes(-len(blob) % 8))
+    return pa.table({"slice": pa.array(at + slices, pa.int64()), "chunk": pa.array(np.full(len(at), chunk, np.int64)), "names": pa.array(blobs, pa.binary())})
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each of some ranges, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
 def ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -364,47 +403,44 @@ def ranks(data: np.ndarray, length: int) -> np.ndarray:
 
 def _dictionary_order(table: pa.Table, length: int) -> pa.Table:
     """Verdicts on runs of windows (phrase, first and last window, least id): where a document before another has them."""
-    held, phrases = [], {}
-    for blob in table.column("names").combine_chunks():
-        raw = blob.as_buffer()
-        n = int(np.frombuffer(raw, np.uint64, 1)[0])
-        head = np.frombuffer(raw, np.uint64, 4 * n, 8).reshape(n, 4)
-        begin = 8 + 32 * n
-        data = memoryview(raw)[begin:]
-        at = 0
-        for phrase, least, greatest, size in zip(head[:, 0].tolist(), head[:, 1].view(np.int64).tolist(), head[:, 2].view(np.int64).tolist(), head[:, 3].tolist(), strict=True):
-            known = phrases.get(phrase)
-            if known is None:
-                phrases[phrase] = [least, greatest, bytes(data[at : at + size])]
-            else:
-                known[0], known[1] = min(known[0], least), max(known[1], greatest)
-            at += size
-        held.append(np.sort(head[:, 0]))
-    names = np.array(sorted(phrases), np.uint64)
-    entries = [phrases[x] for x in names.tolist()]
-    sizes = np.array([len(e[2]) for e in entries], np.int64)
-    text = np.frombuffer(b"".join(e[2] for e in entries), np.uint8)
+    data, offsets = _buffers(table.column("names"))
+    words = np.frombuffer(data.tobytes(), np.uint64)
+    counts = words[offsets[:-1] // 8].astype(np.int64)
+    heads = words[(_ranges(offsets[:-1] // 8 + 1, 4 * counts))].reshape(-1, 4)
+    # Where the bytes of each phrase begin: those of a blob follow its heads.
+    each = heads[:, 3].astype(np.int64)
+    ends = np.cumsum(each)
+    before = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+    begins = np.repeat(offsets[:-1] + 8 + 32 * counts - before, counts) + ends - each
+    names, one, entry = np.unique(heads[:, 0], return_index=True, return_inverse=True)
+    least, greatest = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
+    np.minimum.at(least, entry, heads[:, 1].view(np.int64))
+    np.maximum.at(greatest, entry, heads[:, 2].view(np.int64))
+    sizes = each[one]
+    text = data[_ranges(begins[one], sizes)]
     windows = sizes - length + 1
     owner = np.repeat(np.arange(len(names)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     place = ranks(text, length)[(np.cumsum(sizes) - sizes)[owner] + inside]
-    least, greatest = (np.array([e[k] for e in entries], np.int64) for k in (0, 1))
     # The least document of each suffix: suffixes that are equal have one place.
     lowest = np.full(int(place.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(lowest, place.astype(np.int64), least[owner])
     found = lowest[place.astype(np.int64)]
     wanted = found < greatest[owner]
-    begins = wanted.copy()
-    begins[1:] &= ~wanted[:-1] | (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
-    ends = wanted.copy()
-    ends[:-1] &= ~wanted[1:] | (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
-    a, b = np.flatnonzero(begins), np.flatnonzero(ends)
+    turns = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+    opens, closes = wanted.copy(), wanted.copy()
+    opens[1:] &= ~wanted[:-1] | turns
+    closes[:-1] &= ~wanted[1:] | turns
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
     bounds = (inside[a].astype(np.uint64) << np.uint64(32)) | inside[b].astype(np.uint64)
-    verdicts = np.stack([names[owner[a]], bounds, found[a].view(np.uint64)], axis=1) if len(a) else np.zeros((0, 3), np.uint64)
-    blobs = []
-    for mine in held:
-        blobs.append(verdicts[_member(mine, verdicts[:, 0])[0]].tobytes())
-    return pa.table({"slice": pa.array([RUN] * len(blobs), pa.int64()), "chunk": table.column("chunk"), "names": pa.array(blobs, pa.binary())})
+    verdicts = np.stack([names[owner[a]], bounds, found[a].view(np.uint64)], axis=1)
+    # To each blob those of its phrases.
+    first, end = (np.searchsorted(owner[a], np.arange(len(names)), side) for side in ("left", "right"))
+    sent = verdicts[_ranges(first[entry], (end - first)[entry])]
+    told = np.diff(np.concatenate([[0], np.cumsum((end - first)[entry])])[np.concatenate([[0], np.cumsum(counts)])])
+    some = told > 0
+    chunks = table.column("chunk").to_numpy()[some]
+    return pa.table({"slice": pa.array(np.full(len(chunks), RUN, np.int64)), "chunk": pa.array(chunks), "names": _blobs(sent, told[some])})
 
 
 def _chunk(table: pa.Table, reply: pa.Table) -> int:
@@ -419,11 +455,17 @@ def _answer(table: pa.Table, fields: int, verdicts: np.ndarray, kind: int | None
     """For each row of the packed `table`, those of the `verdicts` (name first, ascending) whose names it holds.
 
     A `kind` of verdict takes the place of the slice."""
-    slices, chunks, blobs = [], [], []
-    for row in range(table.num_rows):
-        mine = verdicts[_member(np.unique(_unpacked(table.slice(row, 1), fields)[:, 0]), verdicts[:, 0])[0]]
-        if len(mine):
-            slices.append(table.column("slice")[row].as_py() if kind is None else kind)
-            chunks.append(table.column("chunk")[row].as_py())
-            blobs.append((mine if fields else mine.astype(np.uint32)).tobytes())
-    return pa.table({"slice": pa.array(slices, pa.int64()), "chunk": pa.array(chunks, pa.int64()), "names": pa.array(blobs, pa.binary())})
+    records, counts = _records(table, fields)
+    row = np.repeat(np.arange(len(counts)), counts)
+    hit, at = _member(verdicts[:, 0], records[:, 0])
+    row, at = row[hit], at[hit]
+    # Names ascend within a row: those that come again are neighbours.
+    keep = np.ones(len(row), bool)
+    keep[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1])
+    row, at = row[keep], at[keep]
+    told = np.bincount(row, minlength=len(counts))
+    some = told > 0
+    mine = verdicts[at]
+    slices, chunks = (table.column(c).to_numpy()[some] for c in ("slice", "chunk"))
+    slices = slices if kind is None else np.full(len(slices), kind, np.int64)
+    return pa.table({"slice": pa.array(slices, pa.int64()), "chunk": pa.array(chunks, pa.int64()), "names": _blobs(mine if fields else mine.astype(np.uint32), told[some])})

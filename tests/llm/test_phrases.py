@@ -84,3 +84,30 @@ def test_a_parse_takes_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 40e6
+
+
+def test_rows_of_a_slice_are_answered_together(monkeypatch):
+    """Chunks times slices grow with the square of the corpus: each such row was unpacked and looked up by itself."""
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.integers(0, 50, rng.integers(0, 6)).astype(np.uint64)) for _ in range(300)]
+    blobs = [np.stack([r, r + np.uint64(1)], axis=1).tobytes() for r in rows]
+    table = pa.table({"slice": pa.array([7] * 300, pa.int64()), "chunk": pa.array(range(300), pa.int64()), "names": pa.array(blobs, pa.binary())})
+    verdicts = np.stack([np.arange(0, 50, 3), np.arange(100, 117)], axis=1).astype(np.uint64)
+    asked, plain = [], phrases._member
+    monkeypatch.setattr(phrases, "_member", lambda *x: asked.append(1) or plain(*x))
+    for part in (table, table.slice(100, 50)):
+        found = phrases._answer(part, 2, verdicts, phrases.WHOLE).to_pylist()
+        expected = {c: [(x, 100 + x // 3) for x in sorted(set(rows[c].tolist())) if x % 3 == 0] for c in part.column("chunk").to_pylist()}
+        assert [r["chunk"] for r in found] == [c for c, x in expected.items() if x] and {r["slice"] for r in found} == {phrases.WHOLE}
+        assert all([tuple(x) for x in np.frombuffer(r["names"], np.uint64).reshape(-1, 2).tolist()] == expected[r["chunk"]] for r in found)
+    assert len(asked) == 2
+
+
+def test_dictionaries_tell_each_chunk_of_its_phrases():
+    line = b"0123456789" * 6
+    sent = {1: {(5, 50): [3, 3, b"x" + line], (5, 51): [4, 9, b"yy" + line + b"z"]}, 2: {(5, 50): [2, 8, b"x" + line]}, 3: {(6, 60): [1, 1, b"q" * 51]}}
+    table = pa.concat_tables([phrases._contents(chunk, x, 1) for chunk, x in sent.items()])
+    told = {r["chunk"]: np.frombuffer(r["names"], np.uint64).reshape(-1, 3).tolist() for r in phrases._dictionary_order(table, 50).to_pylist()}
+    # All windows of the first phrase are in document 2; the second shares those of the line with it, and has two of its own from 4.
+    first, second = [50, 11, 2], [[51, 0 << 32 | 1, 4], [51, 2 << 32 | 12, 2], [51, 13 << 32 | 13, 4]]
+    assert told == {1: [first, *second], 2: [first]}
