@@ -21,20 +21,26 @@ NARROW = 64
 # Rows that wait to be counted for each pair with a wider column, and different pairs of values that a task holds of all such pairs.
 WAITING = 1 << 17
 HELD = 1 << 20
+# Bins that a long holds, four bits each, and the one that stands for null.
+PACKED, NO_BIN = 15, 15
 
 
 def correlation_similarity(
     real: DataFrame, synthetic: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None
 ) -> DataFrame:
-    """1 minus half the difference of Pearson correlations; all pairs in one aggregation per side."""
+    """1 minus half the difference of Pearson correlations; all pairs in one aggregation per side.
+
+    Each side is added up by itself: a side that is the same as the other is read once, by Spark's reuse of exchanges.
+    """
     pairs = pairs or list(combinations(columns, 2))
 
-    def numbers(df, side):
-        return df.select(F.lit(side).alias("side"), *[S.no_nan(as_number(df.schema, c).cast("double")).alias(c) for c in columns])
+    def added(df):
+        numbers = df.select(F.lit(0).alias("one"), *[S.no_nan(as_number(df.schema, c).cast("double")).alias(c) for c in columns])
+        return numbers.groupBy("one").agg(F.array(*[
+            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), S.correlation(F.col(a), F.col(b)).alias("rho")) for a, b in pairs
+        ]).alias("all"))
 
-    rows = numbers(real, "real").unionByName(numbers(synthetic, "synthetic")).groupBy("side").agg(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), S.correlation(F.col(a), F.col(b)).alias("rho")) for a, b in pairs
-    ]).alias("all"))
+    rows = added(real).withColumn("side", F.lit("real")).unionByName(added(synthetic).withColumn("side", F.lit("synthetic")))
     flat = rows.select("side", F.explode("all").alias("p")).select("side", "p.*")
     rho = {s: F.max(F.when(F.col("side") == s, S.no_nan(F.col("rho")))) for s in ("real", "synthetic")}
     return flat.groupBy("column_a", "column_b").agg(
@@ -63,16 +69,33 @@ def bounds_of(tables: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, dict[
     return found
 
 
-def binned(df: DataFrame, column: str, bounds: tuple[float, float]) -> Column:
-    """Ten equal bins over the real range, two outer ones for values beyond it, as text."""
+def _bin(df: DataFrame, column: str, bounds: tuple[float, float]) -> Column:
+    """Ten equal bins over the real range, from 1, and two outer ones for values beyond it."""
     low, high = bounds
     value = S.no_nan(as_number(df.schema, column).cast("double"))
     if low is None:
-        return F.lit(None).cast("string")
+        return F.lit(None).cast("int")
     width = (high - low) / BINS
     inside = F.least(F.floor((value - low) / width), F.lit(BINS - 1)) + 1 if width > 0 else F.lit(1)
     bin_no = F.when(value < low, F.lit(0)).when(value > high, F.lit(BINS + 1)).otherwise(inside)
-    return F.when(value.isNotNull(), bin_no.cast("int").cast("string"))
+    return F.when(value.isNotNull(), bin_no.cast("int"))
+
+
+def binned(df: DataFrame, column: str, bounds: tuple[float, float]) -> Column:
+    """The bin as text."""
+    return _bin(df, column, bounds).cast("string")
+
+
+def packed_bins(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> list[Column]:
+    """The bins of the columns of `bounds`, in whole numbers of PACKED bins each."""
+    names, out = list(bounds), []
+    for start in range(0, len(names), PACKED):
+        bins = [F.coalesce(_bin(df, c, bounds[c]), F.lit(NO_BIN)).cast("bigint") for c in names[start : start + PACKED]]
+        packed = bins[0]
+        for place, one in enumerate(bins[1:], 1):
+            packed = packed.bitwiseOR(F.shiftleft(one, 4 * place))
+        out.append(packed)
+    return out
 
 
 def discretized(df: DataFrame, texts: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -80,9 +103,11 @@ def discretized(df: DataFrame, texts: list[str], bounds: dict[str, tuple[float,
                      *[binned(df, c, b).alias(c) for c, b in bounds.items()])
 
 
-def pair_tallies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def pair_tallies(df: DataFrame, pairs: list[tuple[str, str]], packed: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """(pair, value_a, value_b, n): partial joint counts of text columns; `pair` is a position in `pairs`.
 
+    Names in `packed` are bins: the column of `packed_bins` that holds them, and the place in it.
+
     Each task counts its rows in a matrix a pair and emits the matrices once, instead of a row for each pair of each row.
     A column with more than NARROW values in a task would make its matrices large; the codes of its pairs are counted by
     sorting, and emitted once the task holds HELD different ones. What a task holds depends on the number of pairs, not of
@@ -90,13 +115,16 @@ def pair_tallies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """
     names = sorted({c for pair in pairs for c in pair})
     at = [(names.index(a), names.index(b)) for a, b in pairs]
+    bins = {names.index(c): (column, 4 * place) for c, (column, place) in (packed or {}).items() if c in names}
+    read = [c for place, c in enumerate(names) if place not in bins] + sorted({column for column, _ in bins.values()})
+    labels = {**{str(i): i for i in range(NO_BIN)}, None: NO_BIN}
 
     def emitted(pair: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, left: list, right: list) -> pa.RecordBatch:
         values = [pa.array(side, pa.string()).take(pa.array(at)) for side, at in ((left, a), (right, b))]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), pair, np.int32)), *values, pa.array(n.astype(np.int64))], names=["pair", "value_a", "value_b", "n"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[dict] = [{} for _ in names]
+        known: list[dict] = [dict(labels) if place in bins else {} for place in range(len(names))]
         wide = [False] * len(names)
         matrices = [np.zeros((NARROW, NARROW), np.int64) for _ in at]
         waiting: list[list[np.ndarray]] = [[] for _ in at]
@@ -126,8 +154,12 @@ def pair_tallies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             codes = []
-            for place in range(len(names)):
-                coded = batch.column(place).dictionary_encode(null_encoding="encode")
+            for place, name in enumerate(names):
+                if place in bins:
+                    column, shift = bins[place]
+                    codes.append(batch.column(read.index(column)).to_numpy() >> shift & 15)
+                    continue
+                coded = batch.column(read.index(name)).dictionary_encode(null_encoding="encode")
                 found, own = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
                 numbers = [known[place].setdefault(v, len(known[place])) for v in found]
                 if len(known[place]) > NARROW and not wide[place]:
@@ -158,7 +190,7 @@ def pair_tallies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         if len(some):
             yield emitted(pair, *np.divmod(some, len(right)), counted[some], left, right)
 
-    return spread(df.select(*names)).mapInArrow(tally, "pair int, value_a string, value_b string, n bigint")
+    return spread(df.select(*read)).mapInArrow(tally, "pair int, value_a string, value_b string, n bigint")
 
 
 def named_pairs(counts: DataFrame, pairs: list[tuple[str, str]], prefix: str = "") -> DataFrame:
@@ -186,13 +218,15 @@ def contingency_similarity(
     return contingency_of_counts(pair_counts(*cut, pairs))
 
 
-def pair_counts(real: DataFrame, synthetic: DataFrame, pairs: list[tuple[str, str]], prefix: str = "") -> DataFrame:
+def pair_counts(
+    real: DataFrame, synthetic: DataFrame, pairs: list[tuple[str, str]], prefix: str = "", packed: dict[str, tuple[str, int]] | None = None
+) -> DataFrame:
     """Joint counts of discretized columns on both sides.
 
     Each side is added up by itself: a side that is the same as the other is counted once, by Spark's reuse of exchanges.
     """
     key = ["pair", "value_a", "value_b"]
-    sides = [pair_tallies(df, pairs).groupBy(*key).agg(F.sum("n").alias("n")) for df in (real, synthetic)]
+    sides = [pair_tallies(df, pairs, packed).groupBy(*key).agg(F.sum("n").alias("n")) for df in (real, synthetic)]
     both = sides[0].withColumn("is_real", F.lit(1)).unionByName(sides[1].withColumn("is_real", F.lit(0)))
     counts = both.groupBy(*key).agg(
         F.sum(F.col("n") * F.col("is_real")).alias("n_real"), F.sum(F.col("n") * (1 - F.col("is_real"))).alias("n_synthetic")

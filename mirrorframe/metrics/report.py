@@ -78,15 +78,15 @@ def _quality(
         cut[name] = tuple(
             df.select(
                 *metadata.keys_of(name), *[F.col(c).cast("string").alias(f"d|{c}") for c in texts],
-                *[P.binned(df, c, b).alias(f"d|{c}") for c, b in bounds[name].items()])
+                *[packed.alias(f"bins|{i}") for i, packed in enumerate(P.packed_bins(df, bounds[name]))])
             for df in (real[name], synthetic[name]))
         if mixed:
-            plain = [df.select(*[F.col(f"`d|{c}`").alias(c) for c in [*texts, *numbers]]) for df in cut[name]]
-            joint.append(P.pair_counts(*plain, mixed, f"column_pair_trends|{name}|"))
+            plain = [_coded(df, "", texts) for df in cut[name]]
+            joint.append(P.pair_counts(*plain, mixed, f"column_pair_trends|{name}|", _places(bounds[name], "")))
     for e in metadata.relationships:
         sides = [(d[e.parent_table], d[e.child_table]) for d in (real, synthetic)]
         numeric.append(validity.cardinality_counts(*sides, e.parent_key, e.child_key, f"cardinality|{e.parent_table}|"))
-        between = _between(e, cut, metadata)
+        between = _between(e, cut, metadata, bounds)
         if between is not None:
             joint.append(between)
     if numeric:
@@ -98,19 +98,30 @@ def _quality(
     return _report(frames)
 
 
-def _between(edge, cut, metadata: Metadata) -> DataFrame | None:
+def _places(bounds: dict, prefix: str) -> dict[str, tuple[str, int]]:
+    """Which packed column holds the bins of each column, and where."""
+    return {f"{prefix}{c}": (f"{prefix}bins|{i // P.PACKED}", i % P.PACKED) for i, c in enumerate(bounds)}
+
+
+def _coded(df: DataFrame, prefix: str, texts: list[str], key: str | None = None) -> DataFrame:
+    """Texts and packed bins under names that begin with `prefix`, with a key as `_k`."""
+    keys = [F.col(key).alias("_k")] if key else []
+    bins = [c for c in df.columns if c.startswith("bins|")]
+    return df.select(*keys, *[F.col(f"`d|{c}`").alias(f"{prefix}{c}") for c in texts], *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in bins])
+
+
+def _between(edge, cut, metadata: Metadata, bounds: dict) -> DataFrame | None:
     """Joint counts of parent columns with child columns over linked rows; only bin codes are joined."""
-    parents = [*sum(modelled(metadata.tables[edge.parent_table]), [])]
-    children = [*sum(modelled(metadata.tables[edge.child_table]), [])]
-    pairs = [(f"p_{a}", f"c_{b}") for a in parents for b in children]
+    (p_numbers, p_texts), (c_numbers, c_texts) = (modelled(metadata.tables[t]) for t in (edge.parent_table, edge.child_table))
+    pairs = [(f"p_{a}", f"c_{b}") for a in [*p_numbers, *p_texts] for b in [*c_numbers, *c_texts]]
     if not pairs:
         return None
     joined = []
     for parent, child in zip(cut[edge.parent_table], cut[edge.child_table], strict=True):
-        left = parent.select(F.col(edge.parent_key).alias("_k"), *[F.col(f"`d|{c}`").alias(f"p_{c}") for c in parents])
-        right = child.select(F.col(edge.child_key).alias("_k"), *[F.col(f"`d|{c}`").alias(f"c_{c}") for c in children])
+        left, right = _coded(parent, "p_", p_texts, edge.parent_key), _coded(child, "c_", c_texts, edge.child_key)
         joined.append(right.join(left, "_k").drop("_k"))
-    return P.pair_counts(*joined, pairs, f"inter_table_trends|{edge.parent_table}|{edge.child_table}|{edge.child_key}|")
+    packed = _places(bounds[edge.parent_table], "p_") | _places(bounds[edge.child_table], "c_")
+    return P.pair_counts(*joined, pairs, f"inter_table_trends|{edge.parent_table}|{edge.child_table}|{edge.child_key}|", packed)
 
 
 def quality_report(real: DataFrame, synthetic: DataFrame, table: TableSpec) -> DataFrame:
